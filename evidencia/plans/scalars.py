@@ -198,8 +198,7 @@ def period_renderings(t: Tables) -> DataFrame:
 
 @query(f"with {PERIODS} select * from periods")
 def parse_periods(t: Tables) -> DataFrame:
-    return period_renderings(t).withColumn("p", dates.parse_period(F.col("raw"))).select(
-        "o_orderkey", "raw", F.col("p.year").alias("year"), F.col("p.period").alias("period"), F.col("p.display").alias("display"))
+    return dates.with_period(period_renderings(t), "raw").select("o_orderkey", "raw", "year", "period", "display")
 
 
 @query(f"""
