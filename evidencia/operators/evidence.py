@@ -31,14 +31,21 @@ def with_registry_citation(nct_id: Column, sources: Column) -> Column:
     return F.concat(own, F.filter(sources, lambda s: s["source_type"] != "registry"))
 
 
+def citation_lines(sources: Column) -> Column:
+    """One `reference (url)` line per citation."""
+    def line(s):
+        linked = F.concat(s["reference"], F.lit(" ("), s["url"], F.lit(")"))
+        return F.when(F.length(s["url"]) > 0, linked).otherwise(s["reference"])
+    return F.array_join(F.transform(sources, line), "\n")
+
+
 def export_rows(grid: DataFrame, rank: str = "rank", page_rows: int = PAGE_ROWS) -> DataFrame:
     """Spreadsheet form of ranked grid rows; `rank` counts 1, 2, ... within each result."""
-    line = lambda s: F.when(F.length(s["url"]) > 0, F.concat(s["reference"], F.lit(" ("), s["url"], F.lit(")"))).otherwise(s["reference"])
     return (
         grid.withColumn("page", F.ceil(F.col(rank) / page_rows))
         .withColumn("interventions", F.array_join(F.array_distinct("interventions"), ", "))
         .withColumn("mechanism_described", F.when(F.col("mechanism_described"), "Yes").otherwise("No"))
-        .withColumn("sources", F.array_join(F.transform("sources", line), "\n"))
+        .withColumn("sources", citation_lines(F.col("sources")))
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,7 +54,15 @@ def postings(corpus: Corpus, terms: DataFrame, small: bool) -> DataFrame:
         F.sum(F.when(F.col("term") == TOTAL, 0).otherwise(1)).alias("tf"))
 
 
-def weighted_terms(posted: DataFrame, terms: DataFrame, within: tuple[str, ...]) -> DataFrame:
+def expansion_terms(queries: DataFrame, query_id: str, column: str, expansions: dict[str, str]) -> DataFrame:
+    """(query, corpus, term) for the fixed words that single corpora add to every query."""
+    parts = [queries.select(query_id, F.lit(corpus).alias(column), F.explode(search_tokens(F.lit(words))).alias("term"))
+             for corpus, words in expansions.items()]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def weighted_terms(posted: DataFrame, terms: DataFrame, within: tuple[str, ...],
+                   extra: DataFrame | None = None) -> DataFrame:
     """(corpus, query, term) with idf and the mean document length of the corpus."""
     stats = posted.groupBy(*within, "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length"), F.max("tf").alias("max_tf"))
@@ -66,36 +76,63 @@ def weighted_terms(posted: DataFrame, terms: DataFrame, within: tuple[str, ...])
         .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .select(*within, "term", "idf", "mean_length")
     )
-    return terms.join(per_term, "term")
+    weights = terms.join(per_term, "term")
+    if extra is None:
+        return weights
+    added = extra.join(per_term, [*within, "term"])
+    return weights.unionByName(added).dropDuplicates([*within, *terms.columns])
 
 
-def bm25_scores(corpus: Corpus, queries: DataFrame, query_id: str, query: str,
-                k1: float = K1, b: float = B) -> DataFrame:
-    """Score of every (query, document) that shares at least one term."""
+@dataclass
+class Matches:
+    """Postings of a corpus joined to the terms of a query table; `rows` can be aggregated in any way."""
+
+    rows: DataFrame
+    weights: DataFrame
+    corpus: Corpus
+    query_id: str
+
+
+def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id", query: str = "query",
+                expansions: dict[str, str] | None = None) -> Matches:
+    """`expansions` maps values of the one `within` column to words appended to every query there."""
     terms = query_terms(queries, query_id, query)
     small = is_small(terms)
-    posted = postings(corpus, terms, small)
-    weights = weighted_terms(posted, terms, corpus.within)
+    extra = expansion_terms(queries, query_id, corpus.within[0], expansions) if expansions else None
+    wanted = terms.select("term") if extra is None else terms.select("term").union(extra.select("term"))
+    posted = postings(corpus, wanted, small)
+    weights = weighted_terms(posted, terms, corpus.within, extra)
     hits = posted.filter("tf > 0")
-    if small:
-        joined = hits.join(F.broadcast(weights), [*corpus.within, "term"])
+    on = [*corpus.within, "term"]
+    if small and not corpus.within:
+        rows = hits.join(F.broadcast(weights), on)
     else:
-        joined = join_small(hits, weights, [*corpus.within, "term"], "inner", F.col(corpus.doc_id), False)
+        rows = join_small(hits, weights, on, "inner", F.col(corpus.doc_id))
+    return Matches(rows, weights, corpus, query_id)
+
+
+def bm25_scores(found: Matches, k1: float = K1, b: float = B) -> DataFrame:
+    """Score of every (query, document) that shares at least one term."""
+    keys = [found.query_id, *found.corpus.within, found.corpus.doc_id]
     tf = F.col("tf").cast("double")
     part = F.col("idf") * tf * (k1 + 1) / (
         tf + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return (
-        joined.groupBy(query_id, *corpus.within, corpus.doc_id)
-        .agg(F.sum(part).alias("raw"))
-        .select(query_id, *corpus.within, corpus.doc_id, round_half_up(F.col("raw"), 6).alias("score"))
-    )
+    return found.rows.groupBy(*keys).agg(F.sum(part).alias("raw")).select(
+        *keys, round_half_up(F.col("raw"), 6).alias("score"))
+
+
+def term_coverage(found: Matches) -> DataFrame:
+    """Share of the query's idf weight that a document covers."""
+    group = [found.query_id, *found.corpus.within]
+    total = found.weights.groupBy(*group).agg(F.sum("idf").alias("all_idf"))
+    covered = found.rows.groupBy(*group, found.corpus.doc_id).agg(F.sum("idf").alias("idf"))
+    return covered.join(total, group).select(
+        *group, found.corpus.doc_id, round_half_up(F.col("idf") / F.col("all_idf"), 6).alias("coverage"))
 
 
-def bm25_topk(corpus: Corpus, queries: DataFrame, k: int, query_id: str = "query_id",
-              query: str = "query", keep: DataFrame | None = None, keep_on: list[str] | None = None) -> DataFrame:
-    """Best k documents per query (and per corpus). `keep` holds allowed (query, document) attributes:
-    rows that do not join to it on `keep_on` are removed before ranking."""
-    scored = bm25_scores(corpus, queries, query_id, query)
-    if keep is not None:
-        scored = scored.join(keep, keep_on, "left_semi")
-    return top_k(scored, [query_id, *corpus.within], [F.desc("score"), F.asc(corpus.doc_id)], k)
+def bm25_topk(found: Matches, k: int, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Best k documents per query (and per corpus); `where` filters the scored rows before ranking."""
+    scored = bm25_scores(found)
+    kept = where(scored) if where else scored
+    doc_id = found.corpus.doc_id
+    return top_k(kept, [found.query_id, *found.corpus.within], [F.desc("score"), F.asc(doc_id)], k)

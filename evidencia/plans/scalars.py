@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evidencia.functions import codes, dates, ids, markup, records
 from evidencia.operators.dense import dense_topk
 from evidencia.plans.registry import Tables, query
-from evidencia.plans.retrieval import COSINE, DENSE, DIM, ranked, vector_corpus, vector_queries
+from evidencia.plans.retrieval import DENSE, DIM, ranked, vector_corpus, vector_queries
 from evidencia.sources import registry
 
 def digit() -> Column:
