@@ -123,7 +123,7 @@ def read_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
     The expiry is the latest of three dates; rows without number or proper name are dropped.
     """
     text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
+        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
     generic = ", ".join(f"c{i} string" for i in range(_WIDTH))
 
     def cells(line):
