@@ -15,7 +15,7 @@ def stream_upsert(t: Tables) -> DataFrame:
     columns = ["o_orderkey", "o_orderstatus", "o_totalprice"]
     target = VersionedTable(t.spark, scratch_path(t.spark, "orders"))
     target.replace(t.orders.select(*columns).withColumn("o_totalprice", F.lit(0.0)).withColumn("version", F.lit(0)))
-    stream = delta.landed_stream(t.spark, f"{t.root}/orders.parquet", t.orders.schema).select(*columns, F.lit(1).alias("version"))
+    stream = delta.landed_stream(t.spark, f"{t.root}/orders.parquet*", t.orders.schema).select(*columns, F.lit(1).alias("version"))
     delta.stream_upserts(stream, target, ["o_orderkey"], "version", scratch_path(t.spark, "checkpoint"))
     return target.read().select(*columns)
 
@@ -33,7 +33,7 @@ def stream_digest(t: Tables) -> DataFrame:
     entries.replace(t.events.filter("event_type = 'signup'").select(F.col("user_id").alias("entity")).distinct().select(
         "entity", F.when(F.col("entity") % 2 == 0, "drug").otherwise("company").alias("type"),
         F.lit("2024-01-20 06:00:00").cast("timestamp_ntz").alias("last_checked")))
-    stream = delta.landed_stream(t.spark, f"{t.root}/events.parquet", t.events.schema).select(
+    stream = delta.landed_stream(t.spark, f"{t.root}/events.parquet*", t.events.schema).select(
         F.col("user_id").alias("entity"), "ts", F.col("event_type").alias("kind"))
     digests = scratch_path(t.spark, "digests")
     delta.stream_digests(stream, entries, digests, scratch_path(t.spark, "checkpoint"), ["error"])

@@ -11,6 +11,7 @@ from evidencia.sources.store import VersionedTable
 
 
 def landed_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Parquet files as they land in a folder. To stream a single file give a pattern that matches it."""
     return spark.readStream.schema(schema).parquet(path)
 
 
