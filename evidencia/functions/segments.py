@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidencia.functions.binding import let
 from evidencia.functions.ids import CHUNKS, uuid5
 
 # (size, overlap) per corpus
@@ -74,10 +75,10 @@ def _pack(pieces: Column, size: int, overlap: int) -> Column:
     def step(acc, piece):
         length = F.length(piece)
         full = (acc["total"] + length > size) & (F.size(acc["held"]) > 0)
-        kept = tail(acc["held"], length)
         broken = F.struct(closed(acc).alias("chunks"), _empty().alias("held"), F.lit(0).alias("total"))
-        rolled = F.struct(closed(acc).alias("chunks"), F.concat(kept["kept"], F.array(piece)).alias("held"),
-                          (kept["total"] + length).alias("total"))
+        rolled = let(tail(acc["held"], length), lambda kept: F.struct(
+            closed(acc).alias("chunks"), F.concat(kept["kept"], F.array(piece)).alias("held"),
+            (kept["total"] + length).alias("total")))
         grown = F.struct(acc["chunks"].alias("chunks"), F.concat(acc["held"], F.array(piece)).alias("held"),
                          (acc["total"] + length).alias("total"))
         return F.when(piece.isNull(), broken).when(full, rolled).otherwise(grown).cast(state)
@@ -102,13 +103,14 @@ def _is_table(line: Column) -> Column:
 
 def markdown_blocks(text: Column) -> Column:
     """Alternating prose and table blocks as array<struct(is_table, text)>."""
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
-    index = F.sequence(F.lit(1), F.size(lines))
-    starts = F.filter(index, lambda i: (i == 1) | (
-        _is_table(F.get(lines, i - 1)) != _is_table(F.get(lines, i - 2))))
-    return F.transform(starts, lambda s, i: F.struct(
-        _is_table(F.get(lines, s - 1)).alias("is_table"),
-        F.array_join(F.slice(lines, s, F.coalesce(F.get(starts, i + 1), F.size(lines) + 1) - s), "\n").alias("text")))
+    def blocks(lines):
+        index = F.sequence(F.lit(1), F.size(lines))
+        starts = F.filter(index, lambda i: (i == 1) | (
+            _is_table(F.get(lines, i - 1)) != _is_table(F.get(lines, i - 2))))
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.struct(
+            _is_table(F.get(lines, s - 1)).alias("is_table"),
+            F.array_join(F.slice(lines, s, F.coalesce(F.get(at, i + 1), F.size(lines) + 1) - s), "\n").alias("text"))))
+    return let(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n"), blocks)
 
 
 def table_blocks(blocks: Column) -> Column:
@@ -120,14 +122,17 @@ def markdown_chunks(blocks: Column, size: int, overlap: int) -> Column:
 
     Tables are replaced by short marks before packing, so their size does not count.
     """
-    tables = table_blocks(blocks)
-    earlier = lambda i: F.size(F.filter(F.slice(blocks, F.lit(1), i), lambda b: b["is_table"]))
-    marked = F.array_join(F.transform(blocks, lambda b, i: F.when(
-        b["is_table"], F.concat(F.lit("\u0000TABLE_"), earlier(i).cast("string"), F.lit("\u0000"))).otherwise(b["text"])), "\n")
+    def number(piece):
+        return F.regexp_extract(piece, "^TABLE_([0-9]+)$", 1)
+
+    def earlier(i):
+        return F.size(F.filter(F.slice(blocks, F.lit(1), i), lambda b: b["is_table"]))
+
+    marked = F.array_join(F.transform(blocks, lambda b, i: F.when(b["is_table"], F.concat(
+        F.lit("\u0000TABLE_"), earlier(i).cast("string"), F.lit("\u0000"))).otherwise(b["text"])), "\n")
     pieces = F.flatten(F.transform(recursive_chunks(marked, size, overlap, MARKDOWN_SEPARATORS), lambda c: F.split(c, "\u0000")))
-    number = lambda p: F.regexp_extract(p, "^TABLE_([0-9]+)$", 1)
-    restored = F.transform(pieces, lambda p: F.when(
-        number(p) != "", F.get(tables, number(p).try_cast("int"))).otherwise(stripped(p)))
+    restored = let(table_blocks(blocks), lambda tables: F.transform(pieces, lambda p: F.when(
+        number(p) != "", F.get(tables, number(p).try_cast("int"))).otherwise(stripped(p))))
     return F.filter(restored, lambda c: c != "")
 
 
@@ -155,7 +160,7 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
         def step(acc, part):
             hit = acc["at"] + F.length(part)
             return F.struct((hit + len(keyword)).alias("at"), F.concat(acc["hits"], F.array(hit)).alias("hits"))
-        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda acc: acc["hits"])
+        return let(parts, lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step, lambda acc: acc["hits"]))
     return F.array_sort(F.array_distinct(F.concat(*[offsets(k) for k in keywords])))
 
 
@@ -165,20 +170,24 @@ def keyword_spans(hits: Column, length: Column, before: int, after: int, gap: in
     All windows have the same reach, so ends never decrease and the merged end so far is always the
     end of the hit before: a span starts where a window begins past that end plus the gap.
     """
-    begin = lambda h: F.greatest(h - before, F.lit(0))
-    end = lambda h: F.least(h + after, length)
-    opens = lambda i: (i == 0) | (begin(F.get(hits, i)) > end(F.get(hits, i - 1)) + gap)
-    index = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(index, opens)
-    return F.transform(starts, lambda s, i: F.struct(
-        begin(F.get(hits, s)).alias("start"),
-        end(F.get(hits, F.coalesce(F.get(starts, i + 1), F.size(hits)) - 1)).alias("end")))
+    def begin(hit):
+        return F.greatest(hit - before, F.lit(0))
+
+    def end(hit):
+        return F.least(hit + after, length)
+
+    def spans(h):
+        index = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(index, lambda i: (i == 0) | (begin(F.get(h, i)) > end(F.get(h, i - 1)) + gap))
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.struct(
+            begin(F.get(h, s)).alias("start"), end(F.get(h, F.coalesce(F.get(at, i + 1), F.size(h)) - 1)).alias("end"))))
+    return let(hits, spans)
 
 
 def with_windows(docs: DataFrame, text: str, keywords: list[str], window: tuple[int, int, int]) -> DataFrame:
     """Adds `hits` and `spans`; the two steps are kept apart so each is computed once."""
     return docs.withColumn("hits", F.explode(F.array(keyword_hits(F.col(text), keywords)))).withColumn(
-        "spans", keyword_spans(F.col("hits"), F.length(text), *window))
+        "spans", let(F.length(text), lambda n: keyword_spans(F.col("hits"), n, *window)))
 
 
 def excerpt(text: Column, spans: Column) -> Column:

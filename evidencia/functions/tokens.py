@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from evidencia.functions.binding import let
+
 # Words that never count as distinctive evidence for a query.
 BOILERPLATE_WORDS = """
 trial trials clinical phase mechanism mechanisms oncology cancer drug drugs patient patients study
@@ -55,6 +57,17 @@ def search_tokens(text: Column) -> Column:
     return words_outside(matches(text, WORD_PATTERN), ENGLISH_STOP_WORDS)
 
 
+def word_counts(words: Column) -> Column:
+    """array<struct(term, tf)>: each distinct word with its count, by the runs of the sorted array."""
+    def runs(ordered):
+        index = F.when(F.size(ordered) > 0, F.sequence(F.lit(0), F.size(ordered) - 1)).otherwise(
+            F.array().cast("array<int>"))
+        starts = F.filter(index, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda s, i: F.struct(
+            F.get(ordered, s).alias("term"), (F.coalesce(F.get(at, i + 1), F.size(ordered)) - s).alias("tf"))))
+    return let(F.array_sort(words), runs)
+
+
 def content_tokens(text: Column) -> Column:
     """Distinct words long enough and specific enough to serve as grounding evidence."""
     return F.array_distinct(

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from evidencia.functions.numbers import round_half_up
-from evidencia.functions.tokens import search_tokens
+from evidencia.functions.tokens import search_tokens, word_counts
 from evidencia.operators.ranking import top_k
 from evidencia.sizing import is_small, join_small
 
@@ -35,23 +35,22 @@ def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
 def postings(corpus: Corpus, terms: DataFrame, small: bool) -> DataFrame:
     """(doc, term, tf, length) for the wanted terms plus one TOTAL row (tf = 0) per document.
 
-    Tokens stream out of the scan straight into a semi-join with the wanted terms and a partial
-    sum, so only matching postings are shuffled, never the token stream of the corpus. Readers tell
-    the two kinds of rows apart by tf, an aggregate, so that no filter moves below the exchange and
-    the statistics and the scores share one scan.
+    Words are counted inside each row, and postings stream out of the scan into a semi-join with the
+    wanted terms, so only matching postings are shuffled, once, by document. That exchange serves the
+    statistics and the scores alike: readers tell TOTAL rows by tf, and no filter on the term moves
+    below it. Scores group by document, so they need no further shuffle.
     """
     keys = [corpus.doc_id, *corpus.within]
     vocabulary = terms.select("term").distinct()
     wanted = vocabulary.unionByName(
         vocabulary.sparkSession.range(1).select(F.lit(TOTAL).alias("term"))
     )
-    tokens = corpus.df.select(*keys, search_tokens(F.col(corpus.text)).alias("words")).select(
-        *keys, F.size("words").alias("length"),
-        F.explode(F.concat("words", F.array(F.lit(TOTAL)))).alias("word"),
-    ).select(*keys, "length", F.coalesce("word", F.lit(TOTAL)).alias("term"))
-    kept = join_small(tokens, wanted, ["term"], "left_semi", F.col(corpus.doc_id), small)
-    return kept.groupBy(*keys, "length", "term").agg(
-        F.sum(F.when(F.col("term") == TOTAL, 0).otherwise(1)).alias("tf"))
+    total = F.array(F.struct(F.lit(TOTAL).alias("term"), F.lit(0).alias("tf")))
+    counted = corpus.df.select(*keys, F.explode(F.array(search_tokens(F.col(corpus.text)))).alias("words")).select(
+        *keys, F.size("words").alias("length"), F.inline(F.concat(word_counts(F.col("words")), total)))
+    listed = counted.withColumn("term", F.coalesce("term", F.lit(TOTAL)))
+    kept = join_small(listed, wanted, ["term"], "left_semi", F.col(corpus.doc_id), small)
+    return kept.select(*keys, "length", "term", "tf").repartition(corpus.doc_id)
 
 
 def expansion_terms(queries: DataFrame, query_id: str, column: str, expansions: dict[str, str]) -> DataFrame:
@@ -93,21 +92,23 @@ class Matches:
     query_id: str
 
 
+def corpora(corpus: Corpus) -> int:
+    """Number of separately searched corpora; the weights hold at most this many rows per query term."""
+    return corpus.df.select(*corpus.within).distinct().count() if corpus.within else 1
+
+
 def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id", query: str = "query",
                 expansions: dict[str, str] | None = None) -> Matches:
     """`expansions` maps values of the one `within` column to words appended to every query there."""
     terms = query_terms(queries, query_id, query)
-    small = is_small(terms)
+    small = is_small(terms, corpora(corpus))
     extra = expansion_terms(queries, query_id, corpus.within[0], expansions) if expansions else None
     wanted = terms.select("term") if extra is None else terms.select("term").union(extra.select("term"))
     posted = postings(corpus, wanted, small)
     weights = weighted_terms(posted, terms, corpus.within, extra)
     hits = posted.filter("tf > 0")
     on = [*corpus.within, "term"]
-    if small and not corpus.within:
-        rows = hits.join(F.broadcast(weights), on)
-    else:
-        rows = join_small(hits, weights, on, "inner", F.col(corpus.doc_id))
+    rows = join_small(hits, weights, on, "inner", F.col(corpus.doc_id), small)
     return Matches(rows, weights, corpus, query_id)
 
 

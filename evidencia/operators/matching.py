@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from evidencia.functions.binding import let
 from evidencia.functions.numbers import round_half_up
 from evidencia.functions.tokens import WORD_PATTERN, matches
 from evidencia.operators.ranking import top_k
@@ -16,9 +17,11 @@ MENTION_THRESHOLD = 0.85
 
 def grams(text: Column, n: int = GRAM) -> Column:
     """Distinct character n-grams; empty for shorter texts."""
-    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(
-        F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
+    def cut(t):
+        starts = F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(t, i, F.lit(n)))
+    return F.array_distinct(let(text, cut))
 
 
 def contains_join(names: DataFrame, name: str, needles: DataFrame, needle: str) -> DataFrame:

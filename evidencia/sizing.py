@@ -9,17 +9,20 @@ BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """True if `df` has at most `rows` rows and `size` bytes, measured on the data itself.
-
-    The limit stops the measuring job early when the side turns out to be large.
-    """
+def measure(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:
+    """(rows, bytes) of `df`, counted on the data itself and no further than `rows` + 1 rows."""
     width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
     n, total = (
         df.limit(rows + 1).select(width.alias("w"))
         .agg(F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
     )
-    return n <= rows and total <= size
+    return n, total
+
+
+def is_small(df: DataFrame, copies: int = 1) -> bool:
+    """May `df`, repeated `copies` times, be broadcast?"""
+    n, total = measure(df)
+    return n * copies <= BROADCAST_ROWS and total * copies <= BROADCAST_BYTES
 
 
 def join_small(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner",
