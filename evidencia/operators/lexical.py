@@ -37,8 +37,8 @@ def postings(corpus: Corpus, terms: DataFrame, small: bool) -> DataFrame:
 
     Words are counted inside each row, and postings stream out of the scan into a semi-join with the
     wanted terms, so only matching postings are shuffled, once, by document. That exchange serves the
-    statistics and the scores alike: readers tell TOTAL rows by tf, and no filter on the term moves
-    below it. Scores group by document, so they need no further shuffle.
+    statistics and the scores alike: no reader filters postings, only aggregates of them, so nothing
+    moves below it and makes the readers differ. Scores group by document, so they need no further shuffle.
     """
     keys = [corpus.doc_id, *corpus.within]
     vocabulary = terms.select("term").distinct()
@@ -65,14 +65,15 @@ def weighted_terms(posted: DataFrame, terms: DataFrame, within: tuple[str, ...],
     """(corpus, query, term) with idf and the mean document length of the corpus."""
     stats = posted.groupBy(*within, "term").agg(
         F.count(F.lit(1)).alias("df"), F.sum("length").alias("total_length"), F.max("tf").alias("max_tf"))
-    totals = stats.filter("max_tf = 0").select(
-        *within, F.col("df").alias("n_docs"), (F.col("total_length") / F.col("df")).alias("mean_length"),
-        F.lit(1).alias("_one"))
-    per_term = stats.filter("max_tf > 0").withColumn("_one", F.lit(1))
-    # one row per corpus on the right: the equality on _one keeps this an ordinary hash join
+    per_term, totals = stats.filter("max_tf > 0"), stats.filter("max_tf = 0")
+    if within:
+        per_term = per_term.join(totals.select(*within, F.col("df").alias("n_docs"), F.col("total_length").alias("all_length")), [*within])
+        per_term = per_term.withColumn("mean_length", F.col("all_length") / F.col("n_docs"))
+    else:
+        per_term = per_term.withColumn("n_docs", totals.select("df").scalar()).withColumn(
+            "mean_length", totals.select(F.col("total_length") / F.col("df")).scalar())
     per_term = (
-        per_term.join(totals, [*within, "_one"])
-        .withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+        per_term.withColumn("idf", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
         .select(*within, "term", "idf", "mean_length")
     )
     weights = terms.join(per_term, "term")
@@ -106,9 +107,9 @@ def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id",
     wanted = terms.select("term") if extra is None else terms.select("term").union(extra.select("term"))
     posted = postings(corpus, wanted, small)
     weights = weighted_terms(posted, terms, corpus.within, extra)
-    hits = posted.filter("tf > 0")
     on = [*corpus.within, "term"]
-    rows = join_small(hits, weights, on, "inner", F.col(corpus.doc_id), small)
+    # TOTAL rows find no weight and drop out of the join
+    rows = join_small(posted, weights, on, "inner", F.col(corpus.doc_id), small)
     return Matches(rows, weights, corpus, query_id)
 
 

@@ -83,7 +83,9 @@ def common_terms(docs: DataFrame, doc_id: str, text: str, share: float = COMMON_
 
 
 def distinctive_terms(rows: DataFrame, key: str, text: str, common: DataFrame) -> DataFrame:
-    return join_small(content_terms(rows, key, text), common.select("token"), ["token"], "left_anti", F.col(key))
+    """Content tokens without the common ones. Their number is bounded by their very definition (see
+    common_terms), so they are broadcast without being counted first."""
+    return join_small(content_terms(rows, key, text), common.select("token"), ["token"], "left_anti", small=True)
 
 
 def grounded(queries: DataFrame, query_id: str, query: str, hits: DataFrame, haystack: str,

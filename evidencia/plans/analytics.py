@@ -117,7 +117,7 @@ d as (select doc_id, unnest(list_filter(list_distinct(regexp_extract_all(lower(t
 s as (select item_id, doc_id, floor(count(*)::double / n * 1000000.0 + 0.5) / 1000000.0 as overlap from c join d using (token) group by item_id, doc_id, n)
 select item_id, doc_id, overlap from (select *, row_number() over (partition by item_id order by overlap desc, doc_id) as rn from s) where rn = 1 and overlap >= 0.15""")
 def claim_source(t: Tables) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     return evaluation.claim_sources(t.benchmark.select("item_id", F.col("text").alias("claim")), "item_id", "claim", docs, "doc_id", "text")
 
 

@@ -125,7 +125,7 @@ def item_names(t: Tables) -> DataFrame:
 
 
 def name_mentions(t: Tables) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     return matching.mentions(docs, "doc_id", "text", item_names(t), "entry", [3])
 
 

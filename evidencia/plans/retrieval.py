@@ -29,7 +29,7 @@ def text_queries(t: Tables) -> DataFrame:
 
 
 def text_corpus(t: Tables, *within: str) -> Corpus:
-    return Corpus(spread(t.documents.select("doc_id", "text", *within), "doc_id"), within=tuple(within))
+    return Corpus(spread(t.documents.select("doc_id", "text", *within)), within=tuple(within))
 
 
 def vector_corpus(t: Tables) -> DataFrame:
@@ -151,7 +151,7 @@ def filtered(t: Tables, k: int) -> DataFrame:
     allowed = F.array("label", ((F.col("label") + 3) % 10).cast("int"))
     asked = vector_queries(t).select("query_id", "embedding", F.explode(allowed).alias("label"))
     near = search.Vectors(vector_corpus(t).join(english.select("doc_id"), "doc_id", "left_semi"), asked, DIM, ("label",))
-    found = match_terms(Corpus(spread(t.documents.select("doc_id", "text"), "doc_id")), text_queries(t))
+    found = match_terms(Corpus(spread(t.documents.select("doc_id", "text"))), text_queries(t))
 
     def permitted(scored: DataFrame) -> DataFrame:
         good = labels.join(english.select("doc_id"), "doc_id", "left_semi")
@@ -230,7 +230,7 @@ select query_id, 'literature' as corpus, doc_id, rank::bigint as rank, floor(sco
 union all select query_id, 'news', doc_id, rank::bigint, floor(score * 10000.0 + 0.5) / 10000.0 from other""")
 def dense_fallback(t: Tables) -> DataFrame:
     """English documents stand for a corpus with a lexical index, the others for one without."""
-    docs = spread(t.documents.select("doc_id", "text", "lang"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text", "lang"))
     tagged = vector_corpus(t).join(t.documents.select("doc_id", "lang"), "doc_id")
     parts = []
     for name, keep in (("literature", "lang = 'en'"), ("news", "lang <> 'en'")):
@@ -279,17 +279,17 @@ ground as (select item_id as query_id, not exists (select 1 from qtok where quer
 
 @query(f"with {COMMON_SQL} select token, df from common")
 def common_terms(t: Tables) -> DataFrame:
-    return search.common_terms(spread(t.documents.select("doc_id", "text"), "doc_id"), "doc_id", "text", COMMON)
+    return search.common_terms(spread(t.documents.select("doc_id", "text")), "doc_id", "text", COMMON)
 
 
 @query(f"with {COMMON_SQL} select doc_id, token from dtok where token not in (select token from common)")
 def content_tokens(t: Tables) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     return search.distinctive_terms(docs, "doc_id", "text", search.common_terms(docs, "doc_id", "text", COMMON))
 
 
 def grounding(t: Tables, hits: DataFrame) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     common = search.common_terms(docs, "doc_id", "text", COMMON)
     return search.grounded(text_queries(t), "query_id", "query", hits.join(docs, "doc_id"), "text", common)
 
@@ -317,7 +317,7 @@ def lookup_fallback(t: Tables) -> DataFrame:
     known = entity_lookup(drug_graph(t), synonyms(t), asked)
     missing = asked.join(known.select("entity").distinct(), "entity", "left_anti").select(
         F.col("entity").alias("query_id"), F.col("entity").alias("query"))
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     hits = bm25_topk(match_terms(Corpus(docs), missing), 5)
     common = search.common_terms(docs, "doc_id", "text", COMMON)
     good = search.grounded(missing, "query_id", "query", hits.join(docs, "doc_id"), "text", common).filter("grounded")
@@ -381,7 +381,7 @@ def search_text(t: Tables) -> DataFrame:
 @query()
 def hash_embed(t: Tables) -> DataFrame:
     """Hashed, idf-weighted, unit-length vectors of the documents."""
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     return hashed_vectors(docs, "text", 256).select("doc_id", "embedding")
 
 

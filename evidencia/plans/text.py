@@ -23,7 +23,7 @@ spans as (select doc_id, span_no, min(s) as start_at, max(e) as end_at, any_valu
 
 
 def windowed(t: Tables) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     return segments.with_windows(docs, "text", KEYWORDS, WINDOW)
 
 
@@ -51,6 +51,6 @@ def chunk_fixed(t: Tables) -> DataFrame:
 
 @query()
 def chunk_recursive(t: Tables) -> DataFrame:
-    docs = spread(t.documents.select("doc_id", "text"), "doc_id")
+    docs = spread(t.documents.select("doc_id", "text"))
     chunks = segments.recursive_chunks(F.col("text"), *segments.CHUNKING["literature"])
     return segments.chunk_rows(docs, "doc_id", chunks).select("doc_id", "chunk_id", "chunk_index", "chunk_count", "chunk")

@@ -43,10 +43,10 @@ def join_small(big: DataFrame, side: DataFrame, on: list[str], how: str = "inner
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that yields fewer partitions than there are cores (few or unsplit files).
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than there are cores (few or unsplit files).
 
     Inputs with enough partitions, the normal case on a cluster, pass through without a shuffle.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, key) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
