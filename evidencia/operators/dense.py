@@ -1,12 +1,15 @@
 """Exact cosine top-k for a whole table of query vectors at once.
 
-Corpus and queries are hashed into blocks of bounded size; one task handles one (corpus block,
-query block) cell with a matrix product and emits at most k rows per query, so neither all pairs
-nor a whole group ever leaves a task. A hot filter value is split over its blocks like any other.
+Query vectors of a counted, bounded size travel with the task: every corpus partition is multiplied
+with them where it lies, and only its best k rows per query are shuffled. Larger query tables and the
+corpus are hashed into blocks of bounded size and one task handles one (corpus block, query block)
+cell; a hot filter value is split over its blocks like any other. All pairs never leave a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -15,6 +18,7 @@ from evidencia.operators.ranking import top_k
 
 ROWS_PER_BLOCK = 32_768
 QUERIES_PER_BLOCK = 4_096
+QUERY_BYTES = 32 << 20
 _SLICE = 128  # queries multiplied at a time inside a cell
 
 
@@ -36,29 +40,76 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def _search_cell(k: int, within: tuple[str, ...], id_name: str, query_name: str, schema: pa.Schema):
+class _Best:
+    """Running top-k per (query, corpus value) over blocks of corpus rows."""
+
+    def __init__(self, k: int, qids: list, queries: np.ndarray, match: list, within: tuple[str, ...]):
+        self.k, self.qids, self.queries, self.match, self.within = k, qids, queries, match, within
+        self.held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, ids: np.ndarray, corpus: np.ndarray, match: list, groups: list) -> None:
+        rows = _positions(zip(match, groups))
+        for (value, group), members in rows.items():
+            asked = np.array([i for i, m in enumerate(self.match) if m == value], dtype=int)
+            block, names = corpus[members].T, ids[members]
+            for start in range(0, len(asked), _SLICE):
+                part = asked[start:start + _SLICE]
+                sims = np.floor(self.queries[part] @ block * 1e6 + 0.5) / 1e6
+                for q, scores in zip(part, sims):
+                    old = self.held.get((q, group))
+                    if old is not None:
+                        scores, merged = np.concatenate([old[0], scores]), np.concatenate([old[1], names])
+                    else:
+                        merged = names
+                    pick = _best(scores, merged, self.k)
+                    self.held[(q, group)] = (scores[pick], merged[pick])
+
+    def table(self, schema: pa.Schema, query_id: str, doc_id: str) -> pa.Table:
+        out = {name: [] for name in schema.names}
+        for (q, group), (scores, names) in self.held.items():
+            out[query_id] += [self.qids[q]] * len(names)
+            out[doc_id] += names.tolist()
+            out["score"] += scores.tolist()
+            for column, value in zip(self.within, group):
+                out[column] += [value] * len(names)
+        return pa.Table.from_pydict(out, schema=schema)
+
+
+def _positions(keys) -> dict:
+    found: dict = {}
+    for i, key in enumerate(keys):
+        found.setdefault(key, []).append(i)
+    return {key: np.array(rows) for key, rows in found.items()}
+
+
+def _tuples(table, columns: tuple[str, ...]) -> list[tuple]:
+    if not columns:
+        return [()] * table.num_rows
+    return list(zip(*[table[c].to_pylist() for c in columns]))
+
+
+def _search_cell(k: int, match_on: tuple[str, ...], within: tuple[str, ...], doc_id: str, query_id: str, schema: pa.Schema):
+    """One (corpus block, query block) cell."""
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        corpus, queries = _unit_rows(left["_v"]), _unit_rows(right["_v"])
-        ids = left[id_name].to_numpy()
-        qids = right[query_name].to_pylist()
-        groups: dict[tuple, list[int]] = {}
-        for i, value in enumerate(zip(*[left[c].to_pylist() for c in within])) if within else ():
-            groups.setdefault(value, []).append(i)
-        parts = [(v, np.array(rows)) for v, rows in groups.items()] if within else [((), np.arange(len(ids)))]
-        out = {name: [] for name in schema.names}
-        for start in range(0, len(qids), _SLICE):
-            sims = np.floor(queries[start:start + _SLICE] @ corpus.T * 1e6 + 0.5) / 1e6
-            for j, row in enumerate(sims):
-                for value, members in parts:
-                    pick = members[_best(row[members], ids[members], k)]
-                    out[query_name] += [qids[start + j]] * len(pick)
-                    out[id_name] += ids[pick].tolist()
-                    out["score"] += row[pick].tolist()
-                    for c, v in zip(within, value):
-                        out[c] += [v] * len(pick)
-        return pa.Table.from_pydict(out, schema=schema)
+        best = _Best(k, right[query_id].to_pylist(), _unit_rows(right["_v"]), _tuples(right, match_on), within)
+        best.add(left[doc_id].to_numpy(), _unit_rows(left["_v"]), _tuples(left, match_on), _tuples(left, within))
+        return best.table(schema, query_id, doc_id)
+
+    return search
+
+
+def _search_partition(k: int, asked: pa.Table, match_on: tuple[str, ...], within: tuple[str, ...], doc_id: str,
+                      query_id: str, schema: pa.Schema):
+    """All queries against one corpus partition, batch by batch."""
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(k, asked[query_id].to_pylist(), _unit_rows(asked["_v"]), _tuples(asked, match_on), within)
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                best.add(rows[doc_id].to_numpy(), _unit_rows(rows["_v"]), _tuples(rows, match_on), _tuples(rows, within))
+        yield from best.table(schema, query_id, doc_id).to_batches()
 
     return search
 
@@ -71,36 +122,45 @@ def valid_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, doc_id: str = "doc_id",
                vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding",
                match_on: tuple[str, ...] = (), within: tuple[str, ...] = (),
-               rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+               rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK,
+               query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Best k corpus rows per query by cosine.
 
     match_on: columns present on both sides that must be equal (hard filter applied before ranking);
     within: corpus columns that are ranked separately (one top-k per query and value).
     """
-    corpus = valid_vectors(corpus, vector, dim)
-    queries = valid_vectors(queries, query_vector, dim)
-    corpus_blocks = max(1, -(-corpus.count() // rows_per_block))
-    query_blocks = max(1, -(-queries.count() // queries_per_block))
+    left = valid_vectors(corpus, vector, dim).select(
+        doc_id, *match_on, *within, F.col(vector).cast("array<double>").alias("_v"))
+    right = valid_vectors(queries, query_vector, dim).select(
+        query_id, *match_on, F.col(query_vector).cast("array<double>").alias("_v"))
+    schema = T.StructType([right.schema[query_id], left.schema[doc_id], *[left.schema[c] for c in within],
+                           T.StructField("score", T.DoubleType())])
+    arrow = pa.schema([
+        (f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(),
+                  "double": pa.float64()}[f.dataType.simpleString()]) for f in schema
+    ])
+    n_queries = right.count()
+    if n_queries * dim * 8 <= query_bytes:
+        found = left.mapInArrow(_search_partition(k, right.toArrow(), match_on, within, doc_id, query_id, arrow), schema)
+    else:
+        found = _by_cells(left, right, n_queries, rows_per_block, queries_per_block, match_on, doc_id, query_id).applyInArrow(
+            _search_cell(k, match_on, within, doc_id, query_id, arrow), schema)
+    return top_k(found, [query_id, *within], [F.desc("score"), F.asc(doc_id)], k)
 
-    def blocks(key, n):
+
+def _by_cells(left: DataFrame, right: DataFrame, n_queries: int, rows_per_block: int, queries_per_block: int,
+              match_on: tuple[str, ...], doc_id: str, query_id: str):
+    """Corpus and queries grouped by (filter value, corpus block, query block)."""
+    corpus_blocks = max(1, -(-left.count() // rows_per_block))
+    query_blocks = max(1, -(-n_queries // queries_per_block))
+
+    def block(key, n):
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = corpus.select(doc_id, *match_on, *within, F.col(vector).cast("array<double>").alias("_v"),
-                         blocks(doc_id, corpus_blocks).alias("_cb")).withColumn("_qb", every(query_blocks))
-    right = queries.select(query_id, *match_on, F.col(query_vector).cast("array<double>").alias("_v"),
-                           blocks(query_id, query_blocks).alias("_qb")).withColumn("_cb", every(corpus_blocks))
     cell = [*match_on, "_cb", "_qb"]
-    fields = [queries.schema[query_id], corpus.schema[doc_id]] + [corpus.schema[c] for c in within]
-    schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
-    arrow = pa.schema([
-        (f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(),
-                  "double": pa.float64()}[f.dataType.simpleString()]) for f in schema
-    ])
-    found = (
-        left.groupBy(*cell).cogroup(right.groupBy(*cell))
-        .applyInArrow(_search_cell(k, within, doc_id, query_id, arrow), schema)
-    )
-    return top_k(found, [query_id, *within], [F.desc("score"), F.asc(doc_id)], k)
+    left = left.withColumn("_cb", block(doc_id, corpus_blocks)).withColumn("_qb", every(query_blocks))
+    right = right.withColumn("_qb", block(query_id, query_blocks)).withColumn("_cb", every(corpus_blocks))
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell))

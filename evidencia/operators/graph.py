@@ -91,7 +91,9 @@ def matched_drugs(graph: Graph, synonyms: DataFrame, entities: DataFrame) -> Dat
 
 def entity_lookup(graph: Graph, synonyms: DataFrame, entities: DataFrame, limit: int = LOOKUP_LIMIT) -> DataFrame:
     """Trials of every entity, in id order, at most `limit` (trial, matched drug) rows per entity."""
-    rows = matched_drugs(graph, synonyms, entities).join(graph.investigates, "drug")
+    # an entity can only reach the first `limit` trials of each of its drugs: cut before the join
+    first = top_k(graph.investigates, ["drug"], [F.asc("trial")], limit, "_rank").drop("_rank")
+    rows = matched_drugs(graph, synonyms, entities).join(first, "drug")
     return top_k(rows, ["entity"], [F.asc("trial"), F.asc("drug")], limit).withColumn("origin", F.lit("knowledge_graph"))
 
 

@@ -48,7 +48,7 @@ def previous_row(df: DataFrame, group: list[str], order: list[str], slice_by: Co
 
 
 def _same(rows: DataFrame, carried: DataFrame, group: list[str]) -> Column:
-    on = F.col("_slice") == F.col("_s")
+    on = F.col("_slice").eqNullSafe(F.col("_s"))
     for i, g in enumerate(group):
         on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
     return on

@@ -12,7 +12,7 @@ from evidencia.functions.tokens import content_tokens
 from evidencia.operators.dense import dense_topk
 from evidencia.operators.lexical import Corpus, Matches, bm25_topk, match_terms
 from evidencia.operators.ranking import OVERFETCH, reciprocal_rank_fusion, top_k
-from evidencia.sizing import join_small
+from evidencia.sizing import BROADCAST_ROWS, join_small
 
 RERANK_CANDIDATES = 100
 COMMON_SHARE = 0.30
@@ -46,6 +46,14 @@ def hybrid_topk(found: Matches, vectors: Vectors, k: int,
                                   [*group, found.corpus.doc_id], group, k)
 
 
+def with_documents(hits: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, per_query: int) -> DataFrame:
+    """Hits with the columns of their documents. There are at most `per_query` hits for each query, so
+    the hits are broadcast where that many rows are few enough, and the corpus is not shuffled."""
+    width = len(hits.columns) + 1
+    side = F.broadcast(hits) if queries.count() * per_query * width <= BROADCAST_ROWS else hits
+    return docs.join(side, doc_id)
+
+
 def has_lexical_index(corpus: str) -> bool:
     return corpus in LEXICAL_FIELDS
 

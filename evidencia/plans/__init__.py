@@ -2,5 +2,5 @@
 
 from evidencia.plans.registry import ORACLES, QUERIES  # noqa: F401
 from evidencia.plans import (  # noqa: F401  (importing registers the queries)
-    retrieval, scalars, history, graph, analytics, text, streams,
+    retrieval, scalars, history, graph, analytics, text, streams, functions,
 )

@@ -291,7 +291,9 @@ def content_tokens(t: Tables) -> DataFrame:
 def grounding(t: Tables, hits: DataFrame) -> DataFrame:
     docs = spread(t.documents.select("doc_id", "text"))
     common = search.common_terms(docs, "doc_id", "text", COMMON)
-    return search.grounded(text_queries(t), "query_id", "query", hits.join(docs, "doc_id"), "text", common)
+    asked = text_queries(t)
+    seen = search.with_documents(hits.select("query_id", "doc_id"), docs, "doc_id", asked, K)
+    return search.grounded(asked, "query_id", "query", seen, "text", common)
 
 
 @query(f"with {BM25}, {ranked('bm25', K, 'best')}, {GROUNDED} select query_id, grounded from ground")
@@ -320,7 +322,8 @@ def lookup_fallback(t: Tables) -> DataFrame:
     docs = spread(t.documents.select("doc_id", "text"))
     hits = bm25_topk(match_terms(Corpus(docs), missing), 5)
     common = search.common_terms(docs, "doc_id", "text", COMMON)
-    good = search.grounded(missing, "query_id", "query", hits.join(docs, "doc_id"), "text", common).filter("grounded")
+    seen = search.with_documents(hits.select("query_id", "doc_id"), docs, "doc_id", missing, 5)
+    good = search.grounded(missing, "query_id", "query", seen, "text", common).filter("grounded")
     kept = hits.join(good, "query_id", "left_semi")
     return known.select("entity", "origin", F.col("trial").alias("item"), F.col("rank").cast("bigint").alias("rank")).unionByName(
         kept.select(F.col("query_id").alias("entity"), F.lit("vector_search_fallback").alias("origin"),
@@ -411,7 +414,7 @@ def smart_table(t: Tables) -> DataFrame:
     rows = rows.join(evidence_rows, ["query_id", "doc_id"], "left").fillna(0, ["evidence"])
     docs = t.documents.select("doc_id", "text", F.col("source").alias("sponsor"), F.col("lang").alias("phase"))
     nct_id = F.format_string("NCT%08d", F.col("doc_id"))
-    rows = rows.join(docs, "doc_id").withColumn("nct_id", nct_id)
+    rows = search.with_documents(rows, docs, "doc_id", text_queries(t), 2 * K).withColumn("nct_id", nct_id)
     accepted, _ = evidence.gate(rows, evidence.acceptable(F.col("nct_id"), nct_id, F.col("phase"), F.col("sponsor")))
     given = F.array(evidence.citation(F.lit("registry"), F.lit("unchecked"), F.lit("")),
                     evidence.citation(F.lit("document"), F.concat(F.lit("document "), F.col("doc_id").cast("string")), F.lit("")))
