@@ -19,6 +19,7 @@ from evidencia.plans.graph import (
 )
 from evidencia.plans.registry import Tables, query
 from evidencia.sizing import spread
+from evidencia.sources.store import written
 
 DIM = 64
 K = 10
@@ -316,9 +317,9 @@ union all select query_id, 'vector_search_fallback', doc_id::varchar, rank::bigi
 def lookup_fallback(t: Tables) -> DataFrame:
     """Entities the graph does not know are searched in the texts and kept only if grounded."""
     asked = entities(t).union(t.benchmark.select("text")).distinct()
-    known = entity_lookup(drug_graph(t), synonyms(t), asked)
-    missing = asked.join(known.select("entity").distinct(), "entity", "left_anti").select(
-        F.col("entity").alias("query_id"), F.col("entity").alias("query"))
+    known = written(entity_lookup(drug_graph(t), synonyms(t), asked), "known")
+    missing = written(asked.join(known.select("entity").distinct(), "entity", "left_anti").select(
+        F.col("entity").alias("query_id"), F.col("entity").alias("query")), "missing")
     docs = spread(t.documents.select("doc_id", "text"))
     hits = bm25_topk(match_terms(Corpus(docs), missing), 5)
     common = search.common_terms(docs, "doc_id", "text", COMMON)

@@ -22,6 +22,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table in the shared folder: a result read several times is computed once, and a lost
+    executor costs no recomputation of what came before."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def land(df: DataFrame, path: str, date: str, mode: str = "append") -> None:
     """Write raw rows under `<date column>=yyyy-mm-dd/`; the rebalance hint splits a hot day."""
     df.hint("rebalance", date).write.mode(mode).partitionBy(date).parquet(path)
