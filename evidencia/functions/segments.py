@@ -57,34 +57,43 @@ def _pieces(text: Column, separators: list[str], size: int, overlap: int) -> Col
 
 def _pack(pieces: Column, size: int, overlap: int) -> Column:
     """Greedy packing of pieces into chunks; a new chunk starts with the trailing pieces of the last
-    one that fit into the overlap."""
-    state = "struct<chunks:array<string>,held:array<string>,total:int>"
-
-    def closed(acc):
-        return F.when(F.size(acc["held"]) > 0, F.concat(acc["chunks"], F.array(F.array_join(acc["held"], "")))).otherwise(acc["chunks"])
-
-    def tail(held, length):
-        def step(acc, piece):
-            total = acc["total"] + F.length(piece)
-            fits = acc["open"] & (total <= overlap) & (total + length <= size)
-            return F.struct(F.when(fits, F.concat(F.array(piece), acc["kept"])).otherwise(acc["kept"]).alias("kept"),
-                            F.when(fits, total).otherwise(acc["total"]).alias("total"), fits.alias("open"))
-        start = F.struct(_empty().alias("kept"), F.lit(0).alias("total"), F.lit(True).alias("open"))
-        return F.aggregate(F.reverse(held), start.cast("struct<kept:array<string>,total:int,open:boolean>"), step)
-
-    def step(acc, piece):
-        length = F.length(piece)
-        full = (acc["total"] + length > size) & (F.size(acc["held"]) > 0)
-        broken = F.struct(closed(acc).alias("chunks"), _empty().alias("held"), F.lit(0).alias("total"))
-        rolled = let(tail(acc["held"], length), lambda kept: F.struct(
-            closed(acc).alias("chunks"), F.concat(kept["kept"], F.array(piece)).alias("held"),
-            (kept["total"] + length).alias("total")))
-        grown = F.struct(acc["chunks"].alias("chunks"), F.concat(acc["held"], F.array(piece)).alias("held"),
-                         (acc["total"] + length).alias("total"))
-        return F.when(piece.isNull(), broken).when(full, rolled).otherwise(grown).cast(state)
-
-    start = F.struct(_empty().alias("chunks"), _empty().alias("held"), F.lit(0).alias("total")).cast(state)
-    return F.aggregate(pieces, start, step, closed)
+    one that fit into the overlap.
+
+    The fold walks over piece numbers and keeps only where the open chunk starts and how long it is,
+    so a step costs the same however many pieces the chunk holds.
+    """
+    state = "struct<cuts:array<struct<start:int,stop:int>>,start:int,total:int>"
+
+    def cut(acc, stop):
+        return F.when(acc["start"] < stop, F.concat(acc["cuts"], F.array(F.struct(
+            acc["start"].alias("start"), stop.alias("stop"))))).otherwise(acc["cuts"])
+
+    def tail(lengths, acc, stop, length):
+        """(how many trailing pieces carry over, their length)"""
+        def step(t, n):
+            total = t["total"] + n
+            fits = t["open"] & (total <= overlap) & (total + length <= size)
+            return F.struct((t["kept"] + fits.cast("int")).alias("kept"),
+                            F.when(fits, total).otherwise(t["total"]).alias("total"), fits.alias("open"))
+        start = F.struct(F.lit(0).alias("kept"), F.lit(0).alias("total"), F.lit(True).alias("open"))
+        return F.aggregate(F.reverse(F.slice(lengths, acc["start"] + 1, stop - acc["start"])), start, step)
+
+    def fold(parts, lengths):
+        def step(acc, i):
+            length = F.get(lengths, i)
+            broken = F.struct(cut(acc, i).alias("cuts"), (i + 1).alias("start"), F.lit(0).alias("total"))
+            rolled = let(tail(lengths, acc, i, length), lambda kept: F.struct(
+                cut(acc, i).alias("cuts"), (i - kept["kept"]).alias("start"), (kept["total"] + length).alias("total")))
+            grown = F.struct(acc["cuts"].alias("cuts"), acc["start"].alias("start"), (acc["total"] + length).alias("total"))
+            full = (acc["total"] + length > size) & (acc["start"] < i)
+            return F.when(length.isNull(), broken).when(full, rolled).otherwise(grown).cast(state)
+
+        start = F.struct(F.array().alias("cuts"), F.lit(0).alias("start"), F.lit(0).alias("total")).cast(state)
+        numbers = F.when(F.size(parts) > 0, F.sequence(F.lit(0), F.size(parts) - 1)).otherwise(F.array().cast("array<int>"))
+        cuts = F.aggregate(numbers, start, step, lambda acc: cut(acc, F.size(parts)))
+        return F.transform(cuts, lambda c: F.array_join(F.slice(parts, c["start"] + 1, c["stop"] - c["start"]), ""))
+
+    return let(pieces, lambda parts: let(F.transform(parts, F.length), lambda lengths: fold(parts, lengths)))
 
 
 def stripped(text: Column) -> Column:
@@ -94,7 +103,8 @@ def stripped(text: Column) -> Column:
 def recursive_chunks(text: Column, size: int, overlap: int, separators: list[str] | None = None) -> Column:
     """Chunks of at most `size` characters cut at the coarsest separator that works."""
     packed = _pack(_pieces(text, SEPARATORS if separators is None else separators, size, overlap), size, overlap)
-    return F.filter(F.transform(packed, stripped), lambda c: c != "")
+    chunks = F.when(F.length(text) <= size, F.array(text)).otherwise(packed)
+    return F.filter(F.transform(chunks, stripped), lambda c: c != "")
 
 
 def _is_table(line: Column) -> Column:
@@ -145,7 +155,7 @@ def table_audit(docs: DataFrame, doc_id: str, tables: str, chunks: str) -> DataF
 
 def chunk_rows(docs: DataFrame, key: str, chunks: Column) -> DataFrame:
     """One row per chunk with its index, the number of chunks and a deterministic id."""
-    listed = docs.withColumn("_chunks", chunks)
+    listed = docs.withColumn("_chunks", F.explode(F.array(chunks)))  # a generator: computed once, not per use
     rows = listed.select(*docs.columns, F.size("_chunks").alias("chunk_count"),
                          F.posexplode("_chunks").alias("chunk_index", "chunk"))
     return rows.withColumn("chunk_id", uuid5(CHUNKS, F.concat_ws(":", F.col(key).cast("string"), F.col("chunk_index").cast("string"))))

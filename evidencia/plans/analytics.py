@@ -145,7 +145,7 @@ valid as (select case when starts_with(drug, 'BRAND ') then 'concept ' || lower(
    list_position(['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'Approved'], stage) as rank
   from ev where not (stage = 'Preclinical' and not starts_with(source, 'PMC'))),
 best as (select drug, max(rank) as rank, arg_min(source, (-rank, source)) as source from valid group by drug),
-mech as (select distinct lower(p_name || ' ' || p_partkey % 40) as d, p_type as mechanism from part where p_partkey % 40 < 30 and p_partkey % 3 = 0),
+mech as (select distinct lower(p_name || ' ' || p_partkey % 40) as d, p_type as mechanism from part where p_size > 35),
 placed as (select coalesce(mechanism, '{landscape.OTHER}') as mechanism,
    (['Preclinical', 'Phase 1', 'Phase 2', 'Phase 3', 'Approved'])[rank] as stage, drug, source from best left join mech on d = lower(drug)),
 cells as (select * from placed where mechanism <> '{landscape.OTHER}'
@@ -159,7 +159,7 @@ def cells(t: Tables) -> DataFrame:
         F.when(F.col("p_size") % 10 == 9, F.upper(brand)).otherwise(name).alias("drug"),
         F.element_at(F.array(*[F.lit(s) for s in landscape.STAGES]), (F.col("p_size") % 5 + 1).cast("int")).alias("stage"),
         F.concat(F.when(F.col("p_size") % 3 == 0, "PMC").otherwise("NCT"), F.col("p_partkey").cast("string")).alias("source"))
-    mechanisms = t.part.filter("p_partkey % 40 < 30 and p_partkey % 3 = 0").select(name.alias("drug"), F.col("p_type").alias("mechanism"))
+    mechanisms = t.part.filter("p_size > 35").select(name.alias("drug"), F.col("p_type").alias("mechanism"))
     synonyms = t.part.select(F.concat(F.lit("concept "), F.lower("p_brand")).alias("concept"), brand.alias("brand")).distinct()
     return landscape.landscape_cells(evidence, mechanisms, synonyms)
 
@@ -181,11 +181,11 @@ AS_OF = "1998-08-15"
 
 
 @query(f"""
-with d as (select o_orderkey, case when o_orderkey % 4 <> 0 then o_orderdate::date + 10 end as p, case when o_orderkey % 6 <> 0 then o_orderdate::date + 60 end as c from orders where o_orderkey % 10 <> 0)
+with d as (select o_orderkey, case when o_orderkey % 4 <> 0 then o_orderdate::date + 10 end as p, case when o_orderkey % 6 <> 0 then o_orderdate::date + 60 end as c from orders where o_orderstatus <> 'P')
 select o_orderkey, coalesce(p, c) as due from orders left join d using (o_orderkey) where coalesce(p, c) >= date '{AS_OF}'""")
 def upcoming_dated(t: Tables) -> DataFrame:
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
-    dates = t.orders.filter(key % 10 != 0).select(
+    dates = t.orders.filter("o_orderstatus <> 'P'").select(
         "o_orderkey", F.when(key % 4 != 0, F.date_add(day, 10)).alias("primary_completion"),
         F.when(key % 6 != 0, F.date_add(day, 60)).alias("completion"))
     return timeline.upcoming_dated(t.orders.select("o_orderkey"), dates, "o_orderkey", F.lit(AS_OF).cast("date"))

@@ -58,25 +58,25 @@ def rebuild_swap(t: Tables) -> DataFrame:
 
 @query("""
 select user_id, event_type, event_id, ts from (
-  select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events where event_id % 50 <> 0)
+  select *, row_number() over (partition by user_id, event_type order by ts, event_id) as rn from events where value > 1)
 where rn = 1""")
 def dedupe_first(t: Tables) -> DataFrame:
     """A null key part is kept in a composite key; a null event id drops the row."""
-    pool = t.events.select(F.when(F.col("event_id") % 50 != 0, F.col("event_id")).alias("event_id"), "user_id", "event_type", "ts")
+    pool = t.events.select(F.when(F.col("value") > 1, F.col("event_id")).alias("event_id"), "user_id", "event_type", "ts")
     kept = pool.dropna(subset=["event_id"])
     return changes.dedupe(kept, ["user_id", "event_type"], ["ts", "event_id"])
 
 
 @query("""
-with entries as (select event_id as id, case when event_id % 2 = 0 then 'drug' else 'company' end as type, 'User ' || user_id as value
+with entries as (select event_id as id, case when event_id % 2 = 0 then 'drug' else 'company' end as type, 'User ' || user_id as value, value > 30 as dropped
                  from events where event_type = 'signup'),
-fresh as (select event_id as id, case when event_id % 2 = 0 then 'drug' else 'company' end as type, ' USER ' || (user_id + 20) || ' ' as value
+fresh as (select event_id as id, case when event_id % 2 = 0 then 'drug' else 'company' end as type, ' USER ' || (user_id + 20) || ' ' as value, value > 30 as dropped
           from events where event_type = 'purchase')
-select id, type, value from entries where id % 7 <> 0
+select id, type, value from entries where not dropped
 union all
 select id, type, trim(value) as value from (
   select *, row_number() over (partition by type, lower(trim(value)) order by id) as rn from fresh) f
-where rn = 1 and id % 7 <> 0 and not exists (select 1 from entries e where e.type = f.type and lower(trim(e.value)) = lower(trim(f.value)))""")
+where rn = 1 and not dropped and not exists (select 1 from entries e where e.type = f.type and lower(trim(e.value)) = lower(trim(f.value)))""")
 def watch_insert(t: Tables) -> DataFrame:
     kind = F.when(F.col("event_id") % 2 == 0, "drug").otherwise("company").alias("type")
     user = F.col("user_id")
@@ -84,7 +84,7 @@ def watch_insert(t: Tables) -> DataFrame:
         F.col("event_id").alias("id"), kind, F.concat(F.lit("User "), user.cast("string")).alias("value"))
     fresh = t.events.filter("event_type = 'purchase'").select(
         F.col("event_id").alias("id"), kind, F.concat(F.lit(" USER "), (user + 20).cast("string"), F.lit(" ")).alias("value"))
-    gone = t.events.filter("event_id % 7 = 0").select(F.col("event_id").alias("id"))
+    gone = t.events.filter("value > 30").select(F.col("event_id").alias("id"))
     return changes.remove_watches(changes.add_watches(entries, fresh), gone)
 
 

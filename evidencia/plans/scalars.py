@@ -8,6 +8,7 @@ from evidencia.functions import codes, dates, ids, markup, records
 from evidencia.operators.dense import dense_topk
 from evidencia.plans.registry import Tables, query
 from evidencia.plans.retrieval import DENSE, DIM, ranked, vector_corpus, vector_queries
+from evidencia.sizing import spread
 from evidencia.sources import registry
 
 def digit() -> Column:
@@ -193,7 +194,8 @@ def period_renderings(t: Tables) -> DataFrame:
                F.concat(F.lit("h"), F.when(F.month(d) > 6, "2").otherwise("1"), F.lit("'"), F.date_format(d, "yy")),
                F.concat(F.lit("in the second half of "), year), year,
                F.concat(F.lit("on "), F.date_format(d, "MMMM dd, yyyy")), F.lit("soon"), F.concat(year, F.lit("-13")))
-    return t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", raw.alias("raw"))
+    orders = spread(t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    return orders.select("o_orderkey", "o_custkey", raw.alias("raw"))
 
 
 @query(f"with {PERIODS} select * from periods")
@@ -238,7 +240,7 @@ def clean_items(t: Tables) -> DataFrame:
     """Every sentence piece is an item; the short ones carry no type."""
     raw = F.transform(sentences("text"), lambda s: F.struct(F.when(F.length(s) > 20, "DRUG").alias("type"), s.alias("name")))
     shown = F.transform(records.named_items(F.col("raw")), lambda i: F.concat(i["type"], F.lit(":"), i["name"]))
-    return t.documents.select("doc_id", raw.alias("raw")).select("doc_id", F.array_join(shown, "|").alias("items"))
+    return spread(t.documents).select("doc_id", raw.alias("raw")).select("doc_id", F.array_join(shown, "|").alias("items"))
 
 
 @query(f"""
@@ -248,7 +250,7 @@ select doc_id, 'Conditions: ' || lang || ', ' || source || chr(10) || 'Intervent
 from (select *, {SENTENCES} as s from documents)""")
 def embedding_text(t: Tables) -> DataFrame:
     raw = F.transform(sentences("text"), lambda s: F.struct(F.when(F.length(s) > 20, "DRUG").alias("type"), s.alias("name")))
-    return t.documents.select("doc_id", "lang", "source", "n_chars", "text", raw.alias("raw")).select(
+    return spread(t.documents).select("doc_id", "lang", "source", "n_chars", "text", raw.alias("raw")).select(
         "doc_id", records.study_text(F.array("lang", "source"), records.named_items(F.col("raw")),
                                      F.when(F.col("n_chars") % 2 == 0, "INTERVENTIONAL"), F.col("text")).alias("document"))
 
@@ -262,7 +264,7 @@ def nested_distinct(t: Tables) -> DataFrame:
     s = F.col("s")
     brands = F.transform(s, lambda p: F.split_part(F.trim(p), F.lit(" "), F.lit(1)))
     words = F.flatten(F.transform(s, lambda p: F.split(p, " ")))
-    return t.documents.select("doc_id", sentences("text").alias("s")).select(
+    return spread(t.documents).select("doc_id", sentences("text").alias("s")).select(
         "doc_id", F.array_join(records.present(brands), "|").alias("brands"),
         F.array_join(records.sorted_distinct(words), "|").alias("ingredients"))
 
@@ -273,7 +275,8 @@ select page_id, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g'))
    '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'),
    '(?s)</?[a-zA-Z!?][^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©') as t from pages)""")
 def html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", markup.flat_text(F.col("html")).alias("text"))
+    pages = spread(t.pages.select("page_id", "html"))
+    return pages.select("page_id", markup.flat_text(F.col("html")).alias("text"))
 
 
 @query(r"""
