@@ -28,19 +28,30 @@ def stream_upserts(stream: DataFrame, target: VersionedTable, key: list[str], ve
 
 def stream_digests(stream: DataFrame, entries: VersionedTable, digests: str, checkpoint: str,
                    letter_types: list[str]) -> None:
-    """One digest per batch of updates {entity, ts, kind}, measured from each entry's last check.
+    """One digest per batch of updates {entity, ts, kind}, measured from each entry's last check."""
+    run_available(stream, checkpoint, lambda batch, batch_id: digest_batch(
+        batch, batch_id, entries, digests, checkpoint, letter_types))
 
-    A repeated batch overwrites its own digest folder. Only after the digest is written do the
-    entries move their last check to the newest update seen.
+
+def digest_batch(batch: DataFrame, batch_id: int, entries: VersionedTable, digests: str, run: str,
+                 letter_types: list[str]) -> None:
+    """Write the digest of a batch, then move the last check of the entries to its newest update.
+
+    A repeated batch overwrites its own digest folder. The entries remember the batch that moved
+    them, so a batch repeated after that step changes nothing.
     """
-    def check(batch: DataFrame, batch_id: int) -> None:
-        as_of = batch.agg(F.max("ts").alias("ts")).first()["ts"]
-        if as_of is None:
+    watched = entries.read()
+    if "batch_id" in watched.columns:
+        done = watched.filter(F.col("run") == run).agg(F.max("batch_id").alias("n")).first()["n"]
+        if done is not None and done >= batch_id:
             return
-        now = F.lit(as_of).cast("timestamp_ntz")
-        letter = F.col("kind").isin(letter_types)
-        watched = entries.read()
-        found = watch_digest(watched, batch.filter(~letter), batch.filter(letter), F.to_date(now))
-        found.write.mode("overwrite").parquet(f"{digests}/batch={batch_id}")
-        entries.replace(watched.withColumn("last_checked", F.greatest(F.coalesce("last_checked", now), now)))
-    run_available(stream, checkpoint, check)
+        watched = watched.drop("run", "batch_id")
+    as_of = batch.agg(F.max("ts").alias("ts")).first()["ts"]
+    if as_of is None:
+        return
+    now = F.lit(as_of).cast("timestamp_ntz")
+    letter = F.col("kind").isin(letter_types)
+    found = watch_digest(watched, batch.filter(~letter), batch.filter(letter), F.to_date(now))
+    found.write.mode("overwrite").parquet(f"{digests}/batch={batch_id}")
+    entries.replace(watched.withColumn("last_checked", F.greatest(F.coalesce("last_checked", now), now)).withColumn(
+        "run", F.lit(run)).withColumn("batch_id", F.lit(batch_id)))

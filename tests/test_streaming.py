@@ -42,6 +42,9 @@ def test_digests_move_the_last_check(spark, tmp_path):
     run()
     second = spark.read.parquet(str(tmp_path / "d")).filter("batch = 1").collect()
     assert [(r["entity"], r["changes"]) for r in second] == [(2, 1)]  # same day as the last check: not counted
+    again = spark.createDataFrame([(1, at(10, 7), "trial"), (2, at(11), "trial")], schema)
+    delta.digest_batch(again, 1, entries, str(tmp_path / "d"), str(tmp_path / "cp"), ["letter"])
+    assert spark.read.parquet(str(tmp_path / "d")).filter("batch = 1").count() == 1  # a repeated batch changes nothing
 
 
 def test_until_terminal(spark, tmp_path):
