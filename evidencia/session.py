@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: dict[str, str] = {}
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                   app: str = "evidencia") -> SparkSession:
@@ -30,12 +33,37 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is set."""
+    """The cluster's shared checkpoint folder.
+
+    Executors and driver must both see it, so a cluster has to name one in `spark.checkpoint.dir`;
+    only a local session, where all of them are one process, gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = context._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = context._jsc.sc().getCheckpointDir().get()
     return folder.rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that functions running
+    there can be imported however the job was submitted."""
+    context = spark.sparkContext
+    if _SHIPPED.get("application") == context.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="package-"), f"{os.path.basename(root)}.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(target)
+    _SHIPPED["application"] = context.applicationId
