@@ -3,7 +3,7 @@
 Every measure is a built-in expression over the words and lines of the whole text, so a document is
 judged inside its own row: no shuffle, no user function. Null text counts as empty; an empty text has
 no words and fails the base rule. Rows are independent, so repeated rows are judged alike, an empty
-table gives an empty result, and columns of the input beyond text pass through untouched.
+table gives an empty result, and other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = r"[ \x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
 WINDOW = 3
 
 # Frequent function words of the languages the corpus is written in.
@@ -55,13 +56,13 @@ RULES = (
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the counts: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words.
+    """`docs` with the `COUNTS`; columns of these names are replaced.
 
     The steps are separate projections because each array is read more than once below it; Spark
     then computes it once per row.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
     words = docs.select(
         *keep, body.alias("_body"), F.split(F.trim(body, F.lit(SPACES)), SPACE_RUN).alias("_split"),
         F.filter(F.split(body, "\n"), lambda line: F.length(F.trim(line, F.lit(SPACES))) > 0).alias("_lines"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from evidencia.llm import quality
+from evidencia.llm import decontaminate, quality, urls
 
 QUERIES = {
+    "op5_url_rules": urls.query,
     "op6_quality_rules": quality.query,
+    "op7_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op5_url_rules": urls.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
+    "op7_decontaminate": decontaminate.ORACLE_SQL,
 }
