@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from evidencia.llm import decontaminate, quality, urls
+from evidencia.llm import decontaminate, licenses, quality, sharding, urls
 
 QUERIES = {
+    "op1_license_scan": licenses.query,
+    "op2_extendible_shards": sharding.query,
     "op5_url_rules": urls.query,
     "op6_quality_rules": quality.query,
     "op7_decontaminate": decontaminate.query,
 }
 
 ORACLES = {
+    "op1_license_scan": licenses.ORACLE_SQL,
+    "op2_extendible_shards": sharding.ORACLE_SQL,
     "op5_url_rules": urls.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
