@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOT_SHARE = 1000  # a key is hot if it holds more than one row in this many, so there are fewer hot keys than this
-RANK_SLICE = 20_000  # rows that one task ranks at a time
+RANK_SLICE = 2_000  # rows that one task ranks at a time
 
 
 def join_by_key(rows: DataFrame, facts: DataFrame, key: str, copies: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from evidencia.llm import decontaminate, licenses, quality, sharding, urls
+from evidencia.llm import decontaminate, licenses, packing, quality, sharding, token_counts, urls
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_extendible_shards": sharding.query,
+    "op4_pack_sequences": packing.query,
     "op5_url_rules": urls.query,
     "op6_quality_rules": quality.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_token_counts": token_counts.query,
 }
 
 ORACLES = {
