@@ -15,7 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_license_scan": licenses.ORACLE_SQL,
     "op2_extendible_shards": sharding.ORACLE_SQL,
     "op5_url_rules": urls.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
