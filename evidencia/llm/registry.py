@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from evidencia.llm import decontaminate, licenses, packing, quality, sharding, token_counts, urls
+from evidencia.llm import (
+    decontaminate, langid, licenses, packing, quality, sharding, token_counts, toxicity, urls,
+)
 
 QUERIES = {
     "op1_license_scan": licenses.query,
     "op2_extendible_shards": sharding.query,
+    "op3_language_id": langid.query,
     "op4_pack_sequences": packing.query,
     "op5_url_rules": urls.query,
     "op6_quality_rules": quality.query,
     "op7_decontaminate": decontaminate.query,
     "op8_token_counts": token_counts.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES = {
