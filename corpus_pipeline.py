@@ -1,10 +1,15 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in between."""
+"""The corpus pipeline: each stage works on all that its predecessor kept, written as Parquet in between.
+
+Quality rules and language identification reject documents, near duplicates and leaked benchmark passages go, and
+what stays is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidencia.llm import quality
+from evidencia.llm import decontaminate, langid, packing, quality, similar
 from evidencia.session import table
 from evidencia.sources.store import written
 
@@ -14,8 +19,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.accepted(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in none of the learned languages, go."""
+    return langid.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents stays, the one with the smallest id."""
+    return similar.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
+# The language model cannot be written in SQL; tests/llm holds the stages against plain Python instead.
 ORACLE_SQL = None
 
 

@@ -33,6 +33,7 @@ LANDMARKS = 24  # per language
 RIDGE = 1e-2
 BLOCK = 64
 UNKNOWN = "und"
+LEAST_SCORE = 0.2  # below this a text is in none of the languages
 
 # Bytes fall into classes: 0 all ASCII but letters, 1-26 letters, then one per byte beyond ASCII.
 CLASSES = 27 + 128
@@ -157,11 +158,11 @@ def fitted(docs: DataFrame) -> Model:
     return Model([r["lang"] for r in rows], [np.frombuffer(r["grams"], np.int32) for r in rows])
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; columns of these names are replaced."""
+def predicted(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the language and its score under `names`; columns of these names are replaced."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in names]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept])
     at = kept.index("text")
 
@@ -174,12 +175,21 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             langs, scores = scorer.predict(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*batch.schema.names, "lang_pred", "score"])
+                                             [*batch.schema.names, *names])
 
-    schema = rows.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = rows.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
     return rows.mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents that are in some learned language, with the columns they came with; all of them if nothing
+    could be learned but those without any letter."""
+    model = fitted(docs.select("doc_id", "text", "lang"))
+    sure = F.col("_score") >= (least if model.languages else 0.0)
+    lettered = F.col("_language") != UNKNOWN if model.languages else F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return predicted(docs, model, ("_language", "_score")).filter(lettered & sure).drop("_language", "_score")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fitted(docs.select("doc_id", "text", "lang"))

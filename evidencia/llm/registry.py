@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from evidencia.llm import (
-    decontaminate, langid, licenses, packing, quality, sharding, token_counts, toxicity, urls,
+    decontaminate, langid, licenses, packing, quality, sharding, similar, token_counts, toxicity, urls,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_decontaminate": decontaminate.query,
     "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
+    "op10_jaccard_join": similar.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_url_rules": urls.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op7_decontaminate": decontaminate.ORACLE_SQL,
+    "op10_jaccard_join": similar.ORACLE_SQL,
 }
