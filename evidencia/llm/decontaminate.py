@@ -3,13 +3,14 @@
 A seed is a run of words of which a fixed mask ignores some: a passage with a replaced word still shares
 seeds whose ignored places fall on it. Every position of every document is hashed under every mask and
 meets the seeds of the benchmark by broadcast join, inside the task that reads the document; nothing of a
-document is shuffled but its verified finds. Around each hit the whole item is laid against the
-document word by word, and the pair counts as a leak if at least `MIN_SHARE` of the item's words agree in
-place.
+document is shuffled but its hits. Each hit is verified word by word over its whole window, ignored places
+included. The places of an item that agree in the windows along one alignment are counted together, and
+the pair counts as a leak if they are at least `MIN_SHARE` of the item's words.
 
-The benchmark is broadcast in blocks of at most `BLOCK_SEEDS` seeds, one pass over the documents per block,
-so its size is bounded whatever the benchmark holds. Items shorter than a mask are sought as whole runs of
-words; items of fewer than `MIN_WORDS` words say nothing about a document and are left out.
+The benchmark is broadcast in blocks of at most about `BLOCK_SEEDS` seeds, one pass over the documents per
+block, so its size is bounded whatever the benchmark holds. Items shorter than a mask are sought as whole
+runs of words; items of fewer than `MIN_WORDS` words say nothing about a document and are left out. Words
+are compared by 64-bit hashes.
 
 Null texts count as empty; empty texts and empty benchmarks leak nothing. A document whose id or text
 repeats is judged row by row and reported once per id and item, with its best find. Ids may be null.
@@ -26,9 +27,10 @@ from evidencia.session import table
 # Fixed masks: 1 takes the word, 0 ignores it.
 MASKS = ("1101110111", "1011101101", "1110011111")
 SPAN = 10
+WINDOW = [f"w{k}" for k in range(SPAN)]
 MIN_WORDS = 5
 MIN_SHARE = 0.4
-BLOCK_SEEDS = 500_000
+BLOCK_SEEDS = 200_000  # about 100 bytes each
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -37,47 +39,51 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
 
 
-def seed_hashes(words: Column, at: Column, lengths: list[int]) -> Column:
-    """The hashes of the seeds that start at word `at`: one per mask, and one per whole length."""
-    patterns = [[k for k, c in enumerate(mask) if c == "1"] for mask in MASKS] + [list(range(n)) for n in lengths]
-    spans = [SPAN] * len(MASKS) + lengths
-    return F.array_compact(F.array(*[
-        F.when(at + span <= F.size(words), F.xxhash64(F.lit(k), *[F.get(words, at + i) for i in places]))
-        for k, (places, span) in enumerate(zip(patterns, spans))]))
+def windows(rows: DataFrame, words: str, keep: list[str]) -> DataFrame:
+    """rows {keep..., words} -> {keep..., at, w0, w1, ...}: the hashes of the `SPAN` words from each word on,
+    null beyond the end. Each row carries its window only, so long texts stay linear."""
+    hashed = rows.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("_hashes"))
+    shifted = [F.slice("_hashes", k + 1, F.size("_hashes")).alias(f"w{k}") for k in range(SPAN)]
+    placed = hashed.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("at", "_window"))
+    return placed.select(*keep, "at", *[F.col("_window")[f"w{k}"].alias(f"w{k}") for k in range(SPAN)])
 
 
-def seeded(rows: DataFrame, words: str, lengths: list[int]) -> DataFrame:
-    """rows with `at` and `seed`, one row per position and seed."""
-    starts = F.when(F.size(words) >= MIN_WORDS, F.sequence(F.lit(0), F.size(words) - MIN_WORDS))
-    placed = rows.select("*", F.explode(starts).alias("at"))
-    return placed.select("*", F.explode(seed_hashes(F.col(words), F.col("at"), lengths)).alias("seed"))
+def seeded(rows: DataFrame, keep: list[str], lengths: list[int]) -> DataFrame:
+    """Rows of `windows` with `seed`: one row per mask, and per whole length, that fits before the end."""
+    patterns = [([k for k, c in enumerate(mask) if c == "1"], SPAN) for mask in MASKS] + [(list(range(n)), n) for n in lengths]
+    hashes = [F.when(F.col(f"w{span - 1}").isNotNull(), F.xxhash64(F.lit(k), *[F.col(f"w{i}") for i in places]))
+              for k, (places, span) in enumerate(patterns)]
+    sown = rows.select(*keep, "at", *WINDOW, F.explode(F.array(*hashes)).alias("seed"))
+    return sown.filter(F.col("seed").isNotNull())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, key: list[str], min_share: float = MIN_SHARE) -> DataFrame:
     """docs {key..., text}, benchmark {item_id, text} ->
     {key..., item_id, item_words, matched, start}: the leaks, one row per key and item."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("item")).filter(F.size("item") >= MIN_WORDS).distinct()
+    sized = items.select("item_id", F.size("item").alias("item_words"), "item")
     # At most SPAN - MIN_WORDS different values, whatever the benchmark holds.
-    short = sorted(r[0] for r in items.filter(F.size("item") < SPAN).select(F.size("item")).distinct().collect())
-    whole = F.size("item") >= SPAN
-    seeds = seeded(items.filter(whole), "item", []).unionByName(
-        seeded(items.filter(~whole), "item", short).filter(F.col("at") == 0).filter(
-            F.col("seed") == F.element_at(seed_hashes(F.col("item"), F.lit(0), short), -1)))
+    short = sorted(r[0] for r in sized.filter(F.col("item_words") < SPAN).select("item_words").distinct().collect())
+    item_windows = windows(sized, "item", ["item_id", "item_words"])
+    long_seeds = seeded(item_windows.filter(F.col("item_words") >= SPAN), ["item_id", "item_words"], [])
+    # An item shorter than the masks is one seed, the one of its own length.
+    own = [seeded(item_windows.filter((F.col("item_words") == n) & (F.col("at") == 0)), ["item_id", "item_words"], short).filter(
+        F.col("seed") == F.xxhash64(F.lit(len(MASKS) + k), *WINDOW[:n])) for k, n in enumerate(short)]
+    seeds = reduce(DataFrame.unionByName, own, long_seeds)
     blocks = max(1, -(-seeds.count() // BLOCK_SEEDS))
-    texts = docs.select(*[F.col(c).alias(c) for c in key], words_of(F.col("text")).alias("words"))
-    block_of = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-
-    def found(block: int) -> DataFrame:
-        part = items.filter(block_of == block)
-        index = seeds.filter(block_of == block).select("seed", "item_id", F.col("at").alias("item_at")).distinct()
-        hits = seeded(texts, "words", short).join(F.broadcast(index), "seed").join(F.broadcast(part), "item_id").withColumn(
-            "start", F.col("at") - F.col("item_at"))
-        agree = F.size(F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda k: F.get("item", k) == F.get("words", F.col("start") + k)))
-        return hits.select(*key, "item_id", F.size("item").alias("item_words"), agree.alias("matched"), "start").filter(
-            F.col("matched") >= F.col("item_words") * min_share)
+    doc_seeds = seeded(windows(docs.select(*key, words_of(F.col("text")).alias("words")), "words", key), key, short)
+    agree = F.array_compact(F.array(*[F.when(F.col(w) == F.col(f"i{w}"), F.col("item_at") + k) for k, w in enumerate(WINDOW)]))
 
+    def hits(block: int) -> DataFrame:
+        index = seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).select(
+            "seed", "item_id", "item_words", F.col("at").alias("item_at"), *[F.col(w).alias(f"i{w}") for w in WINDOW])
+        return doc_seeds.join(F.broadcast(index), "seed").select(
+            *key, "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("start"), agree.alias("places"))
+
+    laid = reduce(DataFrame.unionByName, [hits(b) for b in range(blocks)]).groupBy(*key, "item_id", "item_words", "start").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("matched"))
     best = F.max_by(F.struct("item_words", "matched", "start"), F.struct("matched", -F.col("start"), "item_words"))
-    return reduce(DataFrame.unionByName, [found(b) for b in range(blocks)]).groupBy(*key, "item_id").agg(
+    return laid.filter(F.col("matched") >= F.col("item_words") * min_share).groupBy(*key, "item_id").agg(
         best.alias("best")).select(*key, "item_id", "best.*")
 
 
@@ -125,11 +131,13 @@ doc_places as (select doc_id, words, unnest(range(1, len(words) + 1)) as pos fro
 item_places as (select item_id, words, unnest(range(1, len(words) + 1)) as pos from items where len(words) >= {MIN_WORDS}),
 doc_seeds as ({_seeds('doc', 'doc_id')}),
 item_seeds as ({_seeds('item', 'item_id')}),
-hits as (select distinct doc_id, item_id, doc_seeds.pos - item_seeds.pos as start from doc_seeds join item_seeds using (seed)),
+hits as (select distinct doc_id, item_id, doc_seeds.pos - item_seeds.pos as start, item_seeds.pos as item_pos from doc_seeds join item_seeds using (seed)),
 laid as (
-  select doc_id, item_id, start, len(items.words) as item_words,
-    len(list_filter(range(1, len(items.words) + 1), lambda k: start + k >= 1 and items.words[k] = docs.words[start + k])) as matched
-  from hits join docs using (doc_id) join items using (item_id))
+  select doc_id, item_id, start, item_words, count(distinct place) as matched from (
+    select doc_id, item_id, start, len(items.words) as item_words, unnest(list_filter(
+      range(item_pos, item_pos + least({SPAN}, len(items.words))),
+      lambda k: start + k >= 1 and items.words[k] = docs.words[start + k])) as place
+    from hits join docs using (doc_id) join items using (item_id)) x group by all)
 select doc_id, item_id, item_words::integer as item_words, matched::integer as matched, start::integer as start from (
   select *, row_number() over (partition by doc_id, item_id order by matched desc, start, item_words desc) as place
   from laid where matched >= item_words * {MIN_SHARE}) x where place = 1"""
