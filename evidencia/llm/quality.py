@@ -19,6 +19,7 @@ SPACE_RUN = r"[ \x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 MIN_WORDS = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+VERDICT = ("base_failed", "broken", "kept")
 WINDOW = 3
 
 # Frequent function words of the languages the corpus is written in.
@@ -56,15 +57,15 @@ RULES = (
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the `COUNTS`; columns of these names are replaced.
+    """`docs` with the `COUNTS`; columns of these names, or of the verdict's, are replaced.
 
     The steps are separate projections because each array is read more than once below it; Spark
     then computes it once per row.
     """
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in COUNTS]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*COUNTS, *VERDICT)]
     words = docs.select(
-        *keep, body.alias("_body"), F.split(F.trim(body, F.lit(SPACES)), SPACE_RUN).alias("_split"),
+        F.struct(*keep).alias("_row"), body.alias("_body"), F.split(F.trim(body, F.lit(SPACES)), SPACE_RUN).alias("_split"),
         F.filter(F.split(body, "\n"), lambda line: F.length(F.trim(line, F.lit(SPACES))) > 0).alias("_lines"))
     counted = words.withColumn("_words", F.when(F.get("_split", F.lit(0)) != "", F.col("_split")).otherwise(
         F.array().cast("array<string>"))).withColumn("_windows", F.greatest(F.size("_words") - (WINDOW - 1), F.lit(0)))
@@ -89,7 +90,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
                    lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW)))),
         F.lit(0), lambda total, x: total + x)
     return repeated.select(
-        *keep,
+        "_row.*",
         F.size("_words").cast("bigint").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count(F.col("_body"), F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),

@@ -261,7 +261,8 @@ def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """docs {doc_id, text, ...} -> {doc_id, mark, n_shingles, component_id}; mark is a hash of the text."""
+    """docs {doc_id, text, ...} -> {doc_id, mark, n_shingles, component_id, group}; mark is a hash of the text, group
+    names the component (null without words), also where ids are null or repeat."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
     profile = written(profiled(rows), "profile")
@@ -299,17 +300,18 @@ def grouped(docs: DataFrame) -> DataFrame:
     labelled = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     smallest = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("copies"), F.min("first_id").alias("component_id"))
     facts = join_by_key(labelled.withColumnRenamed("copies", "rows"), smallest, "label", "copies").select(
-        "node", F.col("rows").alias("copies"), "component_id")
+        "node", F.col("rows").alias("copies"), "component_id", F.col("label").alias("group"))
     placed = join_by_key(sets, facts, "node", "copies")
     return placed.select("doc_id", "mark", F.col("n").alias("n_shingles"),
-                         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+                         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each group: of the rows with the group's smallest id one, and all rows without words. Columns stay."""
     found = written(grouped(docs), "groups")
     # Rows of one id may differ in text, and null ids cannot be told apart: the smallest mark decides.
-    stays = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("keep")).select("keep.*")
+    stays = found.filter("n_shingles > 0").groupBy("group").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))).alias("known"), F.min(
+        F.struct("doc_id", "mark")).alias("any")).select(F.coalesce("known", "any").alias("keep")).select("keep.*")
     none = found.filter("n_shingles = 0").select("doc_id", "mark").distinct()
     wanted = stays.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), F.lit(True).alias("_one")).unionByName(
         none.select("doc_id", "mark", F.lit(False)).toDF("_id", "_mark", "_one"))

@@ -39,15 +39,18 @@ def stored(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFrame:
 
 
 def encoded(texts: DataFrame, blob: bytes, version: str) -> DataFrame:
-    """texts {digest, text} -> {digest, n_tokens}"""
+    """texts {digest, text} -> {digest, n_tokens}, once for rows of a task with the same digest: repeated rows of one id
+    come to one task."""
     ship_package(texts.sparkSession)
     model = texts.sparkSession.sparkContext.broadcast(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = loaded(PieceCounts, version, model.value)
+        counter, seen = loaded(PieceCounts, version, model.value), set()
         for batch in batches:
-            counts = pa.array(list(counter.counts(batch.column(1).to_pylist())), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts], ["digest", "n_tokens"])
+            fresh = [k for k, d in enumerate(batch.column(0).to_pylist()) if d not in seen and not seen.add(d)]
+            some = batch.take(pa.array(fresh, pa.int64()))
+            counts = pa.array(list(counter.counts(some.column(1).to_pylist())), pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column(0), counts], ["digest", "n_tokens"])
 
     return texts.mapInArrow(run, "digest binary, n_tokens bigint")
 
