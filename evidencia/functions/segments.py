@@ -128,22 +128,9 @@ def table_blocks(blocks: Column) -> Column:
 
 
 def markdown_chunks(blocks: Column, size: int, overlap: int) -> Column:
-    """Chunks in which every table stands alone and whole; the prose around it is packed.
-
-    Tables are replaced by short marks before packing, so their size does not count.
-    """
-    def number(piece):
-        return F.regexp_extract(piece, "^TABLE_([0-9]+)$", 1)
-
-    def earlier(i):
-        return F.size(F.filter(F.slice(blocks, F.lit(1), i), lambda b: b["is_table"]))
-
-    marked = F.array_join(F.transform(blocks, lambda b, i: F.when(b["is_table"], F.concat(
-        F.lit("\u0000TABLE_"), earlier(i).cast("string"), F.lit("\u0000"))).otherwise(b["text"])), "\n")
-    pieces = F.flatten(F.transform(recursive_chunks(marked, size, overlap, MARKDOWN_SEPARATORS), lambda c: F.split(c, "\u0000")))
-    restored = let(table_blocks(blocks), lambda tables: F.transform(pieces, lambda p: F.when(
-        number(p) != "", F.get(tables, number(p).try_cast("int"))).otherwise(stripped(p))))
-    return F.filter(restored, lambda c: c != "")
+    """Chunks in which every table stands alone and whole; each stretch of prose between tables is packed on its own."""
+    return F.filter(F.flatten(F.transform(blocks, lambda b: F.when(b["is_table"], F.array(b["text"])).otherwise(
+        recursive_chunks(b["text"], size, overlap, MARKDOWN_SEPARATORS)))), lambda c: c != "")
 
 
 def table_audit(docs: DataFrame, doc_id: str, tables: str, chunks: str) -> DataFrame:

@@ -14,14 +14,15 @@ ends is chosen by cost, from how many sets there are of each size and how long l
 The common order puts frequent shingles last. Their frequencies are added up over all documents from
 what repeats within each batch of documents, which finds every shingle that is frequent at scale; the
 order decides about speed only, never about results. Keys that stay frequent, as in large groups of near
-copies, are kept out of the lists and handled as rows, so no task holds an unbounded list.
+copies, are spread over tasks instead of listed in one, so no task holds an unbounded list.
 
 Documents with equal sets are one class from the start. The members of each list are compared with two of them,
 not with each other. What that links is contracted to components, and only lists that still touch several
 components are compared further: all members outside the largest component of the list with all members of
 other components. So groups of copies cost as many comparisons as they have members, and no link between
-components is missed. Comparisons read the texts of both sides again, grouped by one side and salted if
-that side has many partners.
+components is missed. A sketch of each set first rules out pairs that cannot overlap enough. Comparisons of
+the others read the texts of both sides again, grouped by one side and salted if that side has many
+partners.
 
 A text without words, null or empty, has an empty set and links with nothing. Repeated rows are in one class. Null
 ids take part and are ignored where the smallest id is sought. An empty table gives an empty result. Sets
@@ -45,9 +46,12 @@ from evidencia.sources.store import written
 
 MAX_SMALL = 24  # sizes up to here may be small
 SIZES = 64  # set sizes counted one by one for the choice
-FREQUENT = 300_000  # shingles whose frequency the order knows, the most frequent first
-FREQUENT_FROM = 16
-HOT_FROM = 64  # keys estimated at least this frequent are rows, not list entries
+FREQUENT = 500_000  # shingles whose frequency the order knows, the most frequent first
+FREQUENT_FROM = 3
+HOT_FROM = 64  # keys estimated at least this frequent are spread, not listed in one bucket
+COMPARISON = 100.0  # what a comparison costs in keys
+GROUPS = 256  # counters of a sketch
+BROADCAST_IDS = 200_000  # documents fetched by broadcast, about 40 bytes each; more are fetched by a shuffle join
 BUCKET_KEYS = 1_000_000  # list entries per bucket
 SALT_PARTNERS = 500  # comparisons of one side per task share
 
@@ -70,6 +74,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many shingles fall into each of GROUPS groups, at most 255. The sum of differences of two sketches is
+    at most the number of shingles that only one of the sets has."""
+    counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
 def small_limit(counts: dict[int, int], larger: int, list_cost: float) -> int:
     """The size up to which sets enumerate pairs. counts: sets of each size up to SIZES; larger: all others'
     prefix entries; list_cost: what an inverted list entry costs, an enumerated pair costs 1."""
@@ -82,17 +93,18 @@ def small_limit(counts: dict[int, int], larger: int, list_cost: float) -> int:
 
 
 def profiled(docs: DataFrame) -> DataFrame:
-    """docs {doc_id, mark, text} -> {doc_id, mark, n, node} per document, and {shingle, times} rows (n null) for what
+    """docs {doc_id, mark, text} -> {doc_id, mark, n, node, sketch} per document, and {shingle, times} rows (n null) for what
     repeats within a batch, equal sets counted once."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            sizes, nodes, seen, every = [], [], set(), []
+            sizes, nodes, sketches, seen, every = [], [], [], set(), []
             for found in shingler.sets(batch.column(2).cast(pa.binary()).to_pylist()):
                 sizes.append(len(found))
                 nodes.append(digest(found) if len(found) else None)
+                sketches.append(sketch(found))
                 if len(found) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     every.append(found)
@@ -103,17 +115,19 @@ def profiled(docs: DataFrame) -> DataFrame:
                 pa.concat_arrays([batch.column(0), pa.nulls(k, batch.column(0).type)]),
                 pa.concat_arrays([batch.column(1), pa.nulls(k, pa.int64())]),
                 pa.array([*sizes, *[None] * k], pa.int64()), pa.array([*nodes, *[None] * k], pa.int64()),
+                pa.array([*sketches, *[None] * k], pa.binary()),
                 pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(shingle[again].view(np.int64), pa.int64())]),
                 pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(times[again].astype(np.int64), pa.int64())]),
-            ], ["doc_id", "mark", "n", "node", "shingle", "times"])
+            ], ["doc_id", "mark", "n", "node", "sketch", "shingle", "times"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "mark", "text").mapInArrow(
-        run, f"doc_id {kind}, mark bigint, n bigint, node bigint, shingle bigint, times bigint")
+        run, f"doc_id {kind}, mark bigint, n bigint, node bigint, sketch binary, shingle bigint, times bigint")
 
 
 def posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], small: int, buckets: int) -> DataFrame:
-    """Keys of every set: {bucket, keys, owners, nodes, sizes} packed by bucket, or {hot, node, n} rows of frequent keys."""
+    """The keys of every set, packed by bucket: {bucket, spread, keys, owners, nodes, sizes}; owners point into nodes and
+    sizes, and `spread` says that a key's entries lie in several buckets."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     both = overlap(small + 1)
@@ -154,32 +168,28 @@ def posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], small: int,
                 continue
             key, many, owner = np.concatenate(keys), np.concatenate(often), np.concatenate(owners)
             node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
-            hot = many >= HOT_FROM
-            light, light_owner = key[~hot], owner[~hot]
-            bucket = (light % np.uint64(buckets)).astype(np.int64)
+            # A frequent key would fill one bucket: its entries are dealt by key and set over buckets of their own.
+            bucket = np.where(many >= HOT_FROM, np.uint64(buckets) + mix(key ^ mix(node[owner].view(np.uint64))) % np.uint64(buckets),
+                              key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            light, light_owner, bucket = light[order], light_owner[order], bucket[order]
+            key, owner, bucket = key[order], owner[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for begin, end in zip(cuts, [*cuts[1:], len(bucket)]):
-                used, local = np.unique(light_owner[begin:end], return_inverse=True)
-                rows.append((int(bucket[begin]), light[begin:end].tobytes(), local.astype(np.uint32).tobytes(),
+                used, local = np.unique(owner[begin:end], return_inverse=True)
+                rows.append((int(bucket[begin]), bool(bucket[begin] >= buckets), key[begin:end].tobytes(), local.astype(np.uint32).tobytes(),
                              node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
-            k, h = len(rows), int(hot.sum())
-            packed = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([
-                pa.array([*packed[0], *[None] * h], pa.int64()), *[pa.array([*c, *[None] * h], pa.binary()) for c in packed[1:]],
-                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(key[hot].view(np.int64), pa.int64())]),
-                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(node[owner[hot]], pa.int64())]),
-                pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(size[owner[hot]], pa.int64())]),
-            ], ["bucket", "keys", "owners", "nodes", "sizes", "hot", "node", "n"])
+            columns = list(zip(*rows)) or [[]] * 6
+            types = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                             ["bucket", "spread", "keys", "owners", "nodes", "sizes"])
 
-    return docs.select("text").mapInArrow(
-        run, "bucket bigint, keys binary, owners binary, nodes binary, sizes binary, hot bigint, node bigint, n bigint")
+    return docs.select("text").mapInArrow(run, "bucket bigint, spread boolean, keys binary, owners binary, nodes binary, sizes binary")
 
 
 def met(batch: pa.Table) -> pa.Table:
-    """The entries of one bucket whose key several sets have; of keys with the same sets one is enough."""
+    """The entries of one bucket whose key several sets have; of keys with the same sets one is enough. Of spread
+    keys all entries."""
     keys, nodes, sizes = [], [], []
     for row in batch.select(["keys", "owners", "nodes", "sizes"]).to_pylist():
         owner = np.frombuffer(row["owners"], np.uint32)
@@ -192,6 +202,8 @@ def met(batch: pa.Table) -> pa.Table:
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
     key, node, size = key[new], node[new], size[new]
+    if batch.column("spread")[0].as_py():
+        return pa.table({"key": pa.array(key.view(np.int64)), "node": pa.array(node), "n": pa.array(size.astype(np.int64))})
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(begin, len(key)))
     names = np.add.reduceat(mix(node.view(np.uint64)), begin)
@@ -203,6 +215,32 @@ def met(batch: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[stays].view(np.int64)), "node": pa.array(node[stays]), "n": pa.array(size[stays].astype(np.int64))})
 
 
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs {a, b} whose sketches {node, n, sketch} leave room for enough overlap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16)
+                           for c in ("left", "right"))
+            total = batch.column("total").to_numpy()
+            shared = (total - np.abs(left - right).sum(1)) // 2
+            yield batch.select(["a", "b"]).filter(pa.array(100 * shared >= 75 * (total - shared)))
+
+    left = sketches.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("left"))
+    right = sketches.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("right"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("total"), "left", "right").mapInArrow(
+        run, "a bigint, b bigint")
+
+
+def fetched(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The text of one document for each node of the pairs: {node, text}."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = written(classes.join(nodes, "node", "left_semi").select(
+        "node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "wanted")
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    found = rows.join(side, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
+    return written(found.select("node", "text"), "texts").dropDuplicates(["node"])
+
+
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs {a, b} of nodes that link. texts {node, text} has one row per node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,25 +314,26 @@ def grouped(docs: DataFrame) -> DataFrame:
         F.col("n") * 0.75) + 1)), F.lit(0))).first()
     counts = {r[0]: r[1] for r in sets.filter(F.col("n").between(1, SIZES)).groupBy("n").count().collect()}
     repeats = profile.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    small = small_limit(counts, whole[1], 1 + repeats / max(1, whole[0]))
+    small = small_limit(counts, whole[1], 1 + COMPARISON * repeats / max(1, whole[0]))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole[0] // 3 // BUCKET_KEYS)
 
-    keyed = written(posted(rows, frequent, small, buckets), "keys")
-    light = keyed.filter("bucket is not null").groupBy("bucket").applyInArrow(met, "key bigint, node bigint, n bigint")
-    hot = keyed.filter("hot is not null").select(F.col("hot").alias("key"), "node", "n").distinct()
-    lists = written(light.unionByName(hot), "lists")
-
+    keyed = posted(rows, frequent, small, buckets)
+    lists = written(keyed.groupBy("bucket").applyInArrow(met, "key bigint, node bigint, n bigint"), "lists")
     classes = written(sets.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
-    # One document stands for each class that shares a key; its text is what comparisons read.
-    wanted = classes.join(lists.select("node").distinct(), "node", "left_semi").select(
-        "node", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark"))
-    texts = rows.join(wanted.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
-    texts = written(texts.select("node", "text"), "texts").dropDuplicates(["node"])
+    # One document stands for each class that shares a key; equal sets have equal sketches.
+    firsts = classes.join(lists.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    sketches = written(profile.filter("node is not null").select("doc_id", "mark", "node", "n", "sketch").join(
+        firsts.toDF("_node", "_id", "_mark"), (F.col("node") == F.col("_node")) & (F.col("mark") == F.col("_mark")) & F.col(
+            "doc_id").eqNullSafe(F.col("_id"))).select("node", "n", "sketch").dropDuplicates(["node"]), "sketches")
+
+    def links_of(pairs: DataFrame, name: str) -> DataFrame:
+        near = written(possible(pairs, sketches), f"{name}-pairs")
+        return written(compared(near, fetched(rows, near, classes)), name)
 
-    links = written(compared(candidates(lists), texts), "links")
+    links = links_of(candidates(lists), "links")
     labels = components(links)
-    more = written(compared(crossing(lists, labels), texts), "crossing-links")
+    more = links_of(crossing(lists, labels), "crossing-links")
     if more.take(1):
         labels = components(links.unionByName(more))
     labelled = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
