@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evidencia.functions.codes import normalize_phase
-from evidencia.functions.records import lexical_text
+from evidencia.functions.records import LEXICAL_FIELDS, lexical_text
 from evidencia.operators import changes, evidence, exclusivity as loe, graph, landscape as grid, search, signals, timeline
 from evidencia.operators.lexical import Corpus, match_terms, term_coverage
 from evidencia.operators.ranking import top_k
@@ -14,9 +14,21 @@ TRIAL_LIMIT = 60
 
 
 def corpus_text(name: str, rows: DataFrame, doc_id: str) -> Corpus:
-    """The searchable form of a corpus table; list columns are joined by commas."""
-    columns = {f.name: F.array_join(f.name, ", ") if f.dataType.typeName() == "array" else F.col(f.name)
-               for f in rows.schema if f.dataType.simpleString() in ("string", "array<string>")}
+    """The searchable form of a corpus table: list columns are joined by commas, typed interventions read
+    `TYPE: name`. A field of any other type is refused, as its words would be missing from the index."""
+    columns = {}
+    for field in rows.schema:
+        kind = field.dataType.simpleString()
+        if field.name not in LEXICAL_FIELDS.get(name, ()):
+            continue
+        if kind == "string":
+            columns[field.name] = F.col(field.name)
+        elif kind == "array<string>":
+            columns[field.name] = F.array_join(field.name, ", ")
+        elif kind == "array<struct<type:string,name:string>>":
+            columns[field.name] = F.array_join(F.transform(field.name, lambda x: F.concat_ws(": ", x["type"], x["name"])), ", ")
+        else:
+            raise TypeError(f"{name}.{field.name}: {kind} has no searchable form")
     text = lexical_text(name, columns)
     return Corpus(rows.select(F.col(doc_id).alias("doc_id"), text.alias("text")))
 

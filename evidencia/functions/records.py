@@ -56,7 +56,7 @@ def sorted_distinct(values: Column) -> Column:
     return F.array_sort(F.array_distinct(present(values)))
 
 
-# Which fields of each corpus make up its lexical text; a corpus not listed is searched densely only.
+# Which fields of each corpus make up its lexical text. A corpus not listed is searched densely only.
 LEXICAL_FIELDS = {
     "trials": ["nct_id", "title", "sponsor", "conditions", "interventions", "study_type", "summary"],
     "literature": ["pmcid", "title", "journal", "text"],

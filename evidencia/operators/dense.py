@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidencia.operators.ranking import top_k
 
@@ -47,9 +48,9 @@ class _Best:
         self.k, self.qids, self.queries, self.match, self.within = k, qids, queries, match, within
         self.held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
-    def add(self, ids: np.ndarray, corpus: np.ndarray, match: list, groups: list) -> None:
-        rows = _positions(zip(match, groups))
-        for (value, group), members in rows.items():
+    def add(self, ids: np.ndarray, corpus: np.ndarray, rows: pa.Table, match_on: tuple[str, ...]) -> None:
+        for key, members in _groups(rows, (*match_on, *self.within)):
+            value, group = key[:len(match_on)], key[len(match_on):]
             asked = np.array([i for i, m in enumerate(self.match) if m == value], dtype=int)
             block, names = corpus[members].T, ids[members]
             for start in range(0, len(asked), _SLICE):
@@ -75,11 +76,27 @@ class _Best:
         return pa.Table.from_pydict(out, schema=schema)
 
 
-def _positions(keys) -> dict:
-    found: dict = {}
-    for i, key in enumerate(keys):
-        found.setdefault(key, []).append(i)
-    return {key: np.array(rows) for key, rows in found.items()}
+def _groups(table: pa.Table, columns: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
+    """The row numbers of each combination of values; only distinct values become Python objects."""
+    if not columns:
+        return [((), np.arange(table.num_rows))]
+    code, values = np.zeros(table.num_rows, np.int64), []
+    for name in columns:
+        column = table[name].combine_chunks().dictionary_encode()
+        known = [*column.dictionary.to_pylist(), None]
+        code = code * len(known) + column.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)
+        values.append(known)
+    found, inverse = np.unique(code, return_inverse=True)
+    order = np.argsort(inverse, kind="stable")
+    parts = np.split(order, np.searchsorted(inverse[order], np.arange(1, len(found))))
+    keys = []
+    for number in found.tolist():
+        key = []
+        for known in reversed(values):
+            number, k = divmod(number, len(known))
+            key.append(known[k])
+        keys.append(tuple(reversed(key)))
+    return list(zip(keys, parts))
 
 
 def _tuples(table, columns: tuple[str, ...]) -> list[tuple]:
@@ -94,7 +111,7 @@ def _search_cell(k: int, match_on: tuple[str, ...], within: tuple[str, ...], doc
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
         best = _Best(k, right[query_id].to_pylist(), _unit_rows(right["_v"]), _tuples(right, match_on), within)
-        best.add(left[doc_id].to_numpy(), _unit_rows(left["_v"]), _tuples(left, match_on), _tuples(left, within))
+        best.add(left[doc_id].to_numpy(), _unit_rows(left["_v"]), left, match_on)
         return best.table(schema, query_id, doc_id)
 
     return search
@@ -108,7 +125,7 @@ def _search_partition(k: int, asked: pa.Table, match_on: tuple[str, ...], within
         for batch in batches:
             if batch.num_rows:
                 rows = pa.Table.from_batches([batch])
-                best.add(rows[doc_id].to_numpy(), _unit_rows(rows["_v"]), _tuples(rows, match_on), _tuples(rows, within))
+                best.add(rows[doc_id].to_numpy(), _unit_rows(rows["_v"]), rows, match_on)
         yield from best.table(schema, query_id, doc_id).to_batches()
 
     return search
@@ -119,6 +136,13 @@ def valid_vectors(df: DataFrame, vector: str, dim: int) -> DataFrame:
     return df.filter(F.size(vector) == dim)
 
 
+def checked_vector(vector: str, dim: int) -> Column:
+    """The vector; one of another dimension, or none, stops the job. Set such rows apart beforehand with `valid_vectors`."""
+    size = F.coalesce(F.size(vector), F.lit(-1))
+    refused = F.raise_error(F.concat(F.lit(f"column {vector}: expected {dim} dimensions, found "), size.cast("string")))
+    return F.when(size == dim, F.col(vector).cast("array<double>")).otherwise(refused.cast("array<double>"))
+
+
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, doc_id: str = "doc_id",
                vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding",
                match_on: tuple[str, ...] = (), within: tuple[str, ...] = (),
@@ -129,16 +153,11 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, doc_id:
     match_on: columns present on both sides that must be equal (hard filter applied before ranking);
     within: corpus columns that are ranked separately (one top-k per query and value).
     """
-    left = valid_vectors(corpus, vector, dim).select(
-        doc_id, *match_on, *within, F.col(vector).cast("array<double>").alias("_v"))
-    right = valid_vectors(queries, query_vector, dim).select(
-        query_id, *match_on, F.col(query_vector).cast("array<double>").alias("_v"))
+    left = corpus.select(doc_id, *match_on, *within, checked_vector(vector, dim).alias("_v"))
+    right = queries.select(query_id, *match_on, checked_vector(query_vector, dim).alias("_v"))
     schema = T.StructType([right.schema[query_id], left.schema[doc_id], *[left.schema[c] for c in within],
                            T.StructField("score", T.DoubleType())])
-    arrow = pa.schema([
-        (f.name, {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(),
-                  "double": pa.float64()}[f.dataType.simpleString()]) for f in schema
-    ])
+    arrow = to_arrow_schema(schema)
     n_queries = right.count()
     if n_queries * dim * 8 <= query_bytes:
         found = left.mapInArrow(_search_partition(k, right.toArrow(), match_on, within, doc_id, query_id, arrow), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from evidencia.functions.codes import filing_url, pmc_id
 from evidencia.functions.dates import MONTHS, parse_date
 from evidencia.functions.markup import flat_text
+from evidencia.operators.ranking import top_k
 
 APPROVAL = """application_number string, sponsor_name string,
   products array<struct<brand_name: string, dosage_form: string, active_ingredients: array<struct<name: string>>>>,
@@ -27,60 +29,112 @@ LETTER = """text string, application_number array<string>, file_name string, com
 _CHUNK = 1 << 20
 
 
-def _array_items(stream, name: str) -> Iterator[str]:
-    """JSON text of each element of the top-level array `name`, decoding one element at a time."""
-    decoder, text = json.JSONDecoder(), io.TextIOWrapper(stream, encoding="utf-8")
-    buffer, opened = "", False
-    while True:
-        piece = text.read(_CHUNK)
-        buffer += piece
-        if not opened:
-            at = buffer.find(f'"{name}"')
-            start = buffer.find("[", at) if at >= 0 else -1
-            if start < 0:
-                if not piece:
-                    return
-                continue
-            buffer, opened = buffer[start + 1:], True
-        at = 0
+class _Reader:
+    """JSON values from a stream, one at a time; text that ends early or is damaged raises ValueError."""
+
+    def __init__(self, stream):
+        self.text, self.decoder = io.TextIOWrapper(stream, encoding="utf-8"), json.JSONDecoder()
+        self.buffer, self.at, self.ended = "", 0, False
+
+    def _fill(self) -> None:
+        piece = self.text.read(max(_CHUNK, len(self.buffer)))
+        self.buffer, self.at, self.ended = self.buffer[self.at:] + piece, 0, not piece
+
+    def peek(self) -> str:
+        """The next character that is not white space; empty at the end."""
+        while True:
+            while self.at < len(self.buffer) and self.buffer[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.buffer):
+                return self.buffer[self.at]
+            if self.ended:
+                return ""
+            self._fill()
+
+    def take(self, *expected: str) -> str:
+        found = self.peek()
+        if not found or found not in expected:
+            raise ValueError(f"expected {' or '.join(expected)}, found {found or 'the end'}")
+        self.at += 1
+        return found
+
+    def value(self) -> str:
+        """The text of the next value; a number is complete only when something follows it."""
+        self.peek()
         while True:
-            while at < len(buffer) and buffer[at] in " \t\r\n,":
-                at += 1
-            if at < len(buffer) and buffer[at] == "]":
-                return
             try:
-                _, end = decoder.raw_decode(buffer, at)
+                _, end = self.decoder.raw_decode(self.buffer, self.at)
+                if end < len(self.buffer) or self.ended:
+                    found, self.at = self.buffer[self.at:end], end
+                    return found
             except ValueError:
-                break
-            yield buffer[at:end]
-            at = end
-        buffer = buffer[at:]
-        if not piece:
-            return
+                if self.ended:
+                    raise
+            self._fill()
+
+
+def _array_items(stream, name: str) -> Iterator[str]:
+    """JSON text of each element of the array `name` of the outermost object, decoding one element at a time.
+
+    An array of that name deeper down is not meant. Damaged or cut text, or no such array, raises ValueError.
+    """
+    reader, found = _Reader(stream), False
+    reader.take("{")
+    closed = reader.peek() == "}"
+    if closed:
+        reader.take("}")
+    while not closed:
+        key = json.loads(reader.value())
+        reader.take(":")
+        if key == name and reader.peek() == "[":
+            found = True
+            reader.take("[")
+            last = reader.peek() == "]"
+            if last:
+                reader.take("]")
+            while not last:
+                yield reader.value()
+                last = reader.take(",", "]") == "]"
+        else:
+            reader.value()
+        closed = reader.take(",", "}") == "}"
+    if not found:
+        raise ValueError(f"no array {name}")
 
 
 def _unzip(array: str):
     schema = pa.schema([("json", pa.string())])
 
+    def items(content) -> Iterator[str]:
+        with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
+            for member in archive.infolist():
+                if not member.is_dir():
+                    with archive.open(member) as stream:
+                        yield from _array_items(stream, array)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
-                    with archive.open(archive.namelist()[0]) as stream:
-                        held = []
-                        for item in _array_items(stream, array):
-                            held.append(item)
-                            if len(held) == 1000:
-                                yield pa.record_batch([pa.array(held)], schema=schema)
-                                held = []
-                        if held:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                held = []
+                try:
+                    for item in items(content):
+                        held.append(item)
+                        if len(held) == 1000:
                             yield pa.record_batch([pa.array(held)], schema=schema)
+                            held = []
+                except (ValueError, zipfile.BadZipFile, zlib.error) as error:
+                    raise ValueError(f"{path}: {error}") from error
+                if held:
+                    yield pa.record_batch([pa.array(held)], schema=schema)
     return run
 
 
 def read_bulk_zips(spark: SparkSession, path: str, schema: str, array: str = "results") -> DataFrame:
-    """Elements of the `results` array of every ZIP, one task per ZIP, typed by `schema`."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """Elements of the `results` array of every member of every ZIP, one task per ZIP, typed by `schema`.
+
+    A damaged file stops the job with its name.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
     items = files.mapInArrow(_unzip(array), "json string")
     return items.select(F.from_json("json", schema).alias("r")).select("r.*")
 
@@ -114,7 +168,13 @@ MONTHLY_FIELDS = {
     "Approval Date": "approval_date", "Exclusivity Expiration Date": "exclusivity",
     "Ref. Product Exclusivity Exp. Date": "ref_exclusivity", "Orphan Exclusivity Exp. Date": "orphan_exclusivity",
 }
-_WIDTH = 64
+
+
+def csv_cells(line: Column) -> Column:
+    """The cells of a comma-separated line, however many; doubled quotes inside quotes are one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    return F.transform(raw, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(
+        F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def read_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -124,18 +184,12 @@ def read_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     text = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    generic = ", ".join(f"c{i} string" for i in range(_WIDTH))
-
-    def cells(line):
-        parsed = F.from_csv(line, generic, {"mode": "PERMISSIVE"})
-        return F.array(*[parsed[f"c{i}"] for i in range(_WIDTH)])
-
     lines = text.select("file", F.split("value", r"\r?\n").alias("lines"))
     header_at = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(r'^\s*"?\s*N/R/U\s*"?\s*,'), i)), lambda i: i.isNotNull())
     found = lines.withColumn("at", F.get(header_at, 0)).filter("at is not null")
     body = found.select("file", F.get("lines", F.col("at")).alias("header"),
                         F.explode(F.slice("lines", F.col("at") + 2, F.size("lines"))).alias("line"))
-    rows = body.filter(F.length(F.trim("line")) > 0).select("file", cells(F.col("header")).alias("names"), cells(F.col("line")).alias("cells"))
+    rows = body.filter(F.length(F.trim("line")) > 0).select("file", csv_cells(F.col("header")).alias("names"), csv_cells(F.col("line")).alias("cells"))
 
     def named(header):
         at = F.array_position(F.transform("names", F.trim), F.lit(header)).cast("int")
@@ -171,23 +225,27 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.col("pub_year") != "", F.col("pub_year")).alias("pub_year"))
 
 
-def read_feeds(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    """Entries of RSS files (one file per feed, named after it): the first `limit` of each feed."""
+def read_feeds(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """Entries with title and link of RSS files (one file per feed, named after it); with `limit` the first
+    ones of each feed, counted after empty entries are left out."""
     feeds = spark.read.text(path, wholetext=True).select(
         F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("feed"), "value")
-    items = feeds.select("feed", F.posexplode(F.slice(
-        F.regexp_extract_all("value", F.lit(r"(?s)<item\b.*?</item>"), F.lit(0)), 1, limit)).alias("position", "x"))
+    items = feeds.select("feed", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))).alias("position", "x"))
     parsed = items.select(
         "feed", "position", F.trim(F.xpath_string("x", F.lit("item/title"))).alias("title"),
         flat_text(F.xpath_string("x", F.lit("item/description"))).alias("summary"),
         F.trim(F.xpath_string("x", F.lit("item/link"))).alias("link"), F.trim(F.xpath_string("x", F.lit("item/pubDate"))).alias("published"))
-    return parsed.filter((F.col("title") != "") & (F.col("link") != "")).select(
+    filled = parsed.filter((F.col("title") != "") & (F.col("link") != ""))
+    if limit is not None:
+        filled = top_k(filled, ["feed"], [F.asc("position")], limit).select(parsed.columns)
+    return filled.select(
         "feed", "position", "title", F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("title")).alias("text"), "link", "published")
 
 
 def filing_headers(filings: DataFrame, accession: str = "accession", text: str = "text") -> DataFrame:
-    """Filed date and company name from the first 4 KB of a submission, and its public address."""
-    head = F.substring(text, 1, 4096)
+    """Filed date and company name from the header of a submission, up to its closing tag or the first document,
+    and its public address. A submission without either mark is searched whole."""
+    head = F.substring_index(F.substring_index(text, "</SEC-HEADER>", 1), "<DOCUMENT>", 1)
     filed = F.regexp_extract(head, r"FILED AS OF DATE:\s*(\d{8})", 1)
     name = F.trim(F.regexp_extract(head, r"COMPANY CONFORMED NAME:[ \t]*([^\r\n]+)", 1))
     return filings.select(

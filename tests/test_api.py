@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from evidencia import api
@@ -22,6 +23,10 @@ def test_corpus_text(spark):
     rows = spark.createDataFrame([("NCT1", "T", "S", ["a", "b"], ["x"], None, "sum")],
                                  "nct_id string, title string, sponsor string, conditions array<string>, interventions array<string>, study_type string, summary string")
     assert api.corpus_text("trials", rows, "nct_id").df.first()["text"] == "NCT1\nT\nS\na, b\nx\nsum"
+    typed = rows.withColumn("interventions", F.expr("array(struct('DRUG' as type, 'Drug 4' as name), struct('DEVICE' as type, 'x' as name))"))
+    assert api.corpus_text("trials", typed, "nct_id").df.first()["text"] == "NCT1\nT\nS\na, b\nDRUG: Drug 4, DEVICE: x\nsum"
+    with pytest.raises(TypeError):
+        api.corpus_text("trials", rows.withColumn("summary", F.lit(1)), "nct_id")
 
 
 def test_lookup_finds_brand_generic_substring_and_unresolved(spark):

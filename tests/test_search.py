@@ -1,9 +1,11 @@
 """Search and statistics against brute force on small inputs."""
 
+import datetime as dt
 import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from evidencia.operators import dense, lexical, ordered, signals
@@ -31,6 +33,9 @@ def test_dense_paths_agree_with_brute_force(spark):
             for rows in groups.values():
                 out |= {(q, d) for _, d in sorted(rows)[:4]}
         return out
+    with pytest.raises(Exception, match="expected 6 dimensions, found 1"):
+        dense.dense_topk(corpus, queries, 4, 6).collect()
+    corpus = dense.valid_vectors(corpus, "embedding", 6)
     for match in ((), ("label",)):
         for within in ((), ("corpus",)):
             for size in (dict(), dict(query_bytes=0, rows_per_block=16, queries_per_block=4)):
@@ -38,6 +43,17 @@ def test_dense_paths_agree_with_brute_force(spark):
                 assert {(r["query_id"], r["doc_id"]) for r in got.collect()} == brute(match, within), (match, within, size)
 
 
+def test_dense_with_any_key_types(spark):
+    day = [dt.date(2024, 1, 1), dt.date(2024, 1, 2), None]
+    rows = [(f"d{k}", [1.0, k / 10], day[k % 3], k % 2 == 0) for k in range(12)]
+    corpus = spark.createDataFrame(rows, "doc_id string, embedding array<double>, day date, even boolean")
+    queries = spark.createDataFrame([(dt.date(2025, 1, k + 1), [1.0, 0.0], k == 0) for k in range(2)], "query_id date, embedding array<double>, even boolean")
+    got = {}
+    for r in dense.dense_topk(corpus, queries, 1, 2, match_on=("even",), within=("day",)).collect():
+        got[r["query_id"].day, r["day"]] = r["doc_id"]
+    assert got == {(1, day[0]): "d0", (1, day[2]): "d2", (1, day[1]): "d4", (2, day[1]): "d1", (2, day[0]): "d3", (2, day[2]): "d5"}
+
+
 def test_salted_join_keeps_every_row(spark):
     big = spark.range(1000).select((F.col("id") % 7).alias("k"), "id")
     side = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))

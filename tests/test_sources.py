@@ -64,6 +64,35 @@ def test_bulk_zip_adverse_events(spark, tmp_path):
     assert signals.ror_signals(corpora.report_pairs(records)).count() == 4
 
 
+def zipped(path, *members):
+    with zipfile.ZipFile(path, "w") as z:
+        for k, text in enumerate(members):
+            z.writestr(f"part{k}.json", text)
+    return str(path)
+
+
+def test_bulk_zip_takes_the_outer_array_of_every_member(spark, tmp_path):
+    nested = '{"meta": {"results": {"total": 1}, "terms": ["x", "y"], "more": {"results": [{"a": 9}]}}, "results": [{"a": 1}, {"a": 2}]}'
+    path = zipped(tmp_path / "a.zip", nested, '{"results": [{"a": 3}]}', '{"results": [], "last": [1, 2]}')
+    assert sorted(r["a"] for r in readers.read_bulk_zips(spark, path, "a int").collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("damaged", [
+    '{"results":[{"a":1},{"a":2},{', '{"results":[{"a":1},{"a"::2},{"a":3}]}', '{"results":[{"a":1}', '{"results":[{"a":1}]', '{"other":[]}', '[{"a":1}]', ""])
+def test_damaged_bulk_zip_is_refused(spark, tmp_path, damaged):
+    with pytest.raises(Exception, match="a.zip"):
+        readers.read_bulk_zips(spark, zipped(tmp_path / "a.zip", damaged), "a int").collect()
+
+
+def test_array_items_over_chunks(monkeypatch):
+    import io
+    items = [{"k": i, "t": "x" * (i % 50), "n": [i, {"results": [i]}]} for i in range(300)] + [12345, "é", None]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(readers, "_CHUNK", size)
+        stream = io.BytesIO(json.dumps({"a": 1.5, "results": items, "z": {}}, ensure_ascii=False).encode())
+        assert [json.loads(x) for x in readers._array_items(stream, "results")] == items
+
+
 def test_approvals(spark, tmp_path):
     raw = spark.createDataFrame([(json.dumps({
         "application_number": "ANDA001", "products": [
@@ -102,6 +131,13 @@ def test_monthly_csv(spark, tmp_path):
     assert str(latest["100"]["loe_estimate"]) == "2033-01-05" and latest["200"]["loe_estimate"] is None
 
 
+def test_wide_monthly_csv(spark, tmp_path):
+    fill = ",".join(f"c{i}" for i in range(90))
+    write(tmp_path / "PurpleBook-may-2024.csv", f'N/R/U,{fill},BLA Number,Proper Name\nN,{"," * 89},7,"a ""b"", c"\n')
+    r = readers.read_monthly_csv(spark, str(tmp_path)).first()
+    assert (r["appl_no"], r["ingredient"], r["applicant"]) == ("7", 'a "b", c', None)
+
+
 def test_articles(spark, tmp_path):
     body = lambda i, pid, extra: f"<article xmlns:xlink='u'><front><article-meta>{pid}<title-group><article-title>On <italic>x</italic>{i}</article-title></title-group>{extra}</article-meta></front></article>\n"
     text = "<?xml version='1.0'?><pmc-articleset>" + body(1, "<article-id pub-id-type='pmc'>77</article-id>", "<abstract><p>A <b>bold</b>\n claim</p></abstract>") \
@@ -116,17 +152,19 @@ def test_articles(spark, tmp_path):
 def test_feeds_filings_and_transcripts(spark, tmp_path):
     items = "".join(f"<item><title>T{i}</title><link>http://x/{i}</link><description><![CDATA[<p>Hello <b>{i}</b></p>]]></description></item>" for i in range(4))
     items += "<item><title> </title><link>http://x/9</link></item><item><title>Last</title><link>u</link></item>"
-    feeds = readers.read_feeds(spark, write(tmp_path / "wire.xml", f"<rss><channel>{items}</channel></rss>"), limit=6)
+    assert readers.read_feeds(spark, write(tmp_path / "all.xml", f"<rss><channel>{items}</channel></rss>")).count() == 5
+    feeds = readers.read_feeds(spark, write(tmp_path / "wire.xml", f"<rss><channel>{items}</channel></rss>"), limit=5)
     rows = feeds.orderBy("position").collect()
     assert [r["title"] for r in rows] == ["T0", "T1", "T2", "T3", "Last"] and rows[0]["text"] == "Hello 0" and rows[-1]["text"] == "Last"
     assert rows[0]["feed"] == "wire"
     filing = "COMPANY CONFORMED NAME:\t\tACME INC\nFILED AS OF DATE:\t\t20240105\n" + "a" * 5000 + " our PIPELINE is full " + "b" * 5000
     write(tmp_path / "f" / "0000078003-24-000012" / "full.txt", filing)
-    write(tmp_path / "f" / "0000078003-24-000013" / "full.txt", "a" * 5000 + "FILED AS OF DATE: 20240105")
+    write(tmp_path / "f" / "0000078003-24-000013" / "full.txt", "a" * 5000 + "</SEC-HEADER> FILED AS OF DATE: 20240105")
+    write(tmp_path / "f" / "0000078003-24-000014" / "full.txt", "a" * 5000 + "\nFILED AS OF DATE: 20240106\n</SEC-HEADER>")
     filings = readers.read_filings(spark, str(tmp_path / "f" / "*"))
     heads = {r["accession"]: r for r in readers.filing_headers(filings).collect()}
     assert heads["0000078003-24-000012"]["filed_date"] == "2024-01-05" and heads["0000078003-24-000012"]["company_name"] == "ACME INC"
-    assert heads["0000078003-24-000013"]["filed_date"] is None
+    assert heads["0000078003-24-000013"]["filed_date"] is None and heads["0000078003-24-000014"]["filed_date"] == "2024-01-06"
     assert heads["0000078003-24-000012"]["source_url"] == "https://www.sec.gov/Archives/edgar/data/78003/000007800324000012/"
     chunks = corpora.filing_chunks(filings).collect()
     assert {c["accession"] for c in chunks} == {"0000078003-24-000012"} and any("PIPELINE" in c["chunk"] for c in chunks)
