@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidencia.plans.registry import Tables, query
 from evidencia.sources.store import VersionedTable, scratch_path
-from evidencia.streaming import delta
+from evidencia.streaming import delta, eventlog
 
 
 @query("select o_orderkey, o_orderstatus, o_totalprice from orders")
@@ -38,3 +38,15 @@ def stream_digest(t: Tables) -> DataFrame:
     digests = scratch_path(t.spark, "digests")
     delta.stream_digests(stream, entries, digests, scratch_path(t.spark, "checkpoint"), ["error"])
     return t.spark.read.parquet(digests).select("entity", "type", "changes", "letters")
+
+
+@query("""
+with ends as (select user_id, min(event_id) as last_id from events where event_type = 'error' group by user_id)
+select user_id as job, event_id, event_type as event from events left join ends using (user_id) where last_id is null or event_id <= last_id""")
+def stream_replay(t: Tables) -> DataFrame:
+    """Events arrive as a file stream; those of a user up to the first error pass."""
+    stream = delta.landed_stream(t.spark, f"{t.root}/events.parquet*", t.events.schema).select(
+        F.col("user_id").alias("job"), "event_id", F.col("event_type").alias("event"))
+    out = scratch_path(t.spark, "replayed")
+    eventlog.stream_until_terminal(stream, VersionedTable(t.spark, scratch_path(t.spark, "ends")), out, scratch_path(t.spark, "checkpoint"), ["error"])
+    return t.spark.read.parquet(out).select("job", "event_id", "event")

@@ -8,25 +8,28 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from evidencia.sizing import join_small
+from evidencia.sources.store import VersionedTable, written
+from evidencia.streaming.delta import run_available
 
-def until_terminal(events: DataFrame, terminal: list[str]) -> DataFrame:
-    """Events {job, event_id, event} of each job up to its first terminal one.
 
-    The state of a job is one flag; its events pass through in Arrow batches.
+def stream_until_terminal(stream: DataFrame, ends: VersionedTable, out: str, checkpoint: str, terminal: list[str]) -> None:
+    """Events {job, event_id, event} of each job up to its first terminal one, one folder per batch below `out`.
+
+    The end of a job is the smallest terminal id in all that has arrived, found over the whole batch before
+    any row passes; `ends` {job, ended} keeps it between batches. A repeated batch gives the same folder.
     """
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ended = state.get[0] if state.exists else None
-        for rows in batches:
-            ends = rows.loc[rows["event"].isin(terminal), "event_id"]
-            if len(ends):
-                ended = min(ends.min(), ended) if ended is not None else int(ends.min())
-            yield rows if ended is None else rows[rows["event_id"] <= ended]
-        if ended is not None:
-            state.update((int(ended),))
-    schema = "job long, event_id long, event string"
-    ordered = events.select("job", "event_id", "event")
-    return ordered.groupBy("job").applyInPandasWithState(
-        step, schema, "ended long", "append", GroupStateTimeout.NoTimeout)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("job", "event_id", "event")
+        own = rows.filter(F.col("event").isin(terminal)).groupBy("job").agg(F.min("event_id").alias("ended"))
+        known = own.unionByName(ends.read()) if ends.exists() else own
+        ends.replace(written(known.groupBy("job").agg(F.min("ended").alias("ended")), "ends"))
+        met = ends.read().join(rows.select("job").distinct(), "job", "left_semi")
+        kept = join_small(rows, met, ["job"], "left", F.col("event_id"))
+        kept.filter(F.col("ended").isNull() | (F.col("event_id") <= F.col("ended"))).drop("ended").write.mode(
+            "overwrite").parquet(f"{out}/batch={batch_id}")
+
+    run_available(stream, checkpoint, handle)
 
 
 def expiring_leases(events: DataFrame, lease_minutes: int = 20, max_attempts: int = 3, delay: str = "0 seconds") -> DataFrame:

@@ -49,12 +49,21 @@ def test_digests_move_the_last_check(spark, tmp_path):
 
 def test_until_terminal(spark, tmp_path):
     src, schema = str(tmp_path / "in"), "job long, event_id long, event string"
-    spark.createDataFrame([(1, 1, "progress"), (1, 2, "result"), (1, 3, "progress"), (2, 4, "progress")], schema).coalesce(1).write.parquet(src)
-    rows = drain(eventlog.until_terminal(delta.landed_stream(spark, src, schema), ["result", "error"]), tmp_path, "a")
-    assert sorted(r["event_id"] for r in rows.collect()) == [1, 2, 4]
-    spark.createDataFrame([(1, 5, "progress"), (2, 6, "error"), (2, 7, "progress")], schema).coalesce(1).write.mode("append").parquet(src)
-    rows = drain(eventlog.until_terminal(delta.landed_stream(spark, src, schema), ["result", "error"]), tmp_path, "a")
-    assert sorted(r["event_id"] for r in rows.collect()) == [1, 2, 4, 6]
+    put = lambda *r: spark.createDataFrame(list(r), schema).coalesce(1).write.mode("append").parquet(src)
+    ends, out = VersionedTable(spark, str(tmp_path / "ends")), str(tmp_path / "out")
+
+    def run():
+        eventlog.stream_until_terminal(delta.landed_stream(spark, src, schema), ends, out, str(tmp_path / "cp"), ["result", "error"])
+        return sorted(r["event_id"] for r in spark.read.parquet(out).collect())
+
+    # Ids do not arrive in order: what stands behind the end goes, wherever it stands in the batch.
+    put((1, 5, "progress"), (1, 6, "progress"), (1, 7, "error"), (1, 2, "result"), (1, 1, "progress"), (2, 4, "progress"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    assert run() == [1, 2, 4]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    put((1, 8, "progress"), (2, 9, "error"), (2, 10, "progress"), (3, 3, "progress"))
+    assert run() == [1, 2, 3, 4, 9]
+    assert run() == [1, 2, 3, 4, 9]
 
 
 def test_expiring_leases(spark, tmp_path):
