@@ -11,6 +11,9 @@ that have the same pair: selective, but quadratic in the size. Large sets scan t
 shingles in their prefix, in which small sets stand too as far as their size can link to a large one. Where small
 ends is chosen by cost, from how many sets there are of each size and how long lists are.
 
+A key that is the first one shared leaves room for no more shared shingles than come behind it in either set, which
+rules out most pairs by their places in the list alone.
+
 The common order puts frequent shingles last. Their frequencies are added up over all documents from
 what repeats within each batch of documents, which finds every shingle that is frequent at scale; the
 order decides about speed only, never about results. Keys that stay frequent, as in large groups of near
@@ -126,32 +129,35 @@ def profiled(docs: DataFrame) -> DataFrame:
 
 
 def posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], small: int, buckets: int) -> DataFrame:
-    """The keys of every set, packed by bucket: {bucket, spread, keys, owners, nodes, sizes}; owners point into nodes and
-    sizes, and `spread` says that a key's entries lie in several buckets."""
+    """The keys of every set, packed by bucket: {bucket, spread, keys, owners, rests, nodes, sizes}; owners point into nodes
+    and sizes, and `spread` says that a key's entries lie in several buckets."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     both = overlap(small + 1)
 
-    def keys_of(found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The keys of one set, and how frequent each is estimated to be."""
+    def keys_of(found: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The keys of one set, how frequent each is estimated to be, and the most shingles that can still be
+        shared if it is the first key shared."""
         if times.any():
             order = np.lexsort((found, times))
             found, times = found[order], times[order]
-        n, keys, often = len(found), [], []
+        n, keys, often, rest = len(found), [], [], []
         if n >= both:
             keys.append(found[:prefix(n, 1)])
             often.append(times[:prefix(n, 1)])
+            rest.append(n - np.arange(prefix(n, 1)))
         if 2 <= n <= small:
             first, second = np.array(list(combinations(range(prefix(n, 2)), 2))).T
             keys.append(mix(found[np.minimum(first, second)] * _PAIR + mix(found[np.maximum(first, second)])))
             often.append(np.minimum(times[first], times[second]))
-        return (np.concatenate(keys), np.concatenate(often)) if keys else (found[:0], times[:0])
+            rest.append(n - second + 1)
+        return tuple(map(np.concatenate, (keys, often, rest))) if keys else (found[:0], times[:0], times[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         known, counts = shared.value
         for batch in batches:
-            nodes, sizes, keys, owners, often = [], [], [], [], []
+            nodes, sizes, keys, owners, often, rests = [], [], [], [], [], []
             seen = set()
             for found in shingler.sets(batch.column(0).cast(pa.binary()).to_pylist()):
                 node = digest(found) if len(found) else None
@@ -160,59 +166,61 @@ def posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], small: int,
                 seen.add(node)
                 at = np.minimum(np.searchsorted(known, found), max(0, len(known) - 1))
                 times = np.where(known[at] == found, counts[at], 0) if len(known) else np.zeros(len(found), np.int64)
-                own, many = keys_of(found, times)
-                keys.append(own), often.append(many)
+                own, many, rest = keys_of(found, times)
+                keys.append(own), often.append(many), rests.append(rest)
                 owners.append(np.full(len(own), len(nodes), np.uint32))
                 nodes.append(node), sizes.append(len(found))
             if not nodes:
                 continue
-            key, many, owner = np.concatenate(keys), np.concatenate(often), np.concatenate(owners)
+            key, many, owner, rest = np.concatenate(keys), np.concatenate(often), np.concatenate(owners), np.concatenate(rests)
             node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
             # A frequent key would fill one bucket: its entries are dealt by key and set over buckets of their own.
             bucket = np.where(many >= HOT_FROM, np.uint64(buckets) + mix(key ^ mix(node[owner].view(np.uint64))) % np.uint64(buckets),
                               key % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            key, owner, bucket = key[order], owner[order], bucket[order]
+            key, owner, bucket, rest = key[order], owner[order], bucket[order], rest[order].astype(np.uint32)
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
             for begin, end in zip(cuts, [*cuts[1:], len(bucket)]):
                 used, local = np.unique(owner[begin:end], return_inverse=True)
                 rows.append((int(bucket[begin]), bool(bucket[begin] >= buckets), key[begin:end].tobytes(), local.astype(np.uint32).tobytes(),
-                             node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
-            columns = list(zip(*rows)) or [[]] * 6
-            types = [pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+                             rest[begin:end].tobytes(), node[used].tobytes(), size[used].astype(np.uint32).tobytes()))
+            columns = list(zip(*rows)) or [[]] * 7
+            types = [pa.int64(), pa.bool_(), *[pa.binary()] * 5]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             ["bucket", "spread", "keys", "owners", "nodes", "sizes"])
+                                             ["bucket", "spread", "keys", "owners", "rests", "nodes", "sizes"])
 
-    return docs.select("text").mapInArrow(run, "bucket bigint, spread boolean, keys binary, owners binary, nodes binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "bucket bigint, spread boolean, keys binary, owners binary, rests binary, nodes binary, sizes binary")
 
 
 def met(batch: pa.Table) -> pa.Table:
-    """The entries of one bucket whose key several sets have; of keys with the same sets one is enough. Of spread
-    keys all entries."""
-    keys, nodes, sizes = [], [], []
-    for row in batch.select(["keys", "owners", "nodes", "sizes"]).to_pylist():
+    """The entries {key, node, n, rest} of one bucket whose key several sets have and that may link by it; of keys with
+    the same entries one is enough. Of spread keys all entries."""
+    keys, nodes, sizes, rests = [], [], [], []
+    for row in batch.select(["keys", "owners", "rests", "nodes", "sizes"]).to_pylist():
         owner = np.frombuffer(row["owners"], np.uint32)
         keys.append(np.frombuffer(row["keys"], np.uint64))
+        rests.append(np.frombuffer(row["rests"], np.uint32).astype(np.int64))
         nodes.append(np.frombuffer(row["nodes"], np.int64)[owner])
-        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner])
-    key, node, size = np.concatenate(keys), np.concatenate(nodes), np.concatenate(sizes)
+        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner].astype(np.int64))
+    key, node, size, rest = (np.concatenate(x) for x in (keys, nodes, sizes, rests))
     order = np.lexsort((node, key))
-    key, node, size = key[order], node[order], size[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, size = key[new], node[new], size[new]
-    if batch.column("spread")[0].as_py():
-        return pa.table({"key": pa.array(key.view(np.int64)), "node": pa.array(node), "n": pa.array(size.astype(np.int64))})
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    length = np.diff(np.append(begin, len(key)))
-    names = np.add.reduceat(mix(node.view(np.uint64)), begin)
-    several = np.flatnonzero(length > 1)
-    _, once = np.unique(np.stack([names[several], length[several].astype(np.uint64)], 1), axis=0, return_index=True)
-    chosen = np.zeros(len(begin), bool)
-    chosen[several[once]] = True
-    stays = np.repeat(chosen, length)
-    return pa.table({"key": pa.array(key[stays].view(np.int64)), "node": pa.array(node[stays]), "n": pa.array(size[stays].astype(np.int64))})
+    key, node, size, rest = key[order], node[order], size[order], rest[order]
+    stays = np.ones(len(key), bool)
+    stays[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+    key, node, size, rest = key[stays], node[stays], size[stays], rest[stays]
+    if not batch.column("spread")[0].as_py():
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        length = np.diff(np.append(begin, len(key)))
+        names = np.add.reduceat(mix(mix(node.view(np.uint64)) + rest.astype(np.uint64)), begin)
+        near = np.maximum.reduceat(7 * rest >= 6 * size, begin)
+        several = np.flatnonzero((length > 1) & near)
+        _, once = np.unique(np.stack([names[several], length[several].astype(np.uint64)], 1), axis=0, return_index=True)
+        chosen = np.zeros(len(begin), bool)
+        chosen[several[once]] = True
+        stays = np.repeat(chosen, length)
+        key, node, size, rest = key[stays], node[stays], size[stays], rest[stays]
+    return pa.table({"key": pa.array(key.view(np.int64)), "node": pa.array(node), "n": pa.array(size), "rest": pa.array(rest)})
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -266,35 +274,49 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "b", "share", F.asc_nulls_first("a")).mapInArrow(run, "a bigint, b bigint")
 
 
-def fits(n: str, m: str):
-    return F.least(n, m) * 4 >= F.greatest(n, m) * 3
+def room(n, rest, other_n, other_rest):
+    """May two entries of a list belong to linked sets that share this key first? They need 3/7 of both sizes."""
+    return F.least(rest, other_rest) * 7 >= (F.col(n) + F.col(other_n)) * 3
+
+
+# Of two entries with room one is near its set's front: of two that are not, each would have to be of the smaller set.
+NEAR = "7 * rest >= 6 * n"
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """lists {key, node, n} -> pairs {a, b} of each member with the member of the smallest and of the largest name."""
-    ends = lists.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("node", "n")).alias("low"),
-                                    F.max(F.struct("node", "n")).alias("high")).filter("copies > 1")
+    """lists {key, node, n, rest} -> pairs {a, b} of each member with two near members, those of the smallest and of
+    the largest name."""
+    entry = F.struct("node", "n", "rest")
+    ends = lists.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.expr(NEAR), entry)).alias("low"),
+                                    F.max(F.when(F.expr(NEAR), entry)).alias("high")).filter("copies > 1 and low is not null")
     with_ends = join_by_key(lists, ends, "key", "copies").filter(F.col("low").isNotNull())
-    return with_ends.select("node", "n", F.explode(F.array("low", "high")).alias("end")).filter(
-        (F.col("node") != F.col("end.node")) & fits("n", "end.n")).select(
-        F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct()
+    return with_ends.select("node", "n", "rest", F.explode(F.array("low", "high")).alias("end")).select("node", "n", "rest", F.col("end.node").alias("other"),
+                     F.col("end.n").alias("other_n"), F.col("end.rest").alias("other_rest")).filter(
+        (F.col("node") != F.col("other")) & room("n", "rest", "other_n", "other_rest")).select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
 def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs {a, b} within a list and between components {node, label}, for all lists that touch several of them."""
+    """Pairs {a, b} with room within a list and between components {node, label}, for all lists that touch several.
+
+    One side is outside the largest component of its list; near entries meet all members, others the near members.
+    """
     # A node has as many entries as its set has keys, so no label is hot here.
-    marked = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "marked")
-    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"))
+    marked = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("near", F.expr(NEAR)), "marked")
+    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"), F.max("near").alias("near"))
     several = written(parts.groupBy("key").agg(
-        F.sum("part").alias("copies"), F.count(F.lit(1)).alias("parts"), F.max_by("label", F.struct("part", "label")).alias("main")).filter(
-        "parts > 1").drop("parts").withColumn("shares", F.ceil(F.col("copies") / SALT_PARTNERS)), "several")
-    open_lists = written(join_by_key(marked, several, "key", "copies").filter(F.col("main").isNotNull()), "open")
-    members = open_lists.withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")))
-    outside = open_lists.filter(F.col("label") != F.col("main")).select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"),
-        F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-    apart = (F.col("label") != F.col("other_label")) & fits("n", "other_n")
-    return members.join(outside, ["key", "share"]).filter(apart).select(
+        F.sum("part").alias("copies"), F.count(F.lit(1)).alias("parts"), F.max("near").alias("any_near"),
+        F.max_by("label", F.struct("part", "label")).alias("main")).filter("parts > 1 and any_near").drop("parts", "any_near").withColumn(
+        "shares", F.ceil(F.col("copies") / SALT_PARTNERS)), "several")
+    members = written(join_by_key(marked, several, "key", "copies").filter(F.col("main").isNotNull()).withColumn(
+        "share", F.pmod(F.xxhash64("node"), F.col("shares"))), "open")
+    outside = members.filter(F.col("label") != F.col("main")).select(
+        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), F.col("node").alias("other"),
+        F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("label").alias("other_label"), F.col("near").alias("other_near"))
+    apart = (F.col("label") != F.col("other_label")) & room("n", "rest", "other_n", "other_rest")
+    met_near = members.join(outside.filter("other_near"), ["key", "share"]).filter(apart)
+    met_far = members.filter("near").join(outside.filter("not other_near"), ["key", "share"]).filter(apart)
+    return met_near.unionByName(met_far).select(
         F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
@@ -318,7 +340,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole[0] // 3 // BUCKET_KEYS)
 
     keyed = posted(rows, frequent, small, buckets)
-    lists = written(keyed.groupBy("bucket").applyInArrow(met, "key bigint, node bigint, n bigint"), "lists")
+    lists = written(keyed.groupBy("bucket").applyInArrow(met, "key bigint, node bigint, n bigint, rest bigint"), "lists")
     classes = written(sets.filter("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
     # One document stands for each class that shares a key; equal sets have equal sketches.
@@ -335,7 +357,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     labels = components(links)
     more = links_of(crossing(lists, labels), "crossing-links")
     if more.take(1):
-        labels = components(links.unionByName(more))
+        # The components found so far are nodes of a smaller graph.
+        name = labels.select("node", "label")
+        over = components(more.join(name.toDF("a", "at"), "a", "left").join(name.toDF("b", "bt"), "b", "left").select(
+            F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")))
+        new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+        labels = labels.unionByName(new).join(over.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
     labelled = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     smallest = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("copies"), F.min("first_id").alias("component_id"))
     facts = join_by_key(labelled.withColumnRenamed("copies", "rows"), smallest, "label", "copies").select(
