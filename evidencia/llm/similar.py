@@ -55,7 +55,8 @@ HOT_FROM = 64  # keys estimated at least this frequent are spread, not listed in
 COMPARISON = 100.0  # what a comparison costs in keys
 GROUPS = 256  # counters of a sketch
 BROADCAST_IDS = 200_000  # documents fetched by broadcast, about 40 bytes each; more are fetched by a shuffle join
-BUCKET_KEYS = 1_000_000  # list entries per bucket
+BUCKET_KEYS = 500_000  # list entries per bucket
+SLICE_ROWS = 2_000  # documents whose sets are held at a time
 SALT_PARTNERS = 500  # comparisons of one side per task share
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -77,6 +78,13 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return shared > 0 and 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE_ROWS."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def sketch(found: np.ndarray) -> bytes:
     """How many shingles fall into each of GROUPS groups, at most 255. The sum of differences of two sketches is
     at most the number of shingles that only one of the sets has."""
@@ -102,7 +110,7 @@ def profiled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, nodes, sketches, seen, every = [], [], [], set(), []
             for found in shingler.sets(batch.column(2).cast(pa.binary()).to_pylist()):
                 sizes.append(len(found))
@@ -156,7 +164,7 @@ def posted(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], small: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         known, counts = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, sizes, keys, owners, often, rests = [], [], [], [], [], []
             seen = set()
             for found in shingler.sets(batch.column(0).cast(pa.binary()).to_pylist()):
@@ -197,13 +205,13 @@ def met(batch: pa.Table) -> pa.Table:
     """The entries {key, node, n, rest} of one bucket whose key several sets have and that may link by it; of keys with
     the same entries one is enough. Of spread keys all entries."""
     keys, nodes, sizes, rests = [], [], [], []
-    for row in batch.select(["keys", "owners", "rests", "nodes", "sizes"]).to_pylist():
-        owner = np.frombuffer(row["owners"], np.uint32)
-        keys.append(np.frombuffer(row["keys"], np.uint64))
-        rests.append(np.frombuffer(row["rests"], np.uint32).astype(np.int64))
-        nodes.append(np.frombuffer(row["nodes"], np.int64)[owner])
-        sizes.append(np.frombuffer(row["sizes"], np.uint32)[owner].astype(np.int64))
+    columns = [batch.column(c) for c in ("keys", "owners", "rests", "nodes", "sizes")]
+    for k in range(batch.num_rows):
+        key, owner, rest, node, size = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(
+            columns, (np.uint64, np.uint32, np.uint32, np.int64, np.uint32)))
+        keys.append(key), nodes.append(node[owner]), sizes.append(size[owner]), rests.append(rest)
     key, node, size, rest = (np.concatenate(x) for x in (keys, nodes, sizes, rests))
+    size, rest = size.astype(np.int64), rest.astype(np.int64)
     order = np.lexsort((node, key))
     key, node, size, rest = key[order], node[order], size[order], rest[order]
     stays = np.ones(len(key), bool)
@@ -253,7 +261,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs {a, b} of nodes that link. texts {node, text} has one row per node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, centre, mine = Shingler(), None, None
-        for batch in batches:
+        for batch in sliced(batches):
             a, b = [], []
             sets = shingler.sets(batch.column("text").cast(pa.binary()).to_pylist())
             for side, node, found in zip(batch.column("b").to_pylist(), batch.column("a").to_pylist(), sets):
