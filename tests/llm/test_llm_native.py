@@ -111,6 +111,25 @@ def test_spaced_seeds(spark, awkward, empty):
     assert decontaminate.cleaned(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_excerpts_insertions_and_spaced_replacements(spark):
+    words = lambda name, n: [f"{name}{k}" for k in range(n)]
+    a, b, ten = words("a", 59), words("b", 500), words("t", 10)
+    bench = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(ten))], "item_id int, text string")
+    noise = words("n", 300)
+    hit = {"excerpt of 23": (a[20:43], 1, 23), "excerpt of 199": (b[100:299], 2, 199), "words put in": (a[:20] + ["x"] + a[20:40] + ["y", "z"] + a[40:], 1, 59),
+           "words taken out": (a[:19] + a[20:39] + a[40:], 1, 57), "parts in another order": (a[30:42] + noise[:5] + a[10:22], 1, 24),
+           **{f"word {k} of ten": (ten[:k] + ["x"] + ten[k + 1:], 3, 9) for k in range(10)},
+           **{f"every {p}th from {r}": ([f"x{k}" if k % p == r else w for k, w in enumerate(a)], 1, None) for p in range(2, 10) for r in range(p)}}
+    clean = {"nothing": noise, "twelve words": a[:12], "six of ten": ten[:6], "far apart": a[:12] + noise + a[30:42], "single words": [w for x in a for w in (x, "y")]}
+    rows = [(name, " ".join(noise + text + noise)) for name, (text, *_) in hit.items()] + [(name, " ".join(text)) for name, text in clean.items()]
+    rows += [("two texts", " ".join(a[:12])), ("two texts", " ".join(a[30:42]))]
+    got = {r.doc_id: (r.item_id, r.matched) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id string, text string"), bench, ["doc_id"]).collect()}
+    assert set(got) == set(hit)
+    for name, (text, item, matched) in hit.items():
+        assert got[name][0] == item and (matched is None or got[name][1] == matched) and got[name][1] <= len(text), name
+        assert matched or got[name][1] >= 0.9 * sum(w in a for w in text) - 5, name
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, small, documents, monkeypatch):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     whole = decontaminate.leaks(documents, bench, ["doc_id"]).collect()
