@@ -59,6 +59,30 @@ def test_licence_notices(spark, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+def test_true_licence_texts(spark):
+    gnu = "{0} is free software; you can redistribute it and/or modify it under the terms of the {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+    texts = {
+        "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify',
+        "apache-2": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy',
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "gpl-2": gnu.format("This program", "GNU General Public License", "2"), "gpl-3": gnu.format("Foo", "GNU General Public License", "3"),
+        "lgpl": gnu.format("This library", "GNU Lesser General Public\n * License", "2.1"), "agpl-3": gnu.format("This program", "GNU Affero General Public License", "3"),
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this",
+        "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "unlicense": "This is free and unencumbered software released into the public domain.",
+        "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc0": "To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to Foo.",
+    }
+    rows = [(label, f"Copyright (c) 2020 Jane Doe\n\n{text}") for label, text in texts.items()]
+    rows += [("far", texts["mit"].replace("(the", "w " * 60 + "(the")), ("2 or 3", texts["gpl-2"].replace("any later version", "version 3 of the License"))]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {k: r.labels for k, r in got.items()} == {**{k: k for k in texts}, "far": "", "2 or 3": "gpl-2,gpl-3"}
+    assert [(f.label, f.start, f.base) for f in got["mit"].finds] == [("mit", 5, False)] and got["mit"].finds[0].cover == got["mit"].score == 1
+    assert got["far"].finds == []
+
+
 # Packing
 
 def test_packing_keeps_every_id(spark, awkward, documents):
