@@ -123,6 +123,17 @@ def test_periods(spark):
         assert ((r["year"], r["period"], r["display"]) if r["year"] is not None else None) == want, r
 
 
+def test_periods_behind_signs(spark):
+    cases = {
+        "late-Q3 2025": (2025, "Q3"), "mid-H1 2026": (2026, "H1"), "Q1/Q2 2025": (2025, "Q2"), "2025/Q3 2026": (2026, "Q3"), "Q1–Q2’25": (2025, "Q2"),
+        "mid/second half of 2026": (2026, "H2"), "(Q4 2025)": (2025, "Q4"), "end...Q2 2027-2028": (2027, "Q2"), "Q3-2025": None, "Q3, 2025": None,
+        "xQ3 2025": None, "a_Q3 2025": None, "second-half of 2026": None,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "raw string")
+    for r in dates.with_period(df, "raw").collect():
+        assert ((r["year"], r["period"]) if r["year"] is not None else None) == cases[r["raw"]], r
+
+
 @pytest.mark.parametrize("text,want", [("Aug 24, 2026", "2026-08-24"), ("8/4/2026", "2026-08-04"), (" 2026-08-24 ", "2026-08-24"), ("24 Aug", None), ("", None), ("02/30/2026", None)])
 def test_dates(spark, text, want):
     got = spark.createDataFrame([(text,)], "t string").select(dates.parse_date(F.col("t")).alias("d")).first()["d"]
