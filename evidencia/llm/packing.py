@@ -6,7 +6,9 @@ numbers however many documents there are; with these the driver fills window aft
 rest left opens it, and a subset-sum dynamic program over the remaining multiset, kept as a bitset of reachable
 lengths, gives the rests that come closest to the capacity, with their counts by walking the bitsets back.
 A filling is repeated as often as its counts allow, so the plan stays small. Tasks number the rests of each length
-and read their sequence and offset from the plan.
+and read their sequence and offset from the plan. Pieces keep their ids, and the number of the row that they come
+from, as ids of documents may be null or repeat; only lengths and numbers are ranked, then ids meet their places.
+`sequences` puts the pieces of a sequence together and pads them.
 
 Null and empty texts are one end mark. Null ids and repeated rows are packed like any other; an empty table
 gives an empty result. Other columns are not looked at.
@@ -14,7 +16,6 @@ gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ RANK_BITS = 44  # ranks below 2^44; lengths are above them in the plan's keys
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
-    """docs {doc_id, text} -> {doc_id, start, length, ids_crc32, doc_tokens}: windows and rests of every document."""
+    """docs {doc_id, text} -> {doc_id, row, start, length, doc_tokens, ids}: windows and rests of every document. `row` is
+    a number of the row, `ids` are little-endian 32-bit numbers."""
     spark = docs.sparkSession
     ship_package(spark)
     blob, version = file_digest(tokenizer_path)
@@ -43,21 +45,22 @@ def tokenized(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(WordIds, version, model.value)
         for batch in batches:
-            take, start, length, crc, total = [], [], [], [], []
-            for k, ids in enumerate(encoder.ids(batch.column(1).to_pylist())):
+            take, start, length, total, pieces = [], [], [], [], []
+            for k, ids in enumerate(encoder.ids(batch.column(2).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     piece = ids[at * 4:(at + window) * 4]
                     take.append(k), start.append(at), length.append(len(piece) // 4)
-                    crc.append(zlib.crc32(piece)), total.append(n)
+                    total.append(n), pieces.append(piece)
+            at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(take, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crc, total)]],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int64()) for c in (start, length, total)],
+                 pa.array(pieces, pa.binary())], ["doc_id", "row", "start", "length", "doc_tokens", "ids"])
 
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, "
-                                 "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+                                 "row bigint, start bigint, length bigint, doc_tokens bigint, ids binary")
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -103,7 +106,7 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, dict[i
 
 
 def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
-    """{doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset}, one row per piece."""
+    """{doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, row, ids}, one row per piece."""
     spark = docs.sparkSession
     pieces = written(tokenized(docs, tokenizer_path, window), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `window` rows
@@ -129,16 +132,29 @@ def packed(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFr
             at = np.searchsorted(begins, key, side="right") - 1
             inside = key - begins[at]
             first, per, offset = facts[at].T
-            columns = [*batch.columns[:5], pa.array(first + inside // per), pa.array(offset + inside % per * length)]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(first + inside // per), pa.array(offset + inside % per * length)],
+                ["row", "start", "sequence_id", "offset"])
+
+    numbered = ranked(pieces.select("row", "start", "length"), "length", [F.asc("row"), F.asc("start")], F.struct("row", "start"))
+    placed = numbered.select("row", "start", "length", "rank").mapInArrow(
+        place, "row bigint, start bigint, sequence_id bigint, offset bigint")
+    return pieces.join(placed, ["row", "start"]).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "row", "ids")
+
 
-    numbered = ranked(pieces, "length", [F.asc("doc_id"), F.asc("start"), F.asc("ids_crc32"), F.asc("doc_tokens")],
-                      F.struct("doc_id", "start", "ids_crc32"))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-    kind = pieces.schema["doc_id"].dataType.simpleString()
-    return numbered.select(*columns, "rank").mapInArrow(
-        place, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+def sequences(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Rows of `packed` -> {sequence_id, length, ids}: the training sequences, `window` ids each of which those from
+    `length` on are `END_ID`. A sequence has at most `window` pieces."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = pieces.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_join(
+        F.transform(parts, lambda x: F.hex(x["ids"])), "").alias("_digits"))
+    pad = END_ID.to_bytes(4, "little").hex()
+    padded = F.concat("_digits", F.repeat(F.lit(pad), F.lit(window) - F.col("length").cast("int")))
+    return joined.select("sequence_id", "length", F.unhex(padded).alias("ids"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    """Where each piece went, with a digest of its ids."""
+    pieces = packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.drop("row", "ids")

@@ -110,6 +110,26 @@ def test_packing_keeps_every_id(spark, awkward, documents):
     assert len(windows) <= tokens / 2048 * 1.05 + 1
 
 
+def test_packed_sequences_hold_the_ids(spark):
+    texts = ["one two three", None, "", *STRANGE, "another text " * 1500, "one two three"]
+    docs = spark.createDataFrame([(None if k % 3 else 7, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    pieces = packing.packed(docs, WORD_FILE).localCheckpoint()
+    got, encode = pieces.collect(), Tokenizer.from_file(WORD_FILE)
+    by_row = collections.defaultdict(list)
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4")
+        assert len(ids) == r.length and zlib.crc32(r.ids) == r.ids_crc32
+        by_row[r.row].append((r.start, tuple(ids.tolist())))
+    rebuilt = collections.Counter(sum((ids for _, ids in sorted(parts)), ()) for parts in by_row.values())
+    assert rebuilt == collections.Counter((*encode.encode(t or "", add_special_tokens=False).ids, 1) for t in texts)
+    whole = {r.sequence_id: r for r in packing.sequences(pieces).collect()}
+    assert set(whole) == {r.sequence_id for r in got} and all(len(r.ids) == 4 * 2048 for r in whole.values())
+    for r in got:
+        assert whole[r.sequence_id].ids[4 * r.offset:4 * (r.offset + r.length)] == r.ids
+    for r in whole.values():
+        assert r.length == sum(x.length for x in got if x.sequence_id == r.sequence_id) and set(np.frombuffer(r.ids, "<u4")[r.length:].tolist()) <= {1}
+
+
 def test_packing_of_nothing(empty):
     assert packing.packed(empty, WORD_FILE).count() == 0
 
