@@ -125,11 +125,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    The judgement works on a copy of the text beside the row, so no column name of the input can clash.
+    The judgement works on a copy of the text beside the row, so no column name of the input can clash. The
+    verdict passes a generator before the filter: a filter on it would be pushed down through the projections
+    with the whole expression tree pasted into it, and every array computed again at each mention.
     """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    kept = judged(packed.select("doc", F.col("doc.text").alias("text")), rules).filter("kept")
-    return kept.select("doc.*")
+    verdicts = judged(packed.select("doc", F.col("doc.text").alias("text")), rules)
+    return verdicts.select("doc", F.explode(F.array("kept")).alias("_stays")).filter("_stays").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
