@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 REMEMBERED = 700_000
 CHUNK_CHARS = 2_000_000
+JOINED = 1_000  # words encoded in one call
 
 _LOADED: dict[str, object] = {}
 
@@ -60,7 +61,12 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        import numpy as np
+
         self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
         probe = ["Straße", "straße", "straße", ".,", "Straße.,", "École n", "école", "n"]
@@ -70,14 +76,22 @@ class WordIds:
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, words: set[str]) -> None:
-        import array
+    def _learn(self, words: set[str], letters: bool) -> None:
+        """Remember the ids of words. Those of `letters` only are encoded in one call for many: each ends in its only
+        token that ends a word."""
+        import numpy as np
 
         new = [w for w in words if w not in self.words]
-        for at in range(0, len(new), 20_000):
-            some = new[at:at + 20_000]
+        for at in range(0, len(new), JOINED):
+            some = new[at:at + JOINED]
+            if letters:
+                ids = np.array(self._encode([" ".join(some)])[0].ids, np.uint32)
+                stops, flat = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), ids.tobytes()
+                if len(stops) == len(some):
+                    self.words.update(zip(some, map(flat.__getitem__, map(slice, [0, *stops[:-1]], stops))))
+                    continue
             for word, found in zip(some, self._encode(some)):
-                self.words[word] = array.array("I", found.ids).tobytes()
+                self.words[word] = np.array(found.ids, np.uint32).tobytes()
 
     def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
@@ -93,9 +107,11 @@ class WordIds:
             if len(self.parts) > REMEMBERED // 3:
                 self.parts = {}
             new = set().union(*cut).difference(self.parts)
-            split = {part: (m[1].lower(), m[2]) if (m := self.SIMPLE.match(part)) else (part, "") for part in new}
-            self._learn({w for pair in split.values() for w in pair})
-            for part, (word, signs) in split.items():
+            simple = {part: (m[1].lower(), m[2]) for part in new if (m := self.SIMPLE.match(part))}
+            self._learn({word for word, _ in simple.values()}, letters=True)
+            self._learn({signs for _, signs in simple.values()}.union(new.difference(simple)), letters=False)
+            for part in new:
+                word, signs = simple.get(part, (part, ""))
                 self.parts[part] = self.words[word] + self.words[signs]
             of = self.parts.__getitem__
             for parts in cut:
