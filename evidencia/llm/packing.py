@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencia.llm.keyed import ranked
+from evidencia.llm.parts import gathered, slices
 from evidencia.llm.tokenizing import WordIds, file_digest, loaded
 from evidencia.session import ship_package, table
 from evidencia.sources.store import written
@@ -40,23 +41,24 @@ def tokenized(docs: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
     ship_package(spark)
     blob, version = file_digest(tokenizer_path)
     model = spark.sparkContext.broadcast(blob)
-    end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(WordIds, version, model.value)
-        for batch in batches:
-            take, start, length, total, pieces = [], [], [], [], []
-            for k, ids in enumerate(encoder.ids(batch.column(2).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                for at in range(0, n, window):
-                    piece = ids[at * 4:(at + window) * 4]
-                    take.append(k), start.append(at), length.append(len(piece) // 4)
-                    total.append(n), pieces.append(piece)
+        for batch in slices(batches, 2):
+            flat, sizes, order, parts = encoder.ids(batch.column(2))
+            stops = np.concatenate([[0], np.cumsum(sizes[order])])[np.cumsum(parts)]  # where each text ends among the ids
+            ids = np.insert(gathered(flat, sizes, order), stops, END_ID)
+            total = np.diff(stops, prepend=0) + 1
+            pieces = -(-total // window)
+            take = np.repeat(np.arange(len(total)), pieces)
+            start = (np.arange(len(take)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, total[take] - start)
+            offsets = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
             at = pa.array(take, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, pa.int64()) for c in (start, length, total)],
-                 pa.array(pieces, pa.binary())], ["doc_id", "row", "start", "length", "doc_tokens", "ids"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(start), pa.array(length), pa.array(total[take]),
+                 pa.BinaryArray.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])],
+                ["doc_id", "row", "start", "length", "doc_tokens", "ids"])
 
     texts = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, "

@@ -8,11 +8,15 @@ broadcast; workers keep one tokenizer per file.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import os
-import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 REMEMBERED = 700_000
 CHUNK_CHARS = 2_000_000
 JOINED = 1_000  # words encoded in one call
@@ -52,22 +56,20 @@ class WordIds:
 
     Space and newline are white space to it, so text is cut there first. Of a part that is letters of
     Latin-1 followed by ASCII signs, letters and signs are two words of their own, and upper and lower case give
-    the same ids (checked when the file is loaded); such parts share one memory of lower-case words.
+    the same ids (checked when the file is loaded); such parts share one memory of lower-case words. Parts are named by
+    Arrow's dictionary, so that Python sees each distinct one of some texts once.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
+    LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 
     def __init__(self, blob: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        import numpy as np
-
         self.tokenizer = Tokenizer.from_str(blob.decode("utf-8"))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a word
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
-        self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
         probe = ["Straße", "straße", "straße", ".,", "Straße.,", "École n", "école", "n"]
         a, b, _, signs, both, two, left, right = (e.ids for e in self._encode(probe))
@@ -76,11 +78,9 @@ class WordIds:
     def _encode(self, texts: list[str]):
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _learn(self, words: set[str], letters: bool) -> None:
+    def _learn(self, words: list[str], letters: bool) -> None:
         """Remember the ids of words. Those of `letters` only are encoded in one call for many: each ends in its only
         token that ends a word."""
-        import numpy as np
-
         new = [w for w in words if w not in self.words]
         for at in range(0, len(new), JOINED):
             some = new[at:at + JOINED]
@@ -93,29 +93,43 @@ class WordIds:
             for word, found in zip(some, self._encode(some)):
                 self.words[word] = np.array(found.ids, np.uint32).tobytes()
 
-    def ids(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit numbers."""
-        for group in grouped(texts):
-            if not self.splits:
-                import array
-                for found in self._encode(group):
-                    yield array.array("I", found.ids).tobytes()
-                continue
-            cut = [text.replace("\n", " ").split(" ") for text in group]
-            if len(self.words) > REMEMBERED:
-                self.words = {"": b""}
-            if len(self.parts) > REMEMBERED // 3:
-                self.parts = {}
-            new = set().union(*cut).difference(self.parts)
-            simple = {part: (m[1].lower(), m[2]) for part in new if (m := self.SIMPLE.match(part))}
-            self._learn({word for word, _ in simple.values()}, letters=True)
-            self._learn({signs for _, signs in simple.values()}.union(new.difference(simple)), letters=False)
-            for part in new:
-                word, signs = simple.get(part, (part, ""))
-                self.parts[part] = self.words[word] + self.words[signs]
-            of = self.parts.__getitem__
-            for parts in cut:
-                yield b"".join(map(of, parts))
+    def _ids(self, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words, how many each has)."""
+        self._learn(words, letters)
+        found = list(map(self.words.__getitem__, words))
+        return np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """texts -> (ids of their distinct parts, how many each has, codes of all parts in order, parts of each text); null is empty."""
+        if len(self.words) > REMEMBERED:
+            self.words = {"": b""}
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.splits:
+            named = texts.dictionary_encode()
+            return (*self._ids(named.dictionary.to_pylist(), letters=False), named.indices.to_numpy(), np.ones(len(texts), np.int64))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        named = split.flatten().dictionary_encode()
+        simple = pc.match_substring_regex(named.dictionary, f"\\A[{self.LETTERS}]+[{self.SIGNS}]*\\z")
+        # Letters in lower case and signs of simple parts, other parts whole, each a code of its own.
+        kinds = [(pc.utf8_lower(pc.replace_substring_regex(pc.filter(named.dictionary, simple), f"[{self.SIGNS}]+\\z", "")), True),
+                 (pc.replace_substring_regex(pc.filter(named.dictionary, simple), f"\\A[{self.LETTERS}]+", ""), False),
+                 (pc.filter(named.dictionary, pc.invert(simple)), False)]
+        flat, sizes, codes, base = [], [], [], 0
+        for values, letters in kinds:
+            distinct = values.dictionary_encode()
+            ids, lengths = self._ids(distinct.dictionary.to_pylist(), letters)
+            flat.append(ids), sizes.append(lengths)
+            codes.append(distinct.indices.to_numpy(zero_copy_only=False).astype(np.int64) + base)
+            base += len(lengths)
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(is_simple), np.int64), np.full(len(is_simple), base, np.int64)
+        first[is_simple], second[is_simple], first[~is_simple] = codes
+        both = np.empty((len(named.indices), 2), np.int64)
+        order = named.indices.to_numpy(zero_copy_only=False)
+        both[:, 0], both[:, 1] = first[order], second[order]
+        sizes.append(np.zeros(1, np.int64))  # no signs
+        return np.concatenate(flat), np.concatenate(sizes), both.ravel(), 2 * pc.list_value_length(split).to_numpy(
+            zero_copy_only=False).astype(np.int64)
 
 
 class PieceCounts:

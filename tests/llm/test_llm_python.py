@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings, strategies as st
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from evidencia.llm import langid, licenses, packing, token_counts, tokenizing, toxicity
-from evidencia.sources.store import scratch_path
+from evidencia.llm.parts import gathered
+from evidencia.sources.store import scratch_path, written
 
 WORD_FILE, PIECE_FILE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 STRANGE = ["Straße ÉCOLE's don't <|endoftext|> a<s>b </s> x", "  two  spaces ", "tab\tand\r\nline end", "é ́x Å ΣΑΣ σας",
@@ -113,7 +115,7 @@ def test_packing_keeps_every_id(spark, awkward, documents):
 def test_packed_sequences_hold_the_ids(spark):
     texts = ["one two three", None, "", *STRANGE, "another text " * 1500, "one two three"]
     docs = spark.createDataFrame([(None if k % 3 else 7, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
-    pieces = packing.packed(docs, WORD_FILE).localCheckpoint()
+    pieces = written(packing.packed(docs, WORD_FILE), "packed")
     got, encode = pieces.collect(), Tokenizer.from_file(WORD_FILE)
     by_row = collections.defaultdict(list)
     for r in got:
@@ -182,7 +184,9 @@ def test_remembered_parts_change_nothing(texts):
         words = tokenizing.loaded(tokenizing.WordIds, "test", f.read())
     assert words.splits
     want = [np.array(e.ids, "<u4").tobytes() for e in words.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert list(words.ids(texts)) == want
+    flat, sizes, codes, counts = words.ids(pa.array(texts, pa.string()))
+    ids, stops = gathered(flat, sizes, codes).astype("<u4"), np.concatenate([[0], np.cumsum(sizes[codes])])[np.cumsum(counts)]
+    assert [ids[b:e].tobytes() for b, e in zip([0, *stops[:-1]], stops)] == want
     with open(PIECE_FILE, "rb") as f:
         pieces = tokenizing.loaded(tokenizing.PieceCounts, "test", f.read())
     assert pieces.splits
