@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from evidencia.llm import (
-    decontaminate, langid, licenses, packing, quality, sharding, similar, token_counts, toxicity, urls,
+    alignment, decontaminate, langid, licenses, packing, periodic, quality, sharding, similar, token_counts, token_files, toxicity,
+    urls,
 )
 
 QUERIES = {
@@ -17,6 +18,9 @@ QUERIES = {
     "op8_token_counts": token_counts.query,
     "op9_toxicity": toxicity.query,
     "op10_jaccard_join": similar.query,
+    "op11_periodic_runs": periodic.query,
+    "op12_token_alignment": alignment.query,
+    "op13_token_files": token_files.query,
 }
 
 ORACLES = {
