@@ -1,12 +1,9 @@
-"""Landing, verification and versioned tables on the cluster's file system.
-
-A table is a folder of versions; the newest version with a commit marker is the current one, so a
-job that loses executors or is run again never leaves a half-written table behind.
-"""
+"""Landing, verification and keyed tables on the cluster's file system."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +27,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing will read any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def land(df: DataFrame, path: str, date: str, mode: str = "append") -> None:
     """Write raw rows under `<date column>=yyyy-mm-dd/`; the rebalance hint splits a hot day."""
     df.hint("rebalance", date).write.mode(mode).partitionBy(date).parquet(path)
@@ -61,42 +64,62 @@ def archive(df: DataFrame, path: str, sized: list[str]) -> DataFrame:
     return report
 
 
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+class KeyedTable:
+    """Parquet rows partitioned by a hash of their key, so that a merge reads and rewrites the touched partitions only.
+
+    The merged rows are first written to the shared folder and then replace their partitions by dynamic overwrite; a merge that
+    is repeated, after a crash at any point, gives the same table, as the key and version alone decide.
+    """
+
+    BUCKET = "bucket"
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 64):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.BUCKET, F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+
+    def _put(self, numbered: DataFrame) -> None:
+        numbered.repartition(self.BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            self.BUCKET).parquet(self.path)
 
-    def _versions(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(hadoop)]
-        done = [n for n in names if n.startswith("v") and fs.exists(
-            self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done)
+    def _stored(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
     def exists(self) -> bool:
-        return bool(self._versions())
+        """Is there a partition? A table that never got a row has none."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.BUCKET}=*")
+        found = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(folder)
+        return bool(found)
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self._versions()[-1]:06d}")
-
-    def replace(self, df: DataFrame) -> None:
-        done = self._versions()
-        df.write.mode("overwrite").parquet(f"{self.path}/v{(done[-1] if done else 0) + 1:06d}")
-
-    def upsert(self, delta: DataFrame, key: list[str], version: str) -> None:
-        self.replace(upsert(self.read(), delta, key, version) if self.exists() else upsert(
-            delta.limit(0), delta, key, version))
-
-    def rebuild(self, rebuilt: DataFrame, name: str) -> DataFrame:
-        """Write `rebuilt` beside the current version; refuse the cut-over if rows were lost."""
-        before = self.read().count()
-        target = scratch_path(self.spark, name)
-        rebuilt.write.parquet(target)
-        fresh = self.spark.read.parquet(target)
-        after = fresh.count()
-        if after < before:
-            raise CutoverRefused(f"{name}: {after} rows rebuilt from {before}")
-        fresh.createOrReplaceTempView(name)
-        return fresh
+        return self._stored().drop(self.BUCKET)
+
+    def create(self, rows: DataFrame) -> None:
+        """The first rows of the table, each key once."""
+        self._put(self._numbered(rows))
+
+    def merge(self, delta: DataFrame, rule: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        """Replace the partitions that `delta` touches by `rule(their rows, delta)`. The touched partitions are at most `buckets`
+        numbers."""
+        new = written(delta, "delta")
+        touched = [r[0] for r in self._numbered(new).select(self.BUCKET).distinct().collect()]
+        if touched:
+            old = self._stored().filter(F.col(self.BUCKET).isin(touched)).drop(self.BUCKET) if self.exists() else new.limit(0)
+            self._put(written(self._numbered(rule(old, new)), "merged"))
+
+    def upsert(self, delta: DataFrame, version: str) -> None:
+        """The highest version of a key wins and, at equal versions, the delta."""
+        self.merge(delta, lambda old, new: upsert(old, new, self.key, version))
+
+
+def rebuilt(before: DataFrame, after: DataFrame, path: str, name: str) -> DataFrame:
+    """Write the rebuilt rows to `path` and show them as view `name`; refuse the cut-over if rows were lost."""
+    n = before.count()
+    after.write.mode("errorifexists").parquet(path)
+    fresh = before.sparkSession.read.parquet(path)
+    m = fresh.count()
+    if m < n:
+        raise CutoverRefused(f"{name}: {m} rows rebuilt from {n}")
+    fresh.createOrReplaceTempView(name)
+    return fresh
