@@ -134,7 +134,7 @@ class Linked:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
         codes, counts, names = cut(spaced, aligner.apart, aligner.second.glued)
-        self.parts = aligner.learn(names)
+        self.parts = aligner.learn(names.to_pylist())
         fails = ~np.array([p.spelled for p in self.parts], bool)
         failed = stretched(fails[codes].astype(np.int64), counts) > 0
         self.codes = codes[~np.repeat(failed, counts)].astype(np.int64)

@@ -22,7 +22,7 @@ OTHER_WHITE = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{
 WHITE = r"\t-\r " + OTHER_WHITE
 SPACES = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000").union(map(chr, range(0x2000, 0x200B)))
 SLICE_CHARS = 8_000_000  # texts taken at a time
-REMEMBERED = 500_000  # parts kept in memory
+REMEMBERED = 400_000  # parts kept in memory, and as many older ones
 RUN = 1_000  # parts encoded in one call
 PROBE = "Ab cé,\nd. 12 x\ty  z \n\n é \u3000q <s> \r\n!"
 
@@ -39,7 +39,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, chars: int = SLICE_CH
             at = stop
 
 
-def cut(texts: pa.Array, apart: bool = True, glued: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def cut(texts: pa.Array, apart: bool = True, glued: frozenset = frozenset()) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """texts -> (codes of all parts in order, number of parts of each text, the distinct parts); null is empty. White space
     that begins with a sign of `glued` starts no part; without `apart` each text is one part."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -59,7 +59,7 @@ def cut(texts: pa.Array, apart: bool = True, glued: frozenset = frozenset()) ->
     split = pc.split_pattern(marked, mark)
     named = split.flatten().dictionary_encode()
     counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    return named.indices.to_numpy(zero_copy_only=False), counts, named.dictionary.to_pylist()
+    return named.indices.to_numpy(zero_copy_only=False), counts, named.dictionary
 
 
 def gathered(flat: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -83,14 +83,18 @@ class ByteLevel:
         special = {k: token.content for k, token in self.tokenizer.get_added_tokens_decoder().items()}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes of each token
+        self.width = np.dtype("<u2" if len(self.lengths) <= 1 << 16 else "<u4")  # wide enough for all ids
         for token, k in vocabulary.items():
             self.lengths[k] = len(special[k].encode()) if k in special else len(token)
         known = set(vocabulary)
         self.apart = all(letter in known for letter in Alphabet.alphabet()) and self._separate()
 
     def _separate(self) -> bool:
+        """Are the ids of a probe those of its parts, and those of a word with signs behind it those of both?"""
         codes, _, parts = cut(pa.array([PROBE]))
-        return self.encode([PROBE])[0].tolist() == [k for c in codes.tolist() for k in self.encode([parts[c]])[0].tolist()]
+        pieces = [parts[c].as_py() for c in codes.tolist()]
+        both = [self.encode([x])[0].tolist() for x in (" Wörd", '.,"!', ' Wörd.,"!')]
+        return self.encode([PROBE])[0].tolist() == [k for p in pieces for k in self.encode([p])[0].tolist()] and both[0] + both[1] == both[2]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -124,7 +128,7 @@ class Pieces:
 
     def _separate(self) -> bool:
         codes, _, parts = cut(pa.array([" " + PROBE]), True, self.glued)
-        return self.processor.encode(PROBE) == [k for c in codes.tolist() for k in self.after(parts[c]).tolist()]
+        return self.processor.encode(PROBE) == [k for c in codes.tolist() for k in self.after(parts[c].as_py()).tolist()]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """texts with the space in front."""
@@ -167,17 +171,20 @@ def runs(parts: list[str], fresh: Iterable[int]) -> Iterator[tuple[list[int], bo
 
 
 class PartIds:
-    """Ids of a byte-level file by part, as bytes of 32-bit numbers."""
+    """Ids of a byte-level file by part, as bytes of 32-bit numbers. Parts that are letters of Latin-1 with ASCII signs behind them
+    are two words to the tokenizer and known by both, so `word`, `word,` and `word.` share what is known of the word."""
+
+    LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 
     def __init__(self, blob: bytes, plain: bool = False):
         self.encoder = ByteLevel(blob, plain)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known before; what is met again moves on
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """The ids of each part."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
+        known, older = self.known, self.older
+        known.update((p, older[p]) for p in parts if p not in known and p in older)
         single = []
         for places, together in runs(parts, [k for k, p in enumerate(parts) if p not in known]):
             some = [parts[k] for k in places]
@@ -190,11 +197,21 @@ class PartIds:
         for at in range(0, len(single), RUN):
             some = single[at:at + RUN]
             known.update(zip(some, (ids.tobytes() for ids in self.encoder.encode(some))))
-        return [known[p] for p in parts]
+        return list(map(known.__getitem__, parts))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """texts -> (ids of the distinct parts, how many each has, codes of parts in order, parts per text)."""
+        """texts -> (ids of the distinct words, how many each has, codes of words in order, words per text)."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
         codes, counts, parts = cut(texts, self.encoder.apart)
-        found = self.learn(parts)
+        signed = pc.match_substring_regex(parts, f"\\A ?[{self.LETTERS}]+[{self.SIGNS}]+\\z") if self.encoder.apart else pa.array(
+            np.zeros(len(parts), bool))
+        word = pc.if_else(signed, pc.replace_substring_regex(parts, f"[{self.SIGNS}]+\\z", ""), parts).dictionary_encode()
+        signs = pc.replace_substring_regex(pc.filter(parts, signed), f"\\A ?[{self.LETTERS}]+", "").dictionary_encode()
+        found = self.learn(word.dictionary.to_pylist()) + self.learn(signs.dictionary.to_pylist()) + [b""]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        return np.frombuffer(b"".join(found), np.uint32), lengths, codes, counts
+        second = np.full(len(parts), len(found) - 1, np.int64)  # no signs
+        second[signed.to_numpy(zero_copy_only=False)] = signs.indices.to_numpy(zero_copy_only=False) + len(word.dictionary)
+        both = np.empty((len(codes), 2), np.int64)
+        both[:, 0], both[:, 1] = word.indices.to_numpy(zero_copy_only=False)[codes], second[codes]
+        return np.frombuffer(b"".join(found), np.uint32), lengths, both.ravel(), 2 * counts

@@ -1,14 +1,14 @@
 """Token ids as files of canonical Huffman codes.
 
-A first pass counts the ids of the whole corpus; package merging turns the counts into the best codes of at most
-`LIMIT_BITS` bits, whose lengths alone make the codebook, as codes are canonical. A second pass deals documents over
-tasks by ranges of doc_id, encodes them again and writes blocks of whole documents with at least `BLOCK_IDS` ids, the last of a
-file less. Keeping the ids of the first pass would cost more disk than the files themselves.
+Documents are dealt over tasks by ranges of doc_id and encoded once; their ids wait in a scratch table, with the counts of each
+task. Package merging turns the counts of the whole corpus into the best codes of at most `LIMIT_BITS` bits, whose lengths alone
+make the codebook, as codes are canonical. A second pass writes the ids as blocks of whole documents with at least `BLOCK_IDS`
+ids, the last of a stretch less.
 
 Files lie below one folder, as Parquet, so that a lost task is repeated and leaves nothing behind:
 
 * `codebook`: {id, bits}, the length of each id's code.
-* `blocks`: {part, block, first, n_ids, docs, lengths, checkpoints, payload}. `part` counts the files in ascending doc_id, `first`
+* `blocks/part=<n>`: {first, n_ids, docs, lengths, checkpoints, payload}. Parts are ranges of ascending doc_id, `first`
   is how many ids stand before the block in its part, `docs` and `lengths` name its documents in order, `checkpoints` are the bit
   offsets of every `STRIDE`th id as little-endian 32-bit numbers, `payload` the codes, first bit highest.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from evidencia.llm.parts import PartIds, gathered, slices
 from evidencia.llm.tokenizing import file_digest, loaded
 from evidencia.session import ship_package, table
-from evidencia.sources.store import scratch_path
+from evidencia.sources.store import discard, scratch_path
 
 END_ID = 2
 LIMIT_BITS = 16  # more if there are more ids than that can tell apart
@@ -120,85 +120,135 @@ def unpack(blocks: list[tuple[int, bytes, bytes]], ids: np.ndarray, bits: np.nda
     return out.T[np.arange(STRIDE) < left[:, None]]
 
 
-def counted(docs: DataFrame, blob: bytes, version: str, end_id: int = END_ID) -> DataFrame:
-    """{id, n}: how often each id occurs in all texts and end marks."""
-    ship_package(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(blob)
+def encoded(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """docs {doc_id, text} in ascending order, dealt in ranges -> {part, start, doc_id, n, ids} per document, `start` counted in its part,
+    and one row {part, counts} per part: how often it has each id, as pairs of 64-bit numbers."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    blob, version = file_digest(tokenizer_path)
+    model = spark.sparkContext.broadcast(blob)
+    id_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, total = loaded(PartIds, version, model.value), np.zeros(end_id + 1, np.int64)
-        for batch in slices(batches, 0):
-            flat, lengths, codes, _ = encoder.ids(batch.column(0))
-            times = np.bincount(codes, minlength=len(lengths))
-            found = np.bincount(flat, np.repeat(times, lengths), max(len(total), int(flat.max(initial=0)) + 1)).astype(np.int64)
+        encoder, part, before = loaded(PartIds, version, model.value), TaskContext.get().partitionId(), 0
+        total, kind = np.zeros(end_id + 1, np.int64), None
+        for batch in slices(batches, 1):
+            flat, sizes, order, words = encoder.ids(batch.column(1))
+            stops = np.concatenate([[0], np.cumsum(sizes[order])])[np.cumsum(words)]  # where each text ends among the ids
+            ids = np.insert(gathered(flat, sizes, order), stops, end_id)
+            own = np.diff(stops, prepend=0) + 1
+            found = np.bincount(ids, minlength=len(total))
             found[:len(total)] += total
-            found[end_id] += batch.num_rows
-            total = found
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+            total, kind = found, batch.column(0).type
+            n, width = batch.num_rows, encoder.encoder.width
+            offsets = np.concatenate([[0], np.cumsum(own * width.itemsize)]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part, np.int64)), pa.array(np.cumsum(own) - own + before), batch.column(0), pa.array(own),
+                 pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(width))]).cast(pa.binary()),
+                 pa.nulls(n, pa.binary())], ["part", "start", "doc_id", "n", "ids", "counts"])
+            before += int(own.sum())
+        if kind is not None:
+            some = np.flatnonzero(total)
+            pairs = np.stack([some, total[some]], 1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, kind), pa.nulls(1, pa.int64()),
+                                              pa.nulls(1, pa.binary()), pa.array([pairs], pa.binary())],
+                                             ["part", "start", "doc_id", "n", "ids", "counts"])
 
-    return docs.select("text").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select("doc_id", "text", mark.alias("_mark"), F.monotonically_increasing_id().alias("_row"))
+    ordered = keyed.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("_mark"), F.asc("_row")).sortWithinPartitions(
+        F.asc_nulls_first("doc_id"), "_mark", "_row")
+    return ordered.select("doc_id", "text").mapInArrow(
+        run, f"part bigint, start bigint, doc_id {id_type.simpleString()}, n bigint, ids binary, counts binary")
+
+
+def global_counts(table: DataFrame) -> np.ndarray:
+    """How often each id occurs, from the rows of `encoded`; at most one row per id of the vocabulary comes to the driver."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+            ids, place = np.unique(pairs[:, 0], return_inverse=True)
+            total = np.zeros(len(ids), np.int64)
+            np.add.at(total, place, pairs[:, 1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total)], ["id", "n"])
+
+    rows = table.filter("counts is not null").select("counts").mapInArrow(run, "id bigint, n bigint")
+    counts = rows.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
+    dense[counts["id"]] = counts["n"]
+    return dense
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID) -> None:
     """The ids of docs {doc_id, text, ...}, each document with `end_id` behind it, as files below `path`."""
     spark = docs.sparkSession
-    blob, version = file_digest(tokenizer_path)
-    counts = counted(docs, blob, version, end_id).toPandas()  # at most one row per id of the vocabulary
-    dense = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 0, np.int64)
-    dense[counts["id"]] = counts["n"]
-    bits = code_lengths(dense)
+    scratch = scratch_path(spark, "ids")
+    encoded(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(scratch)
+    # Texts were shuffled once and are not needed any more: let Spark's cleaner drop that shuffle before the files are written.
+    spark._jvm.System.gc()
+    table = spark.read.parquet(scratch)
+    bits = code_lengths(global_counts(table))
     some = np.flatnonzero(bits)
     spark.createDataFrame(list(zip(some.tolist(), bits[some].tolist())), "id bigint, bits bigint").coalesce(1).write.parquet(f"{path}/codebook")
-    shared = spark.sparkContext.broadcast((blob, bits, canonical(bits)[0]))
+    shared = spark.sparkContext.broadcast((bits, canonical(bits)[0]))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    ship_package(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blob, bits, codes = shared.value
-        encoder, part = loaded(PartIds, version, blob), TaskContext.get().partitionId()
-        names, lengths, kept, block, first, n = [], [], [], 0, 0, 0
+        bits, codes = shared.value
+        names, lengths, kept, part, first, n = [], [], [], None, 0, 0
 
         def full() -> pa.RecordBatch:
             marks, payload = pack(np.concatenate(kept), bits, codes)
             docs = pa.concat_arrays(names)
-            values = [[part], [block], [first], [n], pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
-                      pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), [marks], [payload]]
-            return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in values],
-                                              ["part", "block", "first", "n_ids", "docs", "lengths", "checkpoints", "payload"])
-
-        for batch in slices(batches, 1):
-            flat, sizes, order, parts = encoder.ids(batch.column(1))
-            ids, ends = gathered(flat, sizes, order), np.cumsum(parts)
-            sums = np.concatenate([[0], np.cumsum(sizes[order])])
-            stops = sums[ends]  # where each text ends among the ids
-            ids, stops = np.insert(ids, stops, end_id), stops + np.arange(1, len(stops) + 1)
-            own, at = np.diff(stops, prepend=0), 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int64()), pa.array([first], pa.int64()), pa.array([n], pa.int64()),
+                 pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs),
+                 pa.array([np.concatenate(lengths)], pa.list_(pa.int64())), pa.array([marks]), pa.array([payload])],
+                ["part", "first", "n_ids", "docs", "lengths", "checkpoints", "payload"])
+
+        for batch in batches:
+            parts, starts, own = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            # Documents of a block follow each other in one part; a table that is read in pieces breaks blocks, not documents.
+            breaks = np.concatenate([[True], (parts[1:] != parts[:-1]) | (starts[1:] != starts[:-1] + own[:-1])])
+            at = 0
             while at < len(own):
-                begin = int(stops[at - 1]) if at else 0
-                stop = min(len(own), int(np.searchsorted(stops, begin + BLOCK_IDS - n)) + 1)
-                names.append(batch.column(0).slice(at, stop - at)), lengths.append(own[at:stop])
-                kept.append(ids[begin:int(stops[stop - 1])])
+                if n and (breaks[at] if at else (parts[0] != part or starts[0] != first + n)):
+                    yield full()
+                    names, lengths, kept, n = [], [], [], 0
+                if not n:
+                    part, first = int(parts[at]), int(starts[at])
+                # Documents up to the next break, as many as fill the block.
+                end = at + 1 + int(np.argmax(np.append(breaks[at + 1:], True)))
+                stop = min(end, at + 1 + int(np.searchsorted(np.cumsum(own[at:end]), BLOCK_IDS - n)))
+                names.append(batch.column(2).slice(at, stop - at)), lengths.append(own[at:stop])
+                raw = b"".join(batch.column(4).slice(at, stop - at).to_pylist())
+                kept.append(np.frombuffer(raw, f"<u{len(raw) // int(own[at:stop].sum())}"))
                 n, at = n + len(kept[-1]), stop
                 if n >= BLOCK_IDS:
                     yield full()
-                    block, first, n = block + 1, first + n, 0
-                    names, lengths, kept = [], [], []
+                    names, lengths, kept, n = [], [], [], 0
         if n:
             yield full()
 
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    keyed = docs.select("doc_id", "text", mark.alias("_mark"), F.monotonically_increasing_id().alias("_row"))
-    ordered = keyed.repartitionByRange(F.asc_nulls_first("doc_id"), F.asc("_mark"), F.asc("_row")).sortWithinPartitions(
-        F.asc_nulls_first("doc_id"), "_mark", "_row")
-    ordered.select("doc_id", "text").mapInArrow(
-        run, f"part bigint, block bigint, first bigint, n_ids bigint, docs array<{kind}>, lengths array<bigint>, checkpoints binary, "
-             "payload binary").write.parquet(f"{path}/blocks")
+    rows = table.filter("counts is null").select("part", "start", "doc_id", "n", "ids")
+    rows.mapInArrow(run, f"part bigint, first bigint, n_ids bigint, docs array<{kind}>, lengths array<bigint>, checkpoints binary, "
+                         "payload binary").write.partitionBy("part").parquet(f"{path}/blocks")
+    discard(spark, scratch)
+
+
+def stored_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The blocks of all files. A corpus without documents has none, and no file that could tell their columns."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/blocks/part=*")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(folder):
+        return spark.read.parquet(f"{path}/blocks").withColumn("part", F.col("part").cast("bigint"))
+    return spark.createDataFrame([], "first bigint, n_ids bigint, docs array<bigint>, lengths array<bigint>, checkpoints binary, payload binary, part bigint")
 
 
 def read(spark: SparkSession, path: str, digests: bool = False) -> DataFrame:
     """Files below `path` -> {doc_id, start, n_tokens, ids}: the ids before the document and its own as little-endian 32-bit
     numbers; with `digests` their CRC-32 `ids_crc32` instead, so that ids stay in the tasks."""
-    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks = stored_blocks(spark, path)
     book = spark.read.parquet(f"{path}/codebook").toPandas()
     bits = np.zeros(int(book["id"].max()) + 1 if len(book) else 1, np.uint8)
     bits[book["id"]] = book["bits"]
