@@ -20,12 +20,14 @@ order decides about speed only, never about results. Keys that stay frequent, as
 copies, are spread over tasks instead of listed in one, so no task holds an unbounded list.
 
 Documents with equal sets are one class from the start. The members of each list are compared with two of them,
-not with each other. What that links is contracted to components, and only lists that still touch several
-components are compared further: all members outside the largest component of the list with all members of
-other components. So groups of copies cost as many comparisons as they have members, and no link between
-components is missed. A sketch of each set first rules out pairs that cannot overlap enough. Comparisons of
-the others read the texts of both sides again, grouped by one side and salted if that side has many
-partners.
+not with each other: the one whose set has the key nearest to its front, which in a group of near copies is the text
+they were made from, and one more. What that links is contracted to components, and only lists that still touch several
+components are compared further. Their members outside the largest component try members of it, one each round, until a
+round links nothing; what is then still open is compared in full, all members outside the largest component of the list
+with all members of other components. So groups of copies cost a few times as many comparisons as they have members,
+and no link between components is missed. A sketch of each set first rules out pairs that cannot overlap enough, for what is
+compared in full inside the tasks that hold both sides. Comparisons of the others read the texts of both sides again, grouped
+by one side and salted if that side has many partners.
 
 A text without words, null or empty, has an empty set and links with nothing. Repeated rows are in one class. Null
 ids take part and are ignored where the smallest id is sought. An empty table gives an empty result. Sets
@@ -39,7 +41,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from evidencia.llm.components import components
 from evidencia.llm.keyed import join_by_key
@@ -58,6 +60,7 @@ BROADCAST_IDS = 200_000  # documents fetched by broadcast, about 40 bytes each;
 BUCKET_KEYS = 500_000  # list entries per bucket
 SLICE_ROWS = 2_000  # documents whose sets are held at a time
 SALT_PARTNERS = 500  # comparisons of one side per task share
+TURNS = 12  # rounds with pivots at most
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -292,42 +295,101 @@ NEAR = "7 * rest >= 6 * n"
 
 
 def candidates(lists: DataFrame) -> DataFrame:
-    """lists {key, node, n, rest} -> pairs {a, b} of each member with two near members, those of the smallest and of
-    the largest name."""
+    """lists {key, node, n, rest} -> pairs {a, b} of each member with two near members: the one whose set has this key nearest
+    to its front, and the one of the smallest name. In a group of near copies the first is the text that the others were
+    made from, as shingles of their own stand in front of the shared ones in all others."""
     entry = F.struct("node", "n", "rest")
     ends = lists.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.when(F.expr(NEAR), entry)).alias("low"),
-                                    F.max(F.when(F.expr(NEAR), entry)).alias("high")).filter("copies > 1 and low is not null")
+                                    F.max_by(entry, F.when(F.expr(NEAR), F.struct(F.col("rest") / F.col("n"), "node"))).alias(
+                                        "front")).filter("copies > 1 and low is not null")
     with_ends = join_by_key(lists, ends, "key", "copies").filter(F.col("low").isNotNull())
-    return with_ends.select("node", "n", "rest", F.explode(F.array("low", "high")).alias("end")).select("node", "n", "rest", F.col("end.node").alias("other"),
+    return with_ends.select("node", "n", "rest", F.explode(F.array("low", "front")).alias("end")).select("node", "n", "rest", F.col("end.node").alias("other"),
                      F.col("end.n").alias("other_n"), F.col("end.rest").alias("other_rest")).filter(
         (F.col("node") != F.col("other")) & room("n", "rest", "other_n", "other_rest")).select(
         F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def crossing(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs {a, b} with room within a list and between components {node, label}, for all lists that touch several.
-
-    One side is outside the largest component of its list; near entries meet all members, others the near members.
-    """
+def still_open(lists: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Entries of the lists that touch several components {node, label} and have a near member, with {label, near, copies, outside} and
+    the `main` label of the list, its component with most members there, and a `pivot` of that one, another one each turn."""
     # A node has as many entries as its set has keys, so no label is hot here.
-    marked = written(lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("near", F.expr(NEAR)), "marked")
-    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"), F.max("near").alias("near"))
+    entries = lists.select("key", "node", "n", "rest")
+    marked = written(entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("near", F.expr(NEAR)), "marked")
+    place = F.xxhash64("node", F.lit(turn))
+    parts = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("part"), F.max("near").alias("near"), F.min_by(
+        F.struct("node", "n", "rest", "near"), F.struct(~F.col("near"), place)).alias("pivot"))
     several = written(parts.groupBy("key").agg(
         F.sum("part").alias("copies"), F.count(F.lit(1)).alias("parts"), F.max("near").alias("any_near"),
-        F.max_by("label", F.struct("part", "label")).alias("main")).filter("parts > 1 and any_near").drop("parts", "any_near").withColumn(
-        "shares", F.ceil(F.col("copies") / SALT_PARTNERS)), "several")
-    members = written(join_by_key(marked, several, "key", "copies").filter(F.col("main").isNotNull()).withColumn(
-        "share", F.pmod(F.xxhash64("node"), F.col("shares"))), "open")
-    outside = members.filter(F.col("label") != F.col("main")).select(
-        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), F.col("node").alias("other"),
-        F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("label").alias("other_label"), F.col("near").alias("other_near"))
-    apart = (F.col("label") != F.col("other_label")) & room("n", "rest", "other_n", "other_rest")
-    met_near = members.join(outside.filter("other_near"), ["key", "share"]).filter(apart)
-    met_far = members.filter("near").join(outside.filter("not other_near"), ["key", "share"]).filter(apart)
-    return met_near.unionByName(met_far).select(
+        F.max_by(F.struct("label", "pivot", "part"), F.struct("part", "label")).alias("top")).filter("parts > 1 and any_near").select(
+        "key", "copies", F.col("copies").alias("_copies"), (F.col("copies") - F.col("top.part")).alias("outside"),
+        F.col("top.label").alias("main"), F.col("top.pivot").alias("pivot")), "several")
+    return written(join_by_key(marked, several, "key", "copies").filter(F.col("main").isNotNull()).withColumnRenamed(
+        "_copies", "copies"), "open")
+
+
+def with_pivots(members: DataFrame) -> DataFrame:
+    """Pairs {a, b} of the members outside the largest component of a list with that component's pivot."""
+    other = F.col("pivot")
+    return members.filter("label <> main and (near or pivot.near)").select(
+        "node", "n", "rest", other["node"].alias("other"), other["n"].alias("other_n"), other["rest"].alias("other_rest")).filter(
+        room("n", "rest", "other_n", "other_rest")).select(
         F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
+def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs {a, b} with room within a list, between components, whose sketches leave room for enough overlap, for the lists of
+    `still_open`.
+
+    One side is outside the largest component of its list; near entries meet all members, others the near members. Both sides
+    are cut into shares, and every cell of two shares is a group of bounded size, which tests sketches and gives only
+    what passes.
+    """
+    def share(turn: int, n: str) -> Column:
+        return F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col(n) / SALT_PARTNERS))
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(n) / SALT_PARTNERS) - 1))
+
+    values = ["node", "n", "rest", "label", "near", "sketch"]
+    drawn = members.join(sketches.select("node", "sketch"), "node")
+    inside = drawn.select("key", share(0, "copies").alias("share"), every("outside").alias("slice"), *values)
+    outside = drawn.filter(F.col("label") != F.col("main")).select(
+        F.col("key").alias("okey"), every("copies").alias("oshare"), share(1, "outside").alias("oslice"), *values)
+    ship_package(members.sparkSession)
+    met = inside.groupBy("key", "share", "slice").cogroup(outside.groupBy("okey", "oshare", "oslice")).applyInArrow(
+        met_sketches, "a bigint, b bigint")
+    return met.distinct()
+
+
+def met_sketches(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The pairs of a share that may link: right entries one after the other against all of the left."""
+    def numbers(rows: pa.Table):
+        return (*(rows.column(c).to_numpy() for c in ("node", "n", "rest", "label", "near")),
+                np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16))
+
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if left.num_rows and right.num_rows:
+        node, n, rest, label, near, drawn = numbers(left)
+        for other, m, left_over, its, close, sketch in zip(*numbers(right)):
+            may = (label != its) & (near | close) & (np.minimum(rest, left_over) * 7 >= (n + m) * 3)
+            some = np.flatnonzero(may)
+            total = n[some] + m
+            shared = (total - np.abs(drawn[some] - sketch).sum(1)) // 2
+            some = some[100 * shared >= 75 * (total - shared)]
+            found_a.append(np.maximum(node[some], other)), found_b.append(np.minimum(node[some], other))
+    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+
+
+def contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components {node, label} after the links {a, b}: those found so far are nodes of a smaller graph."""
+    name = labels.select("node", "label")
+    over = components(more.join(name.toDF("a", "at"), "a", "left").join(name.toDF("b", "bt"), "b", "left").select(
+        F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")))
+    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
+    return written(labels.unionByName(new).join(over.toDF("label", "top"), "label", "left").select(
+        "node", F.coalesce("top", "label").alias("label")), "labels")
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """docs {doc_id, text, ...} -> {doc_id, mark, n_shingles, component_id, group}; mark is a hash of the text, group
     names the component (null without words), also where ids are null or repeat."""
@@ -361,16 +423,19 @@ def grouped(docs: DataFrame) -> DataFrame:
         near = written(possible(pairs, sketches), f"{name}-pairs")
         return written(compared(near, fetched(rows, near, classes)), name)
 
-    links = links_of(candidates(lists), "links")
-    labels = components(links)
-    more = links_of(crossing(lists, labels), "crossing-links")
+    labels = components(links_of(candidates(lists), "links"))
+    # Members outside the largest component of a list try one of its members after the other, as long as that links more.
+    members = still_open(lists, labels, 0)
+    for turn in range(1, TURNS):
+        more = links_of(with_pivots(members), "pivot-links")
+        if not more.take(1):
+            break
+        labels = contracted(labels, more)
+        members = still_open(members, labels, turn)
+    near = written(crossing(members, sketches), "crossing-pairs")
+    more = written(compared(near, fetched(rows, near, classes)), "crossing-links")
     if more.take(1):
-        # The components found so far are nodes of a smaller graph.
-        name = labels.select("node", "label")
-        over = components(more.join(name.toDF("a", "at"), "a", "left").join(name.toDF("b", "bt"), "b", "left").select(
-            F.coalesce("at", "a").alias("a"), F.coalesce("bt", "b").alias("b")))
-        new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))
-        labels = labels.unionByName(new).join(over.toDF("label", "top"), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+        labels = contracted(labels, more)
     labelled = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     smallest = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("copies"), F.min("first_id").alias("component_id"))
     facts = join_by_key(labelled.withColumnRenamed("copies", "rows"), smallest, "label", "copies").select(
