@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evidencia.functions.codes import normalize_phase
 from evidencia.functions.records import LEXICAL_FIELDS, lexical_text
-from evidencia.operators import changes, evidence, exclusivity as loe, graph, landscape as grid, search, signals, timeline
+from evidencia.operators import changes, evidence, exclusivity as loe, graph, landscape as grid, search, signals, statistics, timeline
 from evidencia.operators.lexical import Corpus, match_terms, term_coverage
 from evidencia.operators.ranking import top_k
+from evidencia.sources.store import written
 
 TRIAL_LIMIT = 60
 
@@ -40,16 +41,11 @@ def search_trials(trials: DataFrame, vectors: search.Vectors, queries: DataFrame
     The phase of a query is a hard filter and is applied before ranking in both branches; `vectors`
     must already carry it (see search.Vectors.match_on).
     """
-    found = match_terms(Corpus(trials.select("doc_id", "text")), queries)
-    asked = queries.select("query_id", normalize_phase(F.col("phase")).alias("_phase"))
-    phases = trials.select("doc_id", "phases")
-
-    def in_phase(scored: DataFrame) -> DataFrame:
-        rows = scored.join(asked, "query_id").join(phases, "doc_id")
-        return rows.filter(F.col("_phase").isNull() | F.array_contains("phases", F.col("_phase"))).select(scored.columns)
-
-    pool = search.hybrid_topk(found, vectors, max(limit, search.RERANK_CANDIDATES) if rerank else limit, in_phase)
-    return search.rerank(pool, term_coverage(found), "coverage", "query_id", "doc_id", limit, rerank)
+    asked = queries.withColumn("_phases", F.when(normalize_phase(F.col("phase")).isNotNull(), F.array(normalize_phase(F.col("phase")))))
+    found = match_terms(Corpus(trials.select("doc_id", "text", "phases"), tags="phases"), asked, asked="_phases")
+    many = max(limit, search.RERANK_CANDIDATES) if rerank else limit
+    pool = written(search.hybrid_topk(found, vectors, many), "pool")
+    return search.rerank(pool, term_coverage(found, pool, many), "coverage", "query_id", "doc_id", limit, rerank)
 
 
 def lookup_entity(drugs: graph.Graph, synonyms: DataFrame, entities: DataFrame) -> DataFrame:
@@ -74,10 +70,9 @@ def exclusivity(products: DataFrame, names: DataFrame) -> DataFrame:
     return loe.loe_lookup(products, "product", ["trade_name", "ingredient"], names, "name")
 
 
-def trial_stats(tables: dict[str, DataFrame], statement: str) -> DataFrame:
-    """A statement of the statistics library over tables given by name."""
-    spark = next(iter(tables.values())).sparkSession
-    return spark.sql(statement, **tables)
+def trial_stats(tables: dict[str, DataFrame], statement: str, /, **values) -> DataFrame:
+    """A statement of the statistics library over registry tables given by name, with values for its parameters."""
+    return statistics.statistic(statement, tables, **values)
 
 
 def landscape(evidence_rows: DataFrame, mechanisms: DataFrame, synonyms: DataFrame) -> DataFrame:

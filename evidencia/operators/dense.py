@@ -31,7 +31,7 @@ def _unit_rows(column: pa.ChunkedArray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties by id."""
     if len(scores) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -45,13 +45,16 @@ class _Best:
     """Running top-k per (query, corpus value) over blocks of corpus rows."""
 
     def __init__(self, k: int, qids: list, queries: np.ndarray, match: list, within: tuple[str, ...]):
-        self.k, self.qids, self.queries, self.match, self.within = k, qids, queries, match, within
+        self.k, self.qids, self.queries, self.within = k, qids, queries, within
+        self.asking: dict[tuple, list[int]] = {}
+        for i, m in enumerate(match):
+            self.asking.setdefault(m, []).append(i)
         self.held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
 
     def add(self, ids: np.ndarray, corpus: np.ndarray, rows: pa.Table, match_on: tuple[str, ...]) -> None:
-        for key, members in _groups(rows, (*match_on, *self.within)):
+        for key, members in row_groups(rows, (*match_on, *self.within)):
             value, group = key[:len(match_on)], key[len(match_on):]
-            asked = np.array([i for i, m in enumerate(self.match) if m == value], dtype=int)
+            asked = np.array(self.asking.get(value, []), dtype=int)
             block, names = corpus[members].T, ids[members]
             for start in range(0, len(asked), _SLICE):
                 part = asked[start:start + _SLICE]
@@ -62,7 +65,7 @@ class _Best:
                         scores, merged = np.concatenate([old[0], scores]), np.concatenate([old[1], names])
                     else:
                         merged = names
-                    pick = _best(scores, merged, self.k)
+                    pick = best_of(scores, merged, self.k)
                     self.held[(q, group)] = (scores[pick], merged[pick])
 
     def table(self, schema: pa.Schema, query_id: str, doc_id: str) -> pa.Table:
@@ -76,7 +79,7 @@ class _Best:
         return pa.Table.from_pydict(out, schema=schema)
 
 
-def _groups(table: pa.Table, columns: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
+def row_groups(table: pa.Table, columns: tuple[str, ...]) -> list[tuple[tuple, np.ndarray]]:
     """The row numbers of each combination of values; only distinct values become Python objects."""
     if not columns:
         return [((), np.arange(table.num_rows))]
@@ -158,11 +161,12 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int, dim: int, doc_id:
     schema = T.StructType([right.schema[query_id], left.schema[doc_id], *[left.schema[c] for c in within],
                            T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
-    n_queries = right.count()
-    if n_queries * dim * 8 <= query_bytes:
-        found = left.mapInArrow(_search_partition(k, right.toArrow(), match_on, within, doc_id, query_id, arrow), schema)
+    most = query_bytes // (dim * 8)
+    asked = right.limit(most + 1).toArrow()  # as many as may travel, and one to see whether there are more
+    if asked.num_rows <= most:
+        found = left.mapInArrow(_search_partition(k, asked, match_on, within, doc_id, query_id, arrow), schema)
     else:
-        found = _by_cells(left, right, n_queries, rows_per_block, queries_per_block, match_on, doc_id, query_id).applyInArrow(
+        found = _by_cells(left, right, right.count(), rows_per_block, queries_per_block, match_on, doc_id, query_id).applyInArrow(
             _search_cell(k, match_on, within, doc_id, query_id, arrow), schema)
     return top_k(found, [query_id, *within], [F.desc("score"), F.asc(doc_id)], k)
 

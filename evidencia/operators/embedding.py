@@ -2,30 +2,93 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from evidencia.functions.tokens import search_tokens
+from evidencia.functions.binding import let
+from evidencia.functions.tokens import search_tokens, word_counts
+from evidencia.session import ship_package
+
+_LOADED: dict[str, object] = {}  # models of this worker
+
+
+def slot_of(term: Column, dim: int) -> Column:
+    """The place of a term in a vector, from the first 32 bits of its MD5, so that any system can repeat it."""
+    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+
+
+def dense(entries: Column, dim: int) -> Column:
+    """Sorted array<{slot, value}> -> array of `dim` doubles, in one pass: each entry brings the zeros before it."""
+    def gap(entry, i):
+        before = F.coalesce(F.get(entries, i - 1)["slot"], F.lit(-1))
+        return F.concat(F.array_repeat(F.lit(0.0), entry["slot"] - before - 1), F.array(entry["value"]))
+
+    last = F.coalesce(F.get(entries, F.size(entries) - 1)["slot"], F.lit(-1))
+    return F.concat(F.flatten(F.transform(entries, gap)), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
 
 
 def hashed_vectors(docs: DataFrame, text: str, dim: int) -> DataFrame:
-    """Adds `embedding`: hashed term counts, idf-weighted, scaled to unit length."""
-    words = docs.withColumn("_words", search_tokens(F.col(text)))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
-    weighted = IDF(inputCol="_tf", outputCol="_idf").fit(counts).transform(counts)
-    unit = Normalizer(inputCol="_idf", outputCol="_unit").transform(weighted)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_idf", "_unit")
+    """Adds `embedding`: hashed term counts, weighted by idf = ln((N + 1) / (df + 1)) of their slots, scaled to unit length.
+
+    Terms are counted inside the row; only one number per slot comes from an aggregation over the corpus.
+    """
+    slots = F.transform(search_tokens(F.col(text)), lambda w: slot_of(w, dim))
+    counted = docs.withColumn("_counts", F.explode(F.array(word_counts(slots))))
+    every = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.struct(s.alias("slot"), F.lit(0).alias("tf")))
+    seen = counted.select(F.lit(1).alias("_doc"), F.inline(F.transform("_counts", lambda c: F.struct(c["term"].alias("slot"), c["tf"].alias("tf")))))
+    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    slot_rows = docs.sparkSession.range(1).select(F.inline(every)).select("slot")
+    idf = slot_rows.join(seen.groupBy("slot").agg(F.count(F.lit(1)).alias("df")), "slot", "left").select(
+        "slot", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
+    weights = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "idf"))), lambda x: x["idf"]).alias("_idf"))  # one row of `dim` numbers
+    weighted = counted.crossJoin(F.broadcast(weights)).withColumn("_w", F.explode(F.array(F.transform(
+        "_counts", lambda c: F.struct(c["term"].alias("slot"), (c["tf"] * F.get("_idf", c["term"])).alias("value"))))))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda total, x: total + x["value"] * x["value"]))
+    unit = weighted.withColumn("_u", let(norm, lambda length: F.transform("_w", lambda x: F.struct(
+        x["slot"].alias("slot"), F.when(length > 0, x["value"] / length).otherwise(0.0).alias("value")))))
+    return unit.withColumn("embedding", dense(F.col("_u"), dim)).drop("_counts", "_idf", "_w", "_u")
 
 
 def model_vectors(docs: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """Adds `embedding` from a model; `load` runs once per task and batches go through Arrow."""
+    """Adds `embedding` from a model; `load`, a function of a module, runs once per worker and batches go through Arrow."""
+    ship_package(docs.sparkSession)
+    name = f"{load.__module__}.{load.__qualname__}"
+
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        from evidencia.operators import embedding
+
+        if name not in embedding._LOADED:
+            embedding._LOADED[name] = load()
+        model = embedding._LOADED[name]
         for batch in batches:
             yield pd.Series(model(batch.fillna("").tolist()))
     return docs.withColumn("embedding", embed(F.col(text)))
+
+
+MODEL_DIM = 64
+
+
+def word_model() -> Callable[[list[str]], list[list[float]]]:
+    """A small model without weights: words hashed to slots, square roots of their counts, unit length."""
+    word, known = re.compile(r"[a-z0-9]+"), {}
+
+    def slot(w: str) -> int:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % MODEL_DIM
+        return known[w]
+
+    def model(texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), MODEL_DIM))
+        for row, text in zip(out, texts):
+            np.add.at(row, [slot(w) for w in word.findall(text.lower())], 1.0)
+        out = np.sqrt(out)
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=np.zeros_like(out), where=length > 0).tolist()
+
+    return model

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from evidencia.functions.numbers import round_half_up
 from evidencia.functions.tokens import claim_tokens
+from evidencia.operators import lexical
 from evidencia.operators.ranking import top_k
-from evidencia.sizing import is_small, join_small
 
 # Intervention labels that name no product.
 GENERIC_NAMES = ["placebo", "saline", "questionnaire", "observation", "standard of care"]
@@ -95,17 +95,16 @@ def gate(metrics: DataFrame, baseline: DataFrame, margin: float = REGRESSION_MAR
 
 def claim_sources(claims: DataFrame, claim_id: str, claim: str, sources: DataFrame, source_id: str, text: str,
                   minimum: float = MIN_OVERLAP) -> DataFrame:
-    """Most likely source per claim: the largest share of the claim's tokens, if it reaches `minimum`."""
+    """Most likely source per claim: the largest share of the claim's tokens, if it reaches `minimum`. Sources are scored where they lie;
+    one candidate per claim leaves a task."""
     words = claims.select(claim_id, claim_tokens(F.col(claim)).alias("_t")).select(
-        claim_id, F.size("_t").alias("_n"), F.explode("_t").alias("token"))
-    small = is_small(words)
-    wanted = words.select("token").distinct()
-    tokens = sources.select(source_id, F.explode(claim_tokens(F.col(text))).alias("token"))
-    kept = join_small(tokens, wanted, ["token"], "left_semi", F.col(source_id), small)
-    shared = join_small(kept, words, ["token"], "inner", F.col(source_id), small)
-    score = shared.groupBy(claim_id, source_id, "_n").agg(F.count(F.lit(1)).alias("_m")).select(
-        claim_id, source_id, round_half_up(F.col("_m") / F.col("_n"), 6).alias("overlap"))
-    return top_k(score, [claim_id], [F.desc("overlap"), F.asc(source_id)], 1, "_rank").drop("_rank").filter(
+        claim_id, F.size("_t").cast("double").alias("scale"), F.explode("_t").alias("term")).select(
+        claim_id, "term", F.lit(1.0).alias("idf"), F.lit(1.0).alias("mean_length"), F.lit(1.0).alias("bound"), "scale")
+    corpus = lexical.Corpus(sources, source_id, text)
+    blocks = lexical.dealt(words, claim_id, lambda some: lexical.bounded(some, lexical.TERMS_PER_BLOCK))
+    found = lexical.matches_of(lexical.tokenised(corpus, claim_tokens), blocks, corpus, claim_id, claims.schema[claim_id].dataType, {})
+    best = lexical.scored_topk(found, 1, flat=True).withColumnRenamed("score", "overlap")
+    return top_k(best, [claim_id], [F.desc("overlap"), F.asc(source_id)], 1, "_rank").drop("_rank").filter(
         F.col("overlap") >= minimum)
 
 

@@ -13,6 +13,7 @@ from evidencia.sizing import join_small
 GRAM = 3
 RESOLVE_THRESHOLD = 0.75
 MENTION_THRESHOLD = 0.85
+BANDS, BAND_ROWS = 16, 3  # of a MinHash signature
 
 
 def grams(text: Column, n: int = GRAM) -> Column:
@@ -72,10 +73,34 @@ def similar_names(raw: DataFrame, raw_name: str, dictionary: DataFrame, entry: s
     return pairs.select(raw_name, entry, round_half_up(dice, 6).alias("score")).filter(F.col("score") >= threshold)
 
 
+def _banded(sets: DataFrame, name: str, bands: int, rows: int) -> DataFrame:
+    """Each set once per band, with the hash of the band's `rows` minima of the MinHash signature."""
+    minima = F.transform(F.sequence(F.lit(0), F.lit(bands * rows - 1)), lambda k: F.array_min(
+        F.transform("_set", lambda g: F.xxhash64(g, k))))
+    keys = let(minima, lambda found: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(
+        b, F.slice(found, b * rows + 1, F.lit(rows)))))
+    return sets.filter(F.size("_set") > 0).select(name, "_set", F.explode(F.array_distinct(keys)).alias("_band"))
+
+
+def similar_names_lsh(raw: DataFrame, raw_name: str, dictionary: DataFrame, entry: str, threshold: float,
+                      bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """The (raw, entry) pairs of `similar_names` that share a band of their MinHash signatures.
+
+    For large dictionaries: each name makes `bands` rows however long it is, where the exact form makes one per rare gram. A
+    pair of Jaccard similarity j (dice / (2 - dice)) meets with probability 1 - (1 - j^rows)^bands, 0.98 at the threshold
+    of 0.75 and more above it; whatever meets is checked exactly.
+    """
+    a = _banded(_gram_sets(raw, raw_name), raw_name, bands, rows)
+    b = _banded(_gram_sets(dictionary, entry), entry, bands, rows).withColumnRenamed("_set", "_other")
+    pairs = a.join(b, "_band").select(raw_name, entry, "_set", "_other").dropDuplicates([raw_name, entry])
+    dice = 2.0 * F.size(F.array_intersect("_set", "_other")) / (F.size("_set") + F.size("_other"))
+    return pairs.select(raw_name, entry, round_half_up(dice, 6).alias("score")).filter(F.col("score") >= threshold)
+
+
 def resolve_names(raw: DataFrame, raw_name: str, dictionary: DataFrame, entry: str,
-                  threshold: float = RESOLVE_THRESHOLD) -> DataFrame:
-    """Best dictionary entry per distinct raw name."""
-    pairs = similar_names(raw, raw_name, dictionary, entry, threshold)
+                  threshold: float = RESOLVE_THRESHOLD, lsh: bool = False) -> DataFrame:
+    """Best dictionary entry per distinct raw name; with `lsh` among the entries that MinHash banding finds."""
+    pairs = (similar_names_lsh if lsh else similar_names)(raw, raw_name, dictionary, entry, threshold)
     return top_k(pairs, [raw_name], [F.desc("score"), F.asc(entry)], 1, "_rank").drop("_rank")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -34,24 +33,23 @@ class Vectors:
         return dense_topk(self.corpus, self.queries, k, self.dim, match_on=self.match_on, within=self.within)
 
 
-def hybrid_topk(found: Matches, vectors: Vectors, k: int,
-                where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Lexical and dense branches over-fetch, reciprocal rank fusion keeps the best k."""
+def hybrid_topk(found: Matches, vectors: Vectors, k: int) -> DataFrame:
+    """Lexical and dense branches over-fetch, reciprocal rank fusion keeps the best k. Conditions belong into both: see `Corpus`
+    and `Vectors`."""
     within = list(found.corpus.within)
     group = [found.query_id, *within]
     dense = vectors.topk(OVERFETCH * k)
     if vectors.match_on:
         dense = top_k(dense, group, [F.desc("score"), F.asc(found.corpus.doc_id)], OVERFETCH * k)
-    return reciprocal_rank_fusion([bm25_topk(found, OVERFETCH * k, where), dense],
+    return reciprocal_rank_fusion([bm25_topk(found, OVERFETCH * k), dense],
                                   [*group, found.corpus.doc_id], group, k)
 
 
-def with_documents(hits: DataFrame, docs: DataFrame, doc_id: str, queries: DataFrame, per_query: int) -> DataFrame:
-    """Hits with the columns of their documents. There are at most `per_query` hits for each query, so
-    the hits are broadcast where that many rows are few enough, and the corpus is not shuffled."""
+def with_documents(hits: DataFrame, docs: DataFrame, doc_id: str, rows: int) -> DataFrame:
+    """Hits with the columns of their documents. There are at most `rows` hits, by the number of queries and of results for each;
+    where that is few enough the hits are broadcast, and the corpus is not shuffled."""
     width = len(hits.columns) + 1
-    side = F.broadcast(hits) if queries.count() * per_query * width <= BROADCAST_ROWS else hits
-    return docs.join(side, doc_id)
+    return docs.join(F.broadcast(hits) if rows * width <= BROADCAST_ROWS else hits, doc_id)
 
 
 def has_lexical_index(corpus: str) -> bool:

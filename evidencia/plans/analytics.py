@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from evidencia.functions.tokens import CLAIM_STOP_WORDS, sql_list
-from evidencia.operators import evaluation, landscape, signals, timeline
+from evidencia.functions.tokens import CLAIM_STOP_WORDS, WORD_PATTERN, sql_list
+from evidencia.operators import evaluation, landscape, signals, statistics, timeline
 from evidencia.plans.registry import Tables, query
 from evidencia.plans.scalars import PERIODS, period_renderings
 from evidencia.sizing import spread
@@ -38,34 +38,59 @@ def top_reactions(t: Tables) -> DataFrame:
     return signals.top_reactions(rows, ["R1", "R10", "R50", "R77"])
 
 
-STATS = {
-    "stats_top_sponsors": """
+def registry(t: Tables) -> dict[str, DataFrame]:
+    """Orders as studies, customers as sponsors, segments as conditions, suppliers as sites."""
+    study, line = F.col("o_orderkey").alias("nct_id"), F.col("l_orderkey").alias("nct_id")
+    sponsored = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    sites = t.lineitem.join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(t.nation, F.col("n_nationkey") == F.col("s_nationkey"))
+    strength = F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 40).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "%").otherwise(" mg"))
+    return {
+        "studies": t.orders.select(study, F.col("o_orderstatus").alias("overall_status"), F.col("o_orderpriority").alias("phase"),
+                                   F.col("o_totalprice").alias("enrollment"), F.col("o_orderdate").alias("start_date")),
+        "sponsors": sponsored.select(study, F.col("c_name").alias("name")),
+        "conditions": sponsored.select(study, F.col("c_mktsegment").alias("name")),
+        "interventions": t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(line, strength.alias("name")),
+        "facilities": sites.select(line, F.col("s_suppkey").alias("facility"), F.col("n_name").alias("country")),
+    }
+
+
+@query("""
 select c_name as sponsor, count(*) as studies, count(distinct o_orderpriority) as phases
-from {orders} join {customer} on c_custkey = o_custkey where lower(c_mktsegment) like '%hold%'
-group by c_name order by studies desc, sponsor limit 50""",
-    "stats_phase_year": """
+from orders join customer on c_custkey = o_custkey where lower(c_mktsegment) like '%hold%'
+group by c_name order by studies desc, sponsor limit 50""")
+def stats_top_sponsors(t: Tables) -> DataFrame:
+    return statistics.statistic("top_sponsors", registry(t), condition="HOLD")
+
+
+@query("""
 select o_orderpriority as phase, cast(extract(year from o_orderdate) as bigint) as started, count(*) as studies
-from {orders} group by o_orderpriority, cast(extract(year from o_orderdate) as bigint)""",
-    "stats_avg_enrollment": """
+from orders group by o_orderpriority, cast(extract(year from o_orderdate) as bigint)""")
+def stats_phase_year(t: Tables) -> DataFrame:
+    return statistics.statistic("phase_year", registry(t))
+
+
+@query("""
 select o_orderstatus as status, count(*) as studies,
   floor(cast(sum(cast(o_totalprice as decimal(18,2))) as double) / count(*) * 1e2 + 5e-1) / 1e2 as avg_enrollment
-from {orders} group by o_orderstatus""",
-    "stats_country_counts": """
-select n_name as country, count(distinct s_suppkey) as facilities, count(*) as study_sites
-from {lineitem} join {supplier} on s_suppkey = l_suppkey join {nation} on n_nationkey = s_nationkey group by n_name""",
-}
+from orders group by o_orderstatus""")
+def stats_avg_enrollment(t: Tables) -> DataFrame:
+    return statistics.statistic("average_enrollment", registry(t))
 
 
-def _statistic(statement: str):
-    names = [n for n in ("orders", "customer", "lineitem", "supplier", "nation") if "{" + n + "}" in statement]
-
-    def run(t: Tables) -> DataFrame:
-        return t.spark.sql(statement, **{n: getattr(t, n) for n in names})
-    return run
+@query("""
+select n_name as country, count(distinct s_suppkey) as facilities, count(*) as study_sites
+from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by n_name""")
+def stats_country_counts(t: Tables) -> DataFrame:
+    return statistics.statistic("country_counts", registry(t))
 
 
-for _name, _statement in STATS.items():
-    query(_statement.replace("{", "").replace("}", ""), name=_name)(_statistic(_statement))
+@query("""
+with i as (select l_orderkey as nct_id, p_name || ' ' || p_partkey % 40 || case when p_partkey % 2 = 0 then '%' else ' mg' end as name
+  from lineitem join part on p_partkey = l_partkey)
+select name as intervention, count(distinct nct_id) as studies from i where contains(lower(name), ' 2%') group by name order by studies desc, intervention limit 30""")
+def stats_interventions(t: Tables) -> DataFrame:
+    """A name with a sign that LIKE would take for a wildcard."""
+    return statistics.statistic("intervention_studies", registry(t), name=" 2%", top=30)
 
 
 TRIALS = """
@@ -209,3 +234,79 @@ def catalyst_timeline(t: Tables) -> DataFrame:
         F.concat(F.lit("C"), (F.col("o_custkey") % 700).cast("string")).alias("source"))
     best = timeline.timeline(events, "query", "raw", "drug", "source", F.lit(AS_OF).cast("date"))
     return timeline.by_period(best, "query", "drug", "source")
+
+
+READOUT, READOUT_WINDOW = "readout", (70, 80, 10)
+NEWS = f"""
+pair as (select l_orderkey as o_orderkey, min(l_partkey) as first, max(l_partkey) as last from lineitem group by 1),
+news as (select o_custkey, string_agg('Work on ' || b.p_name || ' goes on. A readout for ' || a.p_name || ' is planned ' || raw || '. '
+    || case when o.o_orderkey % 3 = 0 then repeat('No other update was given at the meeting. ', 5) else '' end, '' order by o.o_orderkey) as text
+  from periods p join orders o using (o_orderkey) join pair using (o_orderkey) join part a on a.p_partkey = first join part b on b.p_partkey = last
+  group by o_custkey)"""
+
+
+def news(t: Tables) -> DataFrame:
+    """A text per customer: a sentence with a drug, a keyword and a date for each of the orders."""
+    pair = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("first"), F.max("l_partkey").alias("last"))
+    a, b = (t.part.select(F.col("p_partkey").alias(k), F.col("p_name").alias(f"{k}_name")) for k in ("first", "last"))
+    rows = period_renderings(t).join(pair, "o_orderkey").join(a, "first").join(b, "last")
+    sentence = F.concat(F.lit("Work on "), "last_name", F.lit(" goes on. A readout for "), "first_name", F.lit(" is planned "), "raw", F.lit(". "), F.when(
+        F.col("o_orderkey") % 3 == 0, F.repeat(F.lit("No other update was given at the meeting. "), F.lit(5))).otherwise(""))
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", sentence.alias("sentence"))))
+    return rows.groupBy("o_custkey").agg(F.array_join(F.transform(ordered, lambda x: x["sentence"]), "").alias("text"))
+
+
+EVENT_PHRASE = timeline.DATE_PHRASE.replace("'", "''")
+EVENT_HITS = f"list_transform(range(1, len(string_split(lower(text), '{READOUT}'))), lambda i: list_sum(list_transform((string_split(lower(text), '{READOUT}'))[1:i], lambda x: length(x)))::bigint + (i - 1) * {len(READOUT)})"
+
+
+def pieces_sql(source: str, text: str, pattern: str, name: str) -> str:
+    """Matches of a pattern with their offsets in each span."""
+    return f"""
+{name}p as (select doc, s, i, g[i] as gap, m[i] as hit from (select doc, s, g, m, unnest(range(1, len(g) + 1)) as i from (
+   select doc, s, string_split_regex({text}, '{pattern}') as g, regexp_extract_all({text}, '{pattern}') as m from {source}))),
+{name} as (select doc, s, i, hit, coalesce(sum(length(gap) + coalesce(length(hit), 0)) over (partition by doc, s order by i rows between unbounded preceding and 1 preceding), 0) + length(gap) as pos
+   from {name}p qualify hit is not null)"""
+
+
+TEXT_EVENTS = f"""
+{PERIODS}, {NEWS},
+hits as (select o_custkey as doc, text, unnest({EVENT_HITS}) as h from news),
+wins as (select *, greatest(h - {READOUT_WINDOW[0]}, 0) as a, least(h + {READOUT_WINDOW[1]}, length(text)) as e from hits),
+flag as (select *, case when a > max(e) over (partition by doc order by h rows between unbounded preceding and 1 preceding) + {READOUT_WINDOW[2]}
+   or row_number() over (partition by doc order by h) = 1 then 1 else 0 end as opens from wins),
+isle as (select *, sum(opens) over (partition by doc order by h) as no from flag),
+spans as (select doc, min(a) as s, substr(any_value(text), min(a)::int + 1, (max(e) - min(a))::int) as ex from isle group by doc, no),
+{pieces_sql("spans", "ex", EVENT_PHRASE, "dts")},
+{pieces_sql("spans", "lower(ex)", WORD_PATTERN, "wrd")},
+seqs as (select doc, s, array_agg(hit order by i) as w, array_agg(pos order by i) as ats from wrd group by doc, s),
+surf as (select doc, s, ats[i] as pos, ats[i + n] + length(w[i + n]) as stop, array_to_string(w[i:i + n], ' ') as surface
+  from (select *, unnest(range(1, len(w) + 1)) as i from seqs) q, (select unnest([0, 1, 2, 3, 4]) as n) k where i + n <= len(w)),
+men as (select doc, s, pos, stop, name from surf join (select distinct p_name as name, array_to_string(regexp_extract_all(lower(p_name), '{WORD_PATTERN}'), ' ') as surface from part) using (surface)),
+near as (select d.doc, d.s, d.pos, d.hit as raw, m.name, case when m.stop <= d.pos then d.pos - m.stop else m.pos - d.pos - length(d.hit) end as distance, m.stop <= d.pos as front, m.pos as m_pos, m.stop
+  from dts d join men m on m.doc = d.doc and m.s = d.s and (m.stop <= d.pos or m.pos >= d.pos + length(d.hit))),
+evt as (select * from near qualify row_number() over (partition by doc, s, pos order by distance, front desc, case when front then -m_pos else m_pos end, stop, case when front then name end desc, name) = 1)"""
+
+
+@query(f"with {TEXT_EVENTS} select doc as o_custkey, (s + pos)::int as "at", raw, name as drug, distance::int as distance from evt")
+def text_events(t: Tables) -> DataFrame:
+    """Date phrases near a keyword, each with the drug mentioned nearest."""
+    return timeline.text_events(news(t), "o_custkey", "text", t.part.select("p_name"), "p_name", [READOUT], READOUT_WINDOW)
+
+
+@query(f"""with {TEXT_EVENTS},
+ph as (select distinct regexp_extract(raw, '{EVENT_PHRASE}') as raw, year, period from periods),
+ev as (select c_mktsegment as query, name as drug, 'C' || doc as source, raw, year, period,
+   case period when '' then 0 when 'H1' then 1 when 'Q1' then 1 when 'Q2' then 2 when 'H2' then 3 when 'Q3' then 3 when 'Q4' then 4 end as pr
+  from evt join ph using (raw) join customer on c_custkey = doc where year is not null),
+up as (select * from ev where not (year < 1998 or (year = 1998 and period <> '' and pr < 3))),
+one as (select * from up qualify row_number() over (partition by query, drug, source order by year, pr, raw) = 1),
+top as (select *, row_number() over (partition by query order by year, pr, source, drug) as rank from one qualify rank <= 30)
+select query, year, period, count(*) as n, string_agg(drug || '@' || source, '|' order by rank) as events from top group by all""")
+def catalyst_events(t: Tables) -> DataFrame:
+    """The timeline of the events that texts state."""
+    segment = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("query"))
+    found = text_events(t).join(segment, "o_custkey").select(
+        "query", "raw", "drug", F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("source"))
+    best = timeline.timeline(found, "query", "raw", "drug", "source", F.lit(AS_OF).cast("date"))
+    return timeline.by_period(best, "query", "drug", "source")

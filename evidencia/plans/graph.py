@@ -97,20 +97,34 @@ def misspelt(t: Tables) -> DataFrame:
 
 
 GRAMS = "list_distinct(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))"
-
-
-@query(f"""
-with raw as (select distinct case when p_partkey % 2 = 0 then substr(p_name, 1, pos - 1) || substr(p_name, pos + 1)
+RESOLVED = f"""
+raw as (select distinct case when p_partkey % 2 = 0 then substr(p_name, 1, pos - 1) || substr(p_name, pos + 1)
     else substr(p_name, 1, pos) || substr(p_name, pos) end as raw from (select *, (p_partkey % length(p_name) + 1)::int as pos from part)),
 a as (select raw, {GRAMS} as g from (select raw, '^' || lower(trim(raw)) || '$' as x from raw)),
 b as (select entry, {GRAMS} as g from (select p_name as entry, '^' || lower(trim(p_name)) || '$' as x from (select distinct p_name from part))),
-s as (select raw, entry, floor(2.0::double * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) * 1000000.0 + 0.5) / 1000000.0 as score from a, b)
-select raw, entry, score from (select *, row_number() over (partition by raw order by score desc, entry) as rn from s where score >= 0.75) where rn = 1""")
+s as (select raw, entry, floor(2.0::double * len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g)) * 1000000.0 + 0.5) / 1000000.0 as score from a, b),
+resolved as (select raw, entry, score from (select *, row_number() over (partition by raw order by score desc, entry) as rn from s where score >= 0.75) where rn = 1)"""
+
+
+@query(f"with {RESOLVED} select raw, entry, score from resolved")
 def resolve_names(t: Tables) -> DataFrame:
     dictionary = t.part.select(F.col("p_name").alias("entry"))
     return matching.resolve_names(misspelt(t), "raw", dictionary, "entry")
 
 
+@query(f"with {RESOLVED} select count(*) as resolved, true as recall_reached, 0::bigint as wrong from resolved")
+def resolve_names_lsh(t: Tables) -> DataFrame:
+    """MinHash banding against the exact form: how many names resolve, whether 0.9 of them get the same entry, and how many get an
+    entry below the threshold or one better than the best."""
+    raw, dictionary = misspelt(t), t.part.select(F.col("p_name").alias("entry"))
+    exact = matching.resolve_names(raw, "raw", dictionary, "entry")
+    found = matching.resolve_names(raw, "raw", dictionary, "entry", lsh=True)
+    both = exact.join(found.select("raw", F.col("entry").alias("other"), F.col("score").alias("other_score")), "raw", "full")
+    same = F.count_if(F.col("entry") == F.col("other"))
+    return both.agg(F.count("entry").alias("resolved"), (same >= 0.9 * F.count("entry")).alias("recall_reached"),
+                    F.count_if(F.col("entry").isNull() | (F.col("other_score") > F.col("score"))).alias("wrong"))
+
+
 SHINGLES = r"""list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')))"""
 MENTIONS = rf"""
 names as (select item_id, unnest({SHINGLES}) as entry from (select item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') as w from benchmark)),

@@ -50,10 +50,10 @@ def upsert_latest(t: Tables) -> DataFrame:
 
 @query(r"select doc_id, source, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))::integer as n_words from documents")
 def rebuild_swap(t: Tables) -> DataFrame:
-    current = store.VersionedTable(t.spark, store.scratch_path(t.spark, "corpus"))
-    current.replace(t.documents.select("doc_id", "source", "text"))
-    derived = current.read().withColumn("n_words", F.size(matches(F.col("text"), WORD_PATTERN)))
-    return current.rebuild(derived, "corpus_rebuilt").select("doc_id", "source", "n_words")
+    current = store.written(t.documents.select("doc_id", "source", "text"), "corpus")
+    derived = current.withColumn("n_words", F.size(matches(F.col("text"), WORD_PATTERN)))
+    fresh = store.rebuilt(current, derived, store.scratch_path(t.spark, "corpus-rebuilt"), "corpus_rebuilt")
+    return fresh.select("doc_id", "source", "n_words")
 
 
 @query("""

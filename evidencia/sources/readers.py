@@ -7,14 +7,16 @@ import json
 import zipfile
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F, types as T
 
 from evidencia.functions.codes import filing_url, pmc_id
 from evidencia.functions.dates import MONTHS, parse_date
 from evidencia.functions.markup import flat_text
 from evidencia.operators.ranking import top_k
+from evidencia.sources.store import written
 
 APPROVAL = """application_number string, sponsor_name string,
   products array<struct<brand_name: string, dosage_form: string, active_ingredients: array<struct<name: string>>>>,
@@ -102,8 +104,42 @@ def _array_items(stream, name: str) -> Iterator[str]:
         raise ValueError(f"no array {name}")
 
 
+@dataclass
+class Landed:
+    """What a reader found in raw files: every record with its file and, if it was refused, the reason.
+
+    `rows` are the accepted records, `rejects` {file, at, raw, reason} the others, so that nothing is lost silently: the two
+    add up to what was read.
+    """
+
+    parsed: DataFrame  # {file, at, raw, reason, r}
+
+    @property
+    def rows(self) -> DataFrame:
+        return self.parsed.filter("reason is null").select("r.*")
+
+    @property
+    def rejects(self) -> DataFrame:
+        return self.parsed.filter("reason is not null").select("file", "at", "raw", "reason")
+
+    def observed(self, counters: Observation) -> DataFrame:
+        """`rows`, with the numbers read, kept and rejected in `counters` as soon as an action has gone over them."""
+        refused = F.col("reason").isNotNull()
+        return self.parsed.observe(counters, F.count(F.lit(1)).alias("read"), F.count_if(~refused).alias("kept"), F.count_if(refused).alias(
+            "rejected")).filter("reason is null").select("r.*")
+
+
+def typed(records: DataFrame, raw: str, schema: str) -> Landed:
+    """JSON records {file, at, <raw>, problem} read by `schema`; those of another shape are refused."""
+    value = F.from_json(raw, f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    names = [field.name for field in records.sparkSession.createDataFrame([], schema).schema]
+    read = records.withColumn("_v", F.explode(F.array(value)))
+    reason = F.coalesce("problem", F.when(F.col("_v").isNull() | F.col("_v._corrupt").isNotNull(), F.lit("does not fit the schema")))
+    return Landed(read.select("file", "at", F.col(raw).alias("raw"), reason.alias("reason"), F.struct(*[F.col("_v")[n].alias(n) for n in names]).alias("r")))
+
+
 def _unzip(array: str):
-    schema = pa.schema([("json", pa.string())])
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("json", pa.string()), ("problem", pa.string())])
 
     def items(content) -> Iterator[str]:
         with zipfile.ZipFile(pa.BufferReader(content.as_buffer())) as archive:
@@ -113,35 +149,50 @@ def _unzip(array: str):
                         yield from _array_items(stream, array)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(path: str, at: int, held: list[str]) -> pa.RecordBatch:
+            n = len(held)
+            return pa.record_batch([pa.array([path] * n, pa.string()), pa.array(range(at, at + n), pa.int64()), pa.array(held, pa.string()),
+                                    pa.nulls(n, pa.string())], schema=schema)
+
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                held = []
+                held, at = [], 0
                 try:
                     for item in items(content):
                         held.append(item)
                         if len(held) == 1000:
-                            yield pa.record_batch([pa.array(held)], schema=schema)
-                            held = []
+                            yield rows(path, at, held)
+                            held, at = [], at + 1000
                 except (ValueError, zipfile.BadZipFile, zlib.error) as error:
-                    raise ValueError(f"{path}: {error}") from error
+                    yield rows(path, at, held)
+                    held, at = [], at + len(held)
+                    yield pa.record_batch([pa.array([path]), pa.array([at], pa.int64()), pa.nulls(1, pa.string()), pa.array([str(error)])], schema=schema)
                 if held:
-                    yield pa.record_batch([pa.array(held)], schema=schema)
+                    yield rows(path, at, held)
     return run
 
 
-def read_bulk_zips(spark: SparkSession, path: str, schema: str, array: str = "results") -> DataFrame:
+def read_bulk_zips(spark: SparkSession, path: str, schema: str, array: str = "results") -> Landed:
     """Elements of the `results` array of every member of every ZIP, one task per ZIP, typed by `schema`.
 
-    A damaged file stops the job with its name.
+    An element of another shape is refused. Where a file is damaged its elements so far are kept and the rest is one reject with the
+    reason. `at` counts the elements of a ZIP from 0.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    items = files.mapInArrow(_unzip(array), "json string")
-    return items.select(F.from_json("json", schema).alias("r")).select("r.*")
+    return typed(files.mapInArrow(_unzip(array), "file string, at bigint, json string, problem string"), "json", schema)
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """`~`-delimited latin-1 table with a header line."""
-    return spark.read.csv(path, sep="~", encoding="ISO-8859-1", header=True, quote="")
+def read_delimited(spark: SparkSession, path: str) -> Landed:
+    """`~`-delimited latin-1 table with a header line. A line with more or fewer cells than the header is refused."""
+    options = dict(sep="~", encoding="ISO-8859-1", header=True, quote="")
+    names = spark.read.csv(path, **options).columns  # reads the header
+    schema = T.StructType([*[T.StructField(n, T.StringType()) for n in names], T.StructField("_corrupt", T.StringType())])
+    parsed = spark.read.schema(schema).csv(path, columnNameOfCorruptRecord="_corrupt", enforceSchema=False, **options)
+    # Parsed once for both channels; the parser also needs all columns to find lines of another width.
+    lines = written(parsed.withColumn("_file", F.col("_metadata.file_path")), "delimited")
+    reason = F.when(F.col("_corrupt").isNotNull(), "another number of cells than the header")
+    return Landed(lines.select(F.col("_file").alias("file"), F.lit(None).cast("bigint").alias("at"), F.col("_corrupt").alias("raw"),
+                               reason.alias("reason"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("r")))
 
 
 def exclusivity_tables(products: DataFrame, patents: DataFrame, exclusivities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -170,37 +221,50 @@ MONTHLY_FIELDS = {
 }
 
 
-def csv_cells(line: Column) -> Column:
-    """The cells of a comma-separated line, however many; doubled quotes inside quotes are one."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
-    return F.transform(raw, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(
-        F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+MONTHLY_NEEDS = ("BLA Number", "Proper Name")
 
 
-def read_monthly_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_monthly_csv(spark: SparkSession, path: str, most_cells: int = 512) -> Landed:
     """Rows of monthly CSV files below their `N/R/U` header line, columns found by header name.
 
-    The expiry is the latest of three dates; rows without number or proper name are dropped.
+    The CSV parser reads them, so cells may hold commas, quotes and line breaks. The expiry is the latest of three dates. Refused are
+    rows without number or proper name, rows of more than `most_cells` cells, files without a header line and files whose header
+    lacks a needed column. Blank lines and what stands above the header are no rows.
     """
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
-    lines = text.select("file", F.split("value", r"\r?\n").alias("lines"))
-    header_at = F.filter(F.transform("lines", lambda line, i: F.when(line.rlike(r'^\s*"?\s*N/R/U\s*"?\s*,'), i)), lambda i: i.isNotNull())
-    found = lines.withColumn("at", F.get(header_at, 0)).filter("at is not null")
-    body = found.select("file", F.get("lines", F.col("at")).alias("header"),
-                        F.explode(F.slice("lines", F.col("at") + 2, F.size("lines"))).alias("line"))
-    rows = body.filter(F.length(F.trim("line")) > 0).select("file", csv_cells(F.col("header")).alias("names"), csv_cells(F.col("line")).alias("cells"))
+    names = [f"c{k}" for k in range(most_cells + 1)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
+    raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt",
+                                        nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    cells = F.transform(F.array(*names), lambda c: F.trim(F.regexp_replace(c, "^\ufeff|[\r]$", "")))
+    # One task reads a file from top to bottom, so ids rise with its rows; short rows are no fault, cells left out are null.
+    too_many = F.col(names[-1]).isNotNull()
+    lines = written(raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"),
+                               too_many.alias("too_many")), "monthly")
+    is_header = F.upper(F.get("cells", F.lit(0))) == "N/R/U"
+    head = lines.groupBy("file").agg(F.min(F.when(is_header, F.struct("at", "cells"))).alias("head"))
+    below = lines.join(head.filter("head is not null"), "file").filter("at > head.at").filter(
+        F.exists("cells", lambda c: F.coalesce(F.length(c), F.lit(0)) > 0))
 
     def named(header):
-        at = F.array_position(F.transform("names", F.trim), F.lit(header)).cast("int")
-        return F.when(at > 0, F.trim(F.get("cells", at - 1)))
+        at = F.array_position(F.col("head.cells"), F.lit(header)).cast("int")
+        return F.when(at > 0, F.get("cells", at - 1))
 
-    named_rows = rows.select("file", release_month(F.col("file")).alias("month"), *[named(h).alias(c) for h, c in MONTHLY_FIELDS.items()])
+    lacks = F.filter(F.array(*[F.when(F.array_position(F.col("head.cells"), F.lit(h)) == 0, F.lit(h)) for h in MONTHLY_NEEDS]), lambda h: h.isNotNull())
+    rows = below.select("file", "at", "cells", "too_many", lacks.alias("lacks"), release_month(F.col("file")).alias("month"),
+                        *[named(h).alias(c) for h, c in MONTHLY_FIELDS.items()])
     dates = [parse_date(F.col(c)) for c in ("exclusivity", "ref_exclusivity", "orphan_exclusivity")]
-    return named_rows.filter((F.length("appl_no") > 0) & (F.length("ingredient") > 0)).select(
-        "file", "month", "appl_no", "trade_name", "ingredient", "applicant", parse_date(F.col("approval_date")).alias("approval_date"),
-        F.lit(None).cast("date").alias("patent_expiry"), F.greatest(*dates).alias("exclusivity_expiry")).withColumn(
-        "loe_estimate", F.col("exclusivity_expiry"))
+    filled = (F.length("appl_no") > 0) & (F.length("ingredient") > 0)
+    reason = F.when(F.size("lacks") > 0, F.concat(F.lit("no column "), F.array_join("lacks", ", "))).when(
+        F.col("too_many"), f"more than {most_cells} cells").when(~F.coalesce(filled, F.lit(False)), "no number or proper name")
+    shaped = rows.select(
+        "file", "at", F.array_join("cells", ",").alias("raw"), reason.alias("reason"), F.struct(
+            "file", "month", "appl_no", "trade_name", "ingredient", "applicant", parse_date(F.col("approval_date")).alias("approval_date"),
+            F.lit(None).cast("date").alias("patent_expiry"), F.greatest(*dates).alias("exclusivity_expiry"),
+            F.greatest(*dates).alias("loe_estimate")).alias("r"))
+    headless = head.filter("head is null").select(
+        "file", F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("raw"), F.lit("no N/R/U header line").alias("reason"),
+        F.lit(None).cast(shaped.schema["r"].dataType).alias("r"))
+    return Landed(shaped.unionByName(headless))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -227,17 +291,23 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_feeds(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Entries with title and link of RSS files (one file per feed, named after it); with `limit` the first
-    ones of each feed, counted after empty entries are left out."""
-    feeds = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("feed"), "value")
-    items = feeds.select("feed", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)<item\b.*?</item>"), F.lit(0))).alias("position", "x"))
-    parsed = items.select(
-        "feed", "position", F.trim(F.xpath_string("x", F.lit("item/title"))).alias("title"),
+    ones of each feed, counted after empty entries are left out.
+
+    Files are split at the closing tag of entries, so a large feed is read by several tasks; `position` is the place of an entry in its
+    feed, counted from 0.
+    """
+    pieces = spark.read.text(path, lineSep="</item>").select(
+        F.regexp_extract("_metadata.file_name", r"^(.*?)(?:\.[^.]*)?$", 1).alias("feed"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_extract("value", r"(?s)(<item\b.*)$", 1).alias("x"))
+    parsed = pieces.filter("x <> ''").withColumn("x", F.concat("x", F.lit("</item>"))).select(
+        "feed", "_block", "_id", F.trim(F.xpath_string("x", F.lit("item/title"))).alias("title"),
         flat_text(F.xpath_string("x", F.lit("item/description"))).alias("summary"),
         F.trim(F.xpath_string("x", F.lit("item/link"))).alias("link"), F.trim(F.xpath_string("x", F.lit("item/pubDate"))).alias("published"))
-    filled = parsed.filter((F.col("title") != "") & (F.col("link") != ""))
+    # Ids rise within a block of a file.
+    placed = parsed.withColumn("position", F.row_number().over(Window.partitionBy("feed").orderBy("_block", "_id")) - 1).drop("_block", "_id")
+    filled = placed.filter((F.col("title") != "") & (F.col("link") != ""))
     if limit is not None:
-        filled = top_k(filled, ["feed"], [F.asc("position")], limit).select(parsed.columns)
+        filled = top_k(filled, ["feed"], [F.asc("position")], limit).drop("rank")
     return filled.select(
         "feed", "position", "title", F.when(F.col("summary") != "", F.col("summary")).otherwise(F.col("title")).alias("text"), "link", "published")
 

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,17 +64,74 @@ def test_salted_join_keeps_every_row(spark):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_bm25_without_broadcast_is_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices("alpha beta gamma delta the".split(), k=i % 9)), i % 2) for i in range(60)],
-                                 "doc_id long, text string, kind int")
-    queries = spark.createDataFrame([(1, "alpha delta"), (2, "gamma zeta"), (3, "")], "query_id long, query string")
-    results = []
-    for small in (True, False):
-        monkeypatch.setattr(lexical, "is_small", lambda *a, s=small: s)
-        plain = lexical.bm25_topk(lexical.match_terms(lexical.Corpus(docs), queries), 5)
-        split = lexical.bm25_topk(lexical.match_terms(lexical.Corpus(docs, within=("kind",)), queries), 5)
-        results.append((sorted(map(tuple, plain.collect())), sorted(map(tuple, split.collect()))))
-    assert results[0] == results[1] and {r[0] for r in results[0][0]} == {1, 2}
+def python_bm25(docs, queries, k, within=False, must=lambda d: True, asked=None):
+    """Every document of every query scored, then cut to k."""
+    out = {}
+    for part in sorted({d[2] for d in docs}) if within else [None]:
+        own = [(d, [w for w in d[1].split() if w not in ("the",)]) for d in docs if not within or d[2] == part]
+        mean = sum(len(w) for _, w in own) / len(own)
+        for q, text in queries:
+            scores = []
+            for d, words in own:
+                total = 0.0
+                for term in dict.fromkeys(w for w in text.split() if w != "the"):
+                    df, tf = sum(term in w for _, w in own), words.count(term)
+                    if tf:
+                        total += math.log(1 + (len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean))
+                if total > 0 and must(d) and (asked is None or asked.get(q) is None or set(asked[q]) & set(d[3] or [])):
+                    scores.append((-math.floor(total * 1e6 + 0.5) / 1e6, d[0]))
+            for rank, (score, doc) in enumerate(sorted(scores)[:k], 1):
+                out[(q, part, rank) if within else (q, rank)] = (doc, -score)
+    return out
+
+
+@pytest.mark.parametrize("block", [200_000, 2])
+def test_bm25_against_all_documents(spark, block):
+    chance = random.Random(4)
+    words = "alpha beta gamma delta the omega rare".split()
+    rows = [(i, " ".join(chance.choices(words, [9, 6, 5, 4, 9, 2, 0.3], k=i % 23)), i % 2, chance.choice([None, [], ["x"], ["y"], ["x", "z"]])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind int, tags array<string>").repartition(5)
+    asked = {1: ["x"], 2: None, 3: None, 4: ["y", "z"], 5: []}
+    queries = [(1, "alpha delta"), (2, "gamma zeta rare"), (3, ""), (4, "the omega omega alpha beta"), (5, "alpha")]
+    table = spark.createDataFrame([(q, t, asked[q]) for q, t in queries], "query_id long, query string, asked array<string>")
+
+    def found(**options):
+        corpus = {k: options.pop(k) for k in ("within", "must", "tags") if k in options}
+        matches = lexical.match_terms(lexical.Corpus(docs, **corpus), table, block=block, **options)
+        # Rows that leave a task: at most k per query and corpus value.
+        scored = lexical.scored_topk(matches, 5)
+        per_task = scored.groupBy(F.spark_partition_id(), "query_id", *corpus.get("within", ())).count().agg(F.max("count")).first()[0]
+        assert per_task <= 5
+        return lexical.bm25_topk(matches, 5).collect()
+
+    assert {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found()} == python_bm25(rows, queries, 5)
+    assert {(r["query_id"], r["kind"], r["rank"]): (r["doc_id"], r["score"]) for r in found(within=("kind",))} == python_bm25(rows, queries, 5, within=True)
+    got = {(r["query_id"], r["rank"]): (r["doc_id"], r["score"]) for r in found(must=F.col("kind") == 1, tags="tags", asked="asked")}
+    assert got == python_bm25(rows, queries, 5, must=lambda d: d[2] == 1, asked=asked)
+
+
+def test_bounds_skip_documents(spark, monkeypatch):
+    """With a k-th score at hand, documents with common words only are not scored, and the result is the same."""
+    rows = [(i, "rare rare rare" if i < 4 else "common common filler") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    queries = spark.createDataFrame([(1, "rare common")], "query_id long, query string")
+    touched = []
+    real = lexical.best_of
+    monkeypatch.setattr(lexical, "best_of", lambda scores, ids, k: touched.append(len(scores)) or real(scores, ids, k))
+    matches = lexical.match_terms(lexical.Corpus(docs), queries)
+    scorer = lexical._Scorer(matches.blocks[0], "query_id", (), 3, {}, False)
+    for part in matches.index.orderBy("doc_id").toArrow().to_batches(max_chunksize=50):
+        scorer.add(pa.Table.from_batches([part]), "doc_id")
+    assert scorer.held[1, ()][1].tolist() == [0, 1, 2] and len(touched) == 1  # later batches have no document that can reach it
+
+
+def test_the_filter_is_below_the_score(spark):
+    docs = spark.createDataFrame([(1, "alpha", "en", ["x"]), (2, "alpha", "de", ["x"])], "doc_id long, text string, lang string, tags array<string>")
+    queries = spark.createDataFrame([(1, "alpha", ["x"])], "query_id long, query string, asked array<string>")
+    found = lexical.match_terms(lexical.Corpus(docs, must=F.col("lang") == "en", tags="tags"), queries, asked="asked")
+    plan = lexical.bm25_topk(found, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Filter (may") and "arrays_overlap" in plan[plan.index("MapInArrow"):]
+    assert [r["doc_id"] for r in lexical.bm25_topk(found, 3).collect()] == [1]
 
 
 def test_ordered_across_slices(spark):

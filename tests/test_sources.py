@@ -2,7 +2,7 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from evidencia.operators import exclusivity, signals
 from evidencia.sources import corpora, readers, registry, store
@@ -54,7 +54,7 @@ def test_bulk_zip_adverse_events(spark, tmp_path):
     ] + [{"receivedate": "20240105"}]
     with zipfile.ZipFile(tmp_path / "part.zip", "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("part.json", json.dumps({"meta": {"note": "results follow"}, "results": reports}, indent=1))
-    raw = readers.read_bulk_zips(spark, str(tmp_path / "part.zip"), readers.ADVERSE_EVENT)
+    raw = readers.read_bulk_zips(spark, str(tmp_path / "part.zip"), readers.ADVERSE_EVENT).rows
     assert raw.count() == 2501
     records = corpora.adverse_event_records(raw)
     one = records.filter("report_id = '7'").first()
@@ -74,14 +74,30 @@ def zipped(path, *members):
 def test_bulk_zip_takes_the_outer_array_of_every_member(spark, tmp_path):
     nested = '{"meta": {"results": {"total": 1}, "terms": ["x", "y"], "more": {"results": [{"a": 9}]}}, "results": [{"a": 1}, {"a": 2}]}'
     path = zipped(tmp_path / "a.zip", nested, '{"results": [{"a": 3}]}', '{"results": [], "last": [1, 2]}')
-    assert sorted(r["a"] for r in readers.read_bulk_zips(spark, path, "a int").collect()) == [1, 2, 3]
+    assert sorted(r["a"] for r in readers.read_bulk_zips(spark, path, "a int").rows.collect()) == [1, 2, 3]
 
 
-@pytest.mark.parametrize("damaged", [
-    '{"results":[{"a":1},{"a":2},{', '{"results":[{"a":1},{"a"::2},{"a":3}]}', '{"results":[{"a":1}', '{"results":[{"a":1}]', '{"other":[]}', '[{"a":1}]', ""])
-def test_damaged_bulk_zip_is_refused(spark, tmp_path, damaged):
-    with pytest.raises(Exception, match="a.zip"):
-        readers.read_bulk_zips(spark, zipped(tmp_path / "a.zip", damaged), "a int").collect()
+@pytest.mark.parametrize("damaged, kept", [
+    ('{"results":[{"a":1},{"a":2},{', [1, 2]), ('{"results":[{"a":1},{"a"::2},{"a":3}]}', [1]), ('{"results":[{"a":1}', [1]), ('{"results":[{"a":1}]', [1]),
+    ('{"other":[]}', []), ('[{"a":1}]', []), ("", [])])
+def test_damaged_bulk_zip_is_rejected_from_there(spark, tmp_path, damaged, kept):
+    zipped(tmp_path / "a.zip", damaged)
+    zipped(tmp_path / "b.zip", '{"results": [{"a": 9}]}')
+    (tmp_path / "c.zip").write_bytes(b"no archive")
+    landed = readers.read_bulk_zips(spark, str(tmp_path), "a int")
+    assert sorted(r["a"] for r in landed.rows.collect()) == [*kept, 9]
+    rejects = {r["file"].rsplit("/", 1)[1]: (r["at"], bool(r["reason"])) for r in landed.rejects.collect()}
+    assert rejects == {"a.zip": (len(kept), True), "c.zip": (0, True)}
+
+
+def test_elements_of_another_shape_are_rejected(spark, tmp_path):
+    path = zipped(tmp_path / "a.zip", '{"results": [{"a": 1}, {"a": "x"}, 5, {"b": 1}, null, {"a": 2, "more": [1]}]}')
+    landed = readers.read_bulk_zips(spark, path, "a int")
+    assert sorted(r["a"] or 0 for r in landed.rows.collect()) == [0, 1, 2]  # an element without the field fits
+    rejects = {r["at"]: r["raw"] for r in landed.rejects.collect()}
+    assert rejects == {1: '{"a": "x"}', 2: "5", 4: "null"} and {r["reason"] for r in landed.rejects.collect()} == {"does not fit the schema"}
+    counters = Observation()
+    assert landed.observed(counters).count() == 3 and counters.get == {"read": 6, "kept": 3, "rejected": 3}
 
 
 def test_array_items_over_chunks(monkeypatch):
@@ -112,7 +128,7 @@ def test_delimited_exclusivity(spark, tmp_path):
               "ASPIRINA~CAFÉ~A~Á Corp~N~1~001~Jan 5, 2001\nX~GEN~B~B Corp~A~2~001~Jan 5, 2001\nY~SOLO~C~C Corp~N~3~001~Approved\n", "latin-1")
     q = write(tmp_path / "patent.txt", "Appl_No~Product_No~Patent_Expire_Date_Text\n1~001~Aug 24, 2026\n1~001~Aug 24, 2030\n1~001~junk\n")
     e = write(tmp_path / "exclusivity.txt", "Appl_No~Product_No~Exclusivity_Date\n1~001~01/02/2031\n")
-    tables = readers.exclusivity_tables(*[readers.read_delimited(spark, x) for x in (p, q, e)])
+    tables = readers.exclusivity_tables(*[readers.read_delimited(spark, x).rows for x in (p, q, e)])
     rows = {r["appl_no"]: r for r in exclusivity.loe_estimate(*tables, ["appl_no", "product_no"]).collect()}
     assert set(rows) == {"1", "3"}
     assert rows["1"]["trade_name"] == "CAFÉ" and str(rows["1"]["patent_expiry"]) == "2030-08-24"
@@ -120,12 +136,19 @@ def test_delimited_exclusivity(spark, tmp_path):
     assert rows["3"]["loe_estimate"] is None and rows["3"]["approval_date"] is None
 
 
+def test_delimited_lines_of_another_width_are_rejected(spark, tmp_path):
+    landed = readers.read_delimited(spark, write(tmp_path / "t.txt", "A~B~C\n1~2~3\n4~5\n6~7~8~9\n~~\n"))
+    assert sorted(tuple(r) for r in landed.rows.filter("A is not null").collect()) == [("1", "2", "3")] and landed.rows.count() == 2
+    assert sorted(r["raw"] for r in landed.rejects.collect()) == ["4~5", "6~7~8~9"]
+
+
 def test_monthly_csv(spark, tmp_path):
     head = 'Report,,\n"made, for test"\n\nN/R/U,BLA Number,Applicant,Proper Name,Proprietary Name,Approval Date,Exclusivity Expiration Date,Ref. Product Exclusivity Exp. Date,Orphan Exclusivity Exp. Date\n'
     write(tmp_path / "PurpleBook-april-2024.csv", "﻿" + head + 'N,100,"A, Inc",oldmab,Old,01/02/2020,,01/02/2032,\nN,,x,y,z,,,,\n')
     write(tmp_path / "PurpleBook-february-2025.csv", head + 'N,100,"A, Inc",newmab,New,01/02/2020,01/02/2030,,01/05/2033\nN,200,B,solo,Solo,,,,\n')
-    rows = readers.read_monthly_csv(spark, str(tmp_path))
-    assert rows.count() == 3
+    landed = readers.read_monthly_csv(spark, str(tmp_path))
+    rows = landed.rows
+    assert rows.count() == 3 and [r["reason"] for r in landed.rejects.collect()] == ["no number or proper name"]
     latest = {r["appl_no"]: r for r in exclusivity.latest_release(rows, ["appl_no"], ["month", "file"]).collect()}
     assert latest["100"]["ingredient"] == "newmab" and latest["100"]["applicant"] == "A, Inc"
     assert str(latest["100"]["loe_estimate"]) == "2033-01-05" and latest["200"]["loe_estimate"] is None
@@ -134,10 +157,22 @@ def test_monthly_csv(spark, tmp_path):
 def test_wide_monthly_csv(spark, tmp_path):
     fill = ",".join(f"c{i}" for i in range(90))
     write(tmp_path / "PurpleBook-may-2024.csv", f'N/R/U,{fill},BLA Number,Proper Name\nN,{"," * 89},7,"a ""b"", c"\n')
-    r = readers.read_monthly_csv(spark, str(tmp_path)).first()
+    r = readers.read_monthly_csv(spark, str(tmp_path)).rows.first()
     assert (r["appl_no"], r["ingredient"], r["applicant"]) == ("7", 'a "b", c', None)
 
 
+def test_monthly_csv_loses_nothing(spark, tmp_path):
+    head = "N/R/U,BLA Number,Applicant,Proper Name\n"
+    write(tmp_path / "PurpleBook-may-2024.csv", "Note\n" + head + 'N,1,"two\nlines, one cell","a ""b"""\n,,,\nN,2,x\nN,,x,y\n' + "N,3," + "," * 20 + "z\n")
+    write(tmp_path / "PurpleBook-june-2024.csv", "Type,BLA Number,Proper Name\nN,4,lost\n")
+    write(tmp_path / "PurpleBook-july-2024.csv", "N/R/U,Number,Proper Name\nN,5,five\nN,6,six\n")
+    landed = readers.read_monthly_csv(spark, str(tmp_path), most_cells=16)
+    assert [(r["appl_no"], r["applicant"], r["ingredient"]) for r in landed.rows.collect()] == [("1", "two\nlines, one cell", 'a "b"')]
+    found = sorted((r["file"].rsplit("-", 2)[1], r["reason"]) for r in landed.rejects.collect())
+    assert found == [("july", "no column BLA Number")] * 2 + [("june", "no N/R/U header line"), ("may", "more than 16 cells")] + [("may", "no number or proper name")] * 2
+    counters = Observation()
+    assert landed.observed(counters).count() == 1 and counters.get == {"read": 7, "kept": 1, "rejected": 6}
+
 def test_articles(spark, tmp_path):
     body = lambda i, pid, extra: f"<article xmlns:xlink='u'><front><article-meta>{pid}<title-group><article-title>On <italic>x</italic>{i}</article-title></title-group>{extra}</article-meta></front></article>\n"
     text = "<?xml version='1.0'?><pmc-articleset>" + body(1, "<article-id pub-id-type='pmc'>77</article-id>", "<abstract><p>A <b>bold</b>\n claim</p></abstract>") \
@@ -156,7 +191,14 @@ def test_feeds_filings_and_transcripts(spark, tmp_path):
     feeds = readers.read_feeds(spark, write(tmp_path / "wire.xml", f"<rss><channel>{items}</channel></rss>"), limit=5)
     rows = feeds.orderBy("position").collect()
     assert [r["title"] for r in rows] == ["T0", "T1", "T2", "T3", "Last"] and rows[0]["text"] == "Hello 0" and rows[-1]["text"] == "Last"
-    assert rows[0]["feed"] == "wire"
+    assert rows[0]["feed"] == "wire" and [r["position"] for r in rows] == [0, 1, 2, 3, 5]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    many = "".join(f"<item><title>N{i}</title><link>l{i}</link><description>{'x' * 100}</description></item>\n" for i in range(300))
+    large = readers.read_feeds(spark, write(tmp_path / "large" / "b.xml", f"<rss><channel>{many}</channel></rss>"))
+    source = spark.read.text(str(tmp_path / "large"), lineSep="</item>")
+    assert source.rdd.getNumPartitions() > 5 and [r["title"] for r in large.orderBy("position").collect()] == [f"N{i}" for i in range(300)]
+    assert {r["feed"]: r["count"] for r in readers.read_feeds(spark, str(tmp_path / "*.xml")).groupBy("feed").count().collect()} == {"all": 5, "wire": 5}
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
     filing = "COMPANY CONFORMED NAME:\t\tACME INC\nFILED AS OF DATE:\t\t20240105\n" + "a" * 5000 + " our PIPELINE is full " + "b" * 5000
     write(tmp_path / "f" / "0000078003-24-000012" / "full.txt", filing)
     write(tmp_path / "f" / "0000078003-24-000013" / "full.txt", "a" * 5000 + "</SEC-HEADER> FILED AS OF DATE: 20240105")
@@ -183,17 +225,18 @@ def test_letters(spark):
 
 
 def test_store(spark, tmp_path):
-    t = store.VersionedTable(spark, str(tmp_path / "t"))
+    t = store.KeyedTable(spark, str(tmp_path / "t"), ["id"], 4)
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id int, v string, version int")
     delta = spark.createDataFrame([(2, "c", 2), (3, "d", 1)], "id int, v string, version int")
-    t.replace(base)
-    t.upsert(delta, ["id"], "version")
+    t.create(base)
+    t.upsert(delta, "version")
     once = sorted(map(tuple, t.read().collect()))
-    t.upsert(delta, ["id"], "version")
+    t.upsert(delta, "version")
     assert sorted(map(tuple, t.read().collect())) == once == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
-    assert t.rebuild(t.read().withColumn("n", F.length("v")), "wide").count() == 3
+    assert store.rebuilt(t.read(), t.read().withColumn("n", F.length("v")), str(tmp_path / "wide"), "wide").count() == 3
+    assert spark.table("wide").columns == ["id", "v", "version", "n"]
     with pytest.raises(store.CutoverRefused):
-        t.rebuild(t.read().filter("id > 1"), "short")
+        store.rebuilt(t.read(), t.read().filter("id > 1"), str(tmp_path / "short"), "short")
     report = store.archive(base, str(tmp_path / "copy"), ["v"]).first()
     assert report["matches"] and report["n_rows"] == 2
     assert not store.archive_report(base, delta, ["v"]).first()["matches"]
