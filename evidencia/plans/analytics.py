@@ -288,10 +288,11 @@ near as (select d.doc, d.s, d.pos, d.hit as raw, m.name, case when m.stop <= d.p
 evt as (select * from near qualify row_number() over (partition by doc, s, pos order by distance, front desc, case when front then -m_pos else m_pos end, stop, case when front then name end desc, name) = 1)"""
 
 
-@query(f"with {TEXT_EVENTS} select doc as o_custkey, (s + pos)::int as "at", raw, name as drug, distance::int as distance from evt")
+@query(f"with {TEXT_EVENTS} select doc as o_custkey, (s + pos)::int as place, raw, name as drug, distance::int as distance from evt")
 def text_events(t: Tables) -> DataFrame:
     """Date phrases near a keyword, each with the drug mentioned nearest."""
-    return timeline.text_events(news(t), "o_custkey", "text", t.part.select("p_name"), "p_name", [READOUT], READOUT_WINDOW)
+    return timeline.text_events(news(t), "o_custkey", "text", t.part.select("p_name"), "p_name", [READOUT], READOUT_WINDOW).withColumnRenamed(
+        "at", "place")
 
 
 @query(f"""with {TEXT_EVENTS},
