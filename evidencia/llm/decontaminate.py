@@ -143,40 +143,55 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(docs, benchmark, ["doc_id"])
 
 
-def _pattern(words: str, at: str, places: list[int]) -> str:
-    return " || ' ' || ".join(f"{words}[{at} + {k}]" for k in places)
+def _pattern(at: str, places: list[int]) -> str:
+    return " || ' ' || ".join(f"words[{at} + {k}]" for k in places)
 
 
 def _seeds(source: str, key: str) -> str:
-    """SQL rows of seeds, as text instead of hashes."""
-    parts = [f"select {key}, pos, '{m} ' || {_pattern('words', 'pos', [k for k, c in enumerate(mask) if c == '1'])} as seed"
-             f" from {source}_places where pos + {SPAN - 1} <= len(words)" for m, mask in enumerate(MASKS)]
-    if source == "item":  # items shorter than the masks, whole
-        parts = [f"{p} and len(words) >= {SPAN}" for p in parts]
-        parts += [f"select {key}, pos, 'w{n} ' || {_pattern('words', 'pos', list(range(n)))} from {source}_places"
-                  f" where pos = 1 and len(words) = {n}" for n in range(MIN_WORDS, SPAN)]
-    else:
-        parts += [f"select {key}, pos, 'w{n} ' || {_pattern('words', 'pos', list(range(n)))} from {source}_places"
-                  f" where pos + {n - 1} <= len(words) and {n} in (select len(words) from items)" for n in range(MIN_WORDS, SPAN)]
+    """SQL rows of seeds, as text instead of hashes: masks and runs of long items, items shorter than the masks whole."""
+    patterns = [(f"m{m}", [k for k, c in enumerate(mask) if c == "1"], SPAN) for m, mask in enumerate(MASKS + SPACED)]
+    patterns.append(("run", list(range(RUN_WORDS)), RUN_WORDS))
+    long = f" and len(words) >= {SPAN}" if source == "item" else ""
+    parts = [f"select {key}, pos, '{name} ' || {_pattern('pos', places)} as seed from {source}_places where pos + {span - 1} <= len(words){long}"
+             for name, places, span in patterns]
+    for n in range(MIN_WORDS, SPAN):
+        where = f"pos = 1 and len(words) = {n}" if source == "item" else f"pos + {n - 1} <= len(words) and {n} in (select len(words) from items)"
+        parts.append(f"select {key}, pos, 'w{n} ' || {_pattern('pos', list(range(n)))} from {source}_places where {where}")
     return " union all ".join(parts)
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
 
+
+def _enough(n: str) -> str:
+    return f"({n} >= item_words * {MIN_SHARE} and {n} >= least(item_words, {MIN_AGREE}))"
+
+
 ORACLE_SQL = f"""
-with docs as (select doc_id, {_WORDS} as words from documents),
-items as (select item_id, {_WORDS} as words from benchmark),
-doc_places as (select doc_id, words, unnest(range(1, len(words) + 1)) as pos from docs),
-item_places as (select item_id, words, unnest(range(1, len(words) + 1)) as pos from items where len(words) >= {MIN_WORDS}),
-doc_seeds as ({_seeds('doc', 'doc_id')}),
-item_seeds as ({_seeds('item', 'item_id')}),
-hits as (select distinct doc_id, item_id, doc_seeds.pos - item_seeds.pos as start, item_seeds.pos as item_pos from doc_seeds join item_seeds using (seed)),
-laid as (
-  select doc_id, item_id, start, item_words, count(distinct place) as matched from (
-    select doc_id, item_id, start, len(items.words) as item_words, unnest(list_filter(
-      range(item_pos, item_pos + least({SPAN}, len(items.words))),
-      lambda k: start + k >= 1 and items.words[k] = docs.words[start + k])) as place
-    from hits join docs using (doc_id) join items using (item_id)) x group by all)
-select doc_id, item_id, item_words::integer as item_words, matched::integer as matched, start::integer as start from (
-  select *, row_number() over (partition by doc_id, item_id order by matched desc, start, item_words desc) as place
-  from laid where matched >= item_words * {MIN_SHARE}) x where place = 1"""
+with docs as (select row_number() over () as row, doc_id, {_WORDS} as words from (select distinct doc_id, coalesce(text, '') as text from documents)),
+items as (select row_number() over () as item, * from (select distinct item_id, {_WORDS} as words from benchmark) where len(words) >= {MIN_WORDS}),
+doc_places as (select row, words, unnest(range(1, len(words) + 1)) as pos from docs),
+item_places as (select item, words, unnest(range(1, len(words) + 1)) as pos from items),
+doc_seeds as ({_seeds('doc', 'row')}),
+item_seeds as ({_seeds('item', 'item')}),
+hits as (select distinct row, item, doc_seeds.pos - item_seeds.pos as start, item_seeds.pos as item_pos from doc_seeds join item_seeds using (seed)),
+agree as (
+  select distinct row, item_id, item_words, start, place from (
+    select row, item_id, start, len(items.words) as item_words, unnest(list_transform(list_filter(
+      range(item_pos, item_pos + least({SPAN}, len(items.words) - item_pos + 1)),
+      lambda k: start + k >= 1 and items.words[k] = docs.words[start + k]), lambda k: k - 1)) as place
+    from hits join docs using (row) join items using (item)) x),
+laid as (select row, item_id, item_words, start, count(*) as matched, min(place) as first from agree group by all),
+judged as (select *, {_enough('matched')} as whole from laid),
+gaps as (select *, case when place - lag(place) over w <= {RUN_GAP} then 0 else 1 end as opens from agree window w as (partition by row, item_id, item_words, start order by place)),
+isles as (select *, sum(opens) over (partition by row, item_id, item_words, start order by place) as isle from gaps),
+runs as (select row, item_id, item_words, start, max(n) as run from (select row, item_id, item_words, start, isle, count(*) as n from isles group by all) group by all),
+found as (select row, item_id, item_words, whole, matched, start from judged join runs using (row, item_id, item_words, start) where whole or run >= {MIN_RUN}),
+spans as (select row, item_id, item_words, start, unnest([s - 1, s]) as span from (
+  select *, floor((start + first)::double / (2 * item_words)) as s from judged where not whole)),
+summed as (select row, item_id, item_words, span, count(distinct place) as n, min(start) as start
+  from spans join agree using (row, item_id, item_words, start) group by row, item_id, item_words, span),
+every as (select * from found union all select row, item_id, item_words, false, n, start from summed where {_enough('n')})
+select doc_id, item_id, item_words::integer as item_words, matched::integer as matched, start::integer as start
+from (select * from every join docs using (row)) x
+qualify row_number() over (partition by doc_id, item_id order by whole desc, matched desc, start, item_words desc) = 1"""

@@ -11,7 +11,8 @@ gets numbered overflow pages of as many documents as surely fit. A single docume
 has a shard or page for itself.
 
 Null and empty texts have 0 bytes; null ids hash like an empty id; repeated rows get the same prefix; an
-empty table gives an empty result. Other columns of the input are not looked at.
+empty table gives an empty result. Other columns of the input are not looked at; `write_shards` writes them with their
+row. Rows equal in id are told apart by their place in the table.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from evidencia.sources.store import written
 
 BITS = 48
 LIMIT_BYTES = 16 << 20
+QUERY_LIMIT = 256 << 10  # of the registered query: small enough that every table of documents splits
 SLACK_BITS = 4  # levels below the average depth that are summed at once
 STEP_BITS = 8  # levels added where that was not deep enough
 
@@ -76,9 +78,11 @@ def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
         low, high = high + 1, min(BITS, high + STEP_BITS)
 
 
-def sharded(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """docs {doc_id, text} -> {doc_id, n_bytes, depth, shard (its bits), page, shard_bytes (all pages)}"""
-    rows = written(docs.select("doc_id", hash_bits(F.col("doc_id")).alias("bits"), F.coalesce(
+def sharded(docs: DataFrame, limit: int = LIMIT_BYTES, keep: bool = False) -> DataFrame:
+    """docs {doc_id, text, ...} -> {doc_id, n_bytes, depth, shard (its bits), page, shard_bytes (all pages)}; with `keep` also
+    `doc`, the whole row, which then moves with them."""
+    whole_row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if keep else []
+    rows = written(docs.select("doc_id", *whole_row, hash_bits(F.col("doc_id")).alias("bits"), F.coalesce(
         F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes")), "hashed")
     placed, pending = None, rows
     shards = directory(rows, limit)
@@ -93,7 +97,15 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     if any(facts.filter(crowded).take(1) for _, facts in shards):
         whole = whole.unionByName(overflow(placed.filter(crowded), limit))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(bin(shiftright(bits, {BITS} - depth)), depth, '0')"))
-    return whole.select("doc_id", "n_bytes", "depth", bits.alias("shard"), "page", F.col("bytes").alias("shard_bytes"))
+    return whole.select("doc_id", "n_bytes", "depth", bits.alias("shard"), "page", F.col("bytes").alias("shard_bytes"),
+                        *(["doc"] if keep else []))
+
+
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT_BYTES) -> None:
+    """Every row of docs {doc_id, text, ...}, as column `doc`, below `path` in the folder shard=<bits>/page=<n> that `sharded` gives it; the
+    shard of a table that never splits is `all`. Rows of a page meet in one task, which holds at most the limit or one text."""
+    placed = sharded(docs, limit, keep=True).withColumn("shard", F.when(F.col("shard") == "", "all").otherwise(F.concat(F.lit("b"), "shard")))
+    placed.select("doc", "shard", "page").repartition("shard", "page").write.partitionBy("shard", "page").parquet(path)
 
 
 def overflow(rows: DataFrame, limit: int) -> DataFrame:
@@ -108,7 +120,7 @@ def overflow(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return sharded(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_LIMIT)
 
 
 ORACLE_SQL = f"""
@@ -121,6 +133,6 @@ nodes as (
   from rows, (select unnest(range(0, {BITS + 1})) as depth) d group by all),
 placed as (
   select doc_id, n_bytes, bits, min(depth) as depth, max_by(bytes, -depth) as bytes
-  from rows join nodes on node = bits >> ({BITS} - depth) where bytes <= {LIMIT_BYTES} or same group by doc_id, n_bytes, bits)
+  from rows join nodes on node = bits >> ({BITS} - depth) where bytes <= {QUERY_LIMIT} or same group by doc_id, n_bytes, bits)
 select doc_id, n_bytes, depth::integer as depth, case when depth = 0 then '' else lpad(bin(bits >> ({BITS} - depth)), depth::integer, '0') end as shard,
   0::bigint as page, bytes::bigint as shard_bytes from placed"""

@@ -1,6 +1,7 @@
 """Quality rules, URL rules, shards and decontamination against plain Python, and in awkward cases."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -130,6 +131,40 @@ def test_excerpts_insertions_and_spaced_replacements(spark):
         assert matched or got[name][1] >= 0.9 * sum(w in a for w in text) - 5, name
 
 
+def test_decontamination_equals_its_sql(spark):
+    """Random texts with excerpts, words put in, taken out and replaced, items of all lengths, repeated ids and rows."""
+    import duckdb
+    import pandas as pd
+    chance = random.Random(21)
+    words = [f"v{k}" for k in range(60)]
+    items = [[chance.choice(words) for _ in range(n)] for n in (4, 5, 6, 7, 9, 10, 11, 15, 23, 40, 59)]
+    rows = [(1, None), (2, ""), (None, " ".join(items[5]))]
+    for k in range(220):
+        text = list(chance.choice(items))
+        kind = chance.randrange(5)
+        if kind == 0:
+            at = chance.randrange(len(text))
+            text = text[at:at + chance.randint(5, 40)]
+        for _ in range(chance.randint(0, 4) if kind == 1 else 0):
+            text.insert(chance.randrange(len(text) + 1), "new")
+        if kind == 2:
+            step, r = chance.randint(2, 9), chance.randint(0, 3)
+            text = ["other" if j % step == r else w for j, w in enumerate(text)]
+        if kind == 3 and len(text) > 12:
+            cut = chance.randint(6, len(text) - 6)
+            text = text[cut:] + ["x"] * chance.randint(0, 8) + text[:cut]
+        around = [chance.choice(words + ["n1", "n2", "n3"]) for _ in range(chance.randint(0, 60))]
+        rows.append((chance.randrange(180), " ".join(around[:20] + text + around[20:])))
+    rows += rows[:9]
+    bench = [(k, " ".join(item)) for k, item in enumerate(items)] + [(99, None), (3, " ".join(items[3]))]
+    got = decontaminate.leaks(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame(bench, "item_id int, text string"), ["doc_id"])
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int32"}))
+    con.register("benchmark", pd.DataFrame(bench, columns=["item_id", "text"]))
+    want = con.execute(decontaminate.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, got.select("doc_id", "item_id", "item_words", "matched", "start").collect()), key=str) == sorted(want, key=str) and len(want) > 120
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, small, documents, monkeypatch):
     bench = spark.read.parquet(f"{small}/benchmark.parquet")
     whole = decontaminate.leaks(documents, bench, ["doc_id"]).collect()
@@ -148,3 +183,23 @@ def test_ranks_and_hot_joins(spark, monkeypatch):
     facts = rows.groupBy("k").agg(F.count("*").alias("copies"), F.max("v").alias("top"))
     joined = keyed.join_by_key(rows, facts, "k", "copies").collect()
     assert len(joined) == 120 and all(r.top == max([x.v for x in joined if x.k == r.k and x.v is not None], default=None) for r in joined)
+
+
+def test_shards_are_written_whole(spark, documents, tmp_path):
+    from evidencia.sources.store import scratch_path
+    extra = spark.createDataFrame([(77, "same id " * 40, "en", "x", 1)] * 30 + [(None, None, None, None, None), (78, "y" * 9000, "en", "x", 1)], documents.schema)
+    docs = documents.unionByName(extra).withColumns({"shard": F.lit("own"), "page": F.lit(-1)}).repartition(3)
+    path, limit = scratch_path(spark, "shards"), 4_000
+    sharding.write_shards(docs, path, limit)
+    back = spark.read.parquet(path)
+    key = lambda rows: collections.Counter(tuple(r) for r in rows)
+    assert key(back.select("doc.*").collect()) == key(docs.collect())
+    sizes = back.groupBy("shard", "page").agg(F.sum(F.coalesce(F.octet_length("doc.text"), F.lit(0))).alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(sizes) > 50 and all(r.bytes <= limit or r.n == 1 for r in sizes) and max(r.page for r in sizes) > 0
+    assert sharding.query(spark, "/root/testdata/sf0.001").select("shard").distinct().count() > 1
+
+
+def test_a_filter_on_the_verdict_copies_no_expression(spark, documents):
+    """The words of a text are split once, however often the rules speak of them."""
+    plan = quality.accepted(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("split(") <= 2

@@ -110,6 +110,24 @@ def test_either_side_of_the_boundary_finds_all_links(spark, monkeypatch, small):
     assert collections.Counter(map(tuple, got)) == collections.Counter(python_groups(rows))
 
 
+@pytest.mark.parametrize("with_base", [True, False])
+def test_groups_of_near_copies_cost_few_comparisons(spark, monkeypatch, with_base):
+    """Copies of one text with two words changed each: they link with it and hardly with each other."""
+    chance = random.Random(9)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(0, " ".join(base))] if with_base else []
+    for k in range(1, 160):
+        text = list(base)
+        for _ in range(2):
+            text[chance.randrange(150)] = f"x{chance.random()}"
+        rows.append((k, " ".join(text)))
+    compared, real = [], similar.compared
+    monkeypatch.setattr(similar, "compared", lambda pairs, texts: compared.append(pairs.count()) or real(pairs, texts))
+    got = similar.grouped(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select("doc_id", "n_shingles", "component_id").collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(python_groups(rows))
+    assert sum(compared) < (6 if with_base else 20) * len(rows)
+
+
 def test_one_of_each_group_stays(spark, awkward, empty):
     kept = similar.deduplicated(awkward)
     assert kept.columns == awkward.columns
