@@ -231,13 +231,14 @@ def read_monthly_csv(spark: SparkSession, path: str, most_cells: int = 512) -> L
     rows without number or proper name, rows of more than `most_cells` cells, files without a header line and files whose header
     lacks a needed column. Blank lines and what stands above the header are no rows.
     """
-    names = [f"c{k}" for k in range(most_cells + 1)]
+    names = [f"c{k}" for k in range(most_cells)]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
     raw = spark.read.schema(schema).csv(path, header=False, multiLine=True, quote='"', escape='"', columnNameOfCorruptRecord="_corrupt",
-                                        nullValue="\0", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+                                        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     cells = F.transform(F.array(*names), lambda c: F.trim(F.regexp_replace(c, "^\ufeff|[\r]$", "")))
-    # One task reads a file from top to bottom, so ids rise with its rows; short rows are no fault, cells left out are null.
-    too_many = F.col(names[-1]).isNotNull()
+    # One task reads a file from top to bottom, so ids rise with its rows. The parser keeps the text of rows of another width: short
+    # ones are no fault, cells left out are null; of the others the cells are counted, quoted ones without what is in them.
+    too_many = F.coalesce(F.regexp_count(F.regexp_replace("_corrupt", r'"(?:[^"]|"")*"', ""), F.lit(",")) >= most_cells, F.lit(False))
     lines = written(raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"),
                                too_many.alias("too_many")), "monthly")
     is_header = F.upper(F.get("cells", F.lit(0))) == "N/R/U"
