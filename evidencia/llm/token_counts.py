@@ -39,8 +39,8 @@ def stored(spark: SparkSession, cache_path: str, tokenizer: str) -> DataFrame:
 
 
 def encoded(texts: DataFrame, blob: bytes, version: str) -> DataFrame:
-    """texts {digest, text} -> {digest, n_tokens}, once for rows of a task with the same digest: repeated rows of one id
-    come to one task."""
+    """texts {digest, text} -> {digest, n_tokens}, once for rows of a task with the same digest: repeated rows of one id and
+    text come to one task."""
     ship_package(texts.sparkSession)
     model = texts.sparkSession.sparkContext.broadcast(blob)
 
@@ -64,8 +64,10 @@ def counted(docs: DataFrame, model_path: str, cache_path: str, limit: int = LIMI
                                  F.octet_length("text").cast("bigint").alias("n_bytes")), "digests")
     contents = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"))
     misses = contents.join(stored(spark, cache_path, version), "digest", "left_anti").select("digest", "first_id")
-    fresh = texts.join(misses.hint("shuffle_hash"), texts["doc_id"].eqNullSafe(misses["first_id"])).filter(
-        content_digest(F.col("text")) == F.col("digest")).select("digest", "text")
+    # By digest and id, so that rows of one id, or copies of one text, are spread over tasks.
+    named = texts.withColumn("digest", content_digest(F.col("text")))
+    fresh = named.join(misses.hint("shuffle_hash"), (named["digest"] == misses["digest"]) & named["doc_id"].eqNullSafe(
+        misses["first_id"])).select(named["digest"], "text")
     encoded(fresh, blob, version).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     facts = contents.drop("first_id").join(stored(spark, cache_path, version), "digest")
     return join_by_key(keyed, facts, "digest", "copies").select(
