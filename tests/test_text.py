@@ -7,7 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from evidencia.functions import codes, dates, ids, markup, segments
+from evidencia.functions import tables, codes, dates, ids, markup, segments
 from evidencia.operators import matching
 
 
@@ -88,6 +88,22 @@ def test_markdown_tables_stay_whole(spark):
     assert segments.table_audit(cut, "i", "tables", "c").filter("i = 3").first()["tables_split"] == 1
 
 
+def test_the_table_function_equals_the_column(spark):
+    chance = random.Random(8)
+    words = ["word", "| a | b |\n", "\n", "\n\n", "```\n", " ", "longer" * 9, "x" * 45, "\r\n", "  | c |\n", ". "]
+    texts = ["", None, "x" * 200, TABLE] + ["".join(chance.choices(words, k=chance.randint(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    tables.register(spark)
+    got = {}
+    for r in spark.sql("SELECT d.i, c.* FROM {df} d, LATERAL markdown_chunks(d.t, 40, 12) c", df=df).collect():
+        got.setdefault(r["i"], []).append((r["chunk_index"], r["chunk_count"], r["chunk"]))
+    column = df.withColumn("c", segments.markdown_chunks(segments.markdown_blocks(F.coalesce("t", F.lit(""))), 40, 12)).collect()
+    for r in column:
+        rows = sorted(got.get(r["i"], []))
+        assert [c for _, _, c in rows] == r["c"] and [n for n, _, _ in rows] == list(range(len(rows))), texts[r["i"]]
+        assert {m for _, m, _ in rows} <= {len(rows)}
+
+
 def test_keyword_windows(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice(["alpha ", "Be.ta ", "gam", "é"]) for _ in range(n)) for n in (0, 1, 10, 200)]
