@@ -354,7 +354,7 @@ def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
     drawn = members.join(sketches.select("node", "sketch"), "node")
     inside = drawn.select("key", share(0, "copies").alias("share"), every("outside").alias("slice"), *values)
     outside = drawn.filter(F.col("label") != F.col("main")).select(
-        F.col("key").alias("okey"), every("copies").alias("oshare"), share(1, "outside").alias("oslice"), *values)
+        F.col("key").alias("okey"), every("copies").alias("oshare"), share(1, "outside").alias("oslice"), *[F.col(v).alias(f"o_{v}") for v in values])
     ship_package(members.sparkSession)
     met = inside.groupBy("key", "share", "slice").cogroup(outside.groupBy("okey", "oshare", "oslice")).applyInArrow(
         met_sketches, "a bigint, b bigint")
@@ -363,14 +363,14 @@ def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def met_sketches(left: pa.Table, right: pa.Table) -> pa.Table:
     """The pairs of a share that may link: right entries one after the other against all of the left."""
-    def numbers(rows: pa.Table):
-        return (*(rows.column(c).to_numpy() for c in ("node", "n", "rest", "label", "near")),
-                np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16))
+    def numbers(rows: pa.Table, prefix: str):
+        return (*(rows.column(prefix + c).to_numpy() for c in ("node", "n", "rest", "label", "near")),
+                np.frombuffer(b"".join(rows.column(f"{prefix}sketch").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16))
 
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if left.num_rows and right.num_rows:
-        node, n, rest, label, near, drawn = numbers(left)
-        for other, m, left_over, its, close, sketch in zip(*numbers(right)):
+        node, n, rest, label, near, drawn = numbers(left, "")
+        for other, m, left_over, its, close, sketch in zip(*numbers(right, "o_")):
             may = (label != its) & (near | close) & (np.minimum(rest, left_over) * 7 >= (n + m) * 3)
             some = np.flatnonzero(may)
             total = n[some] + m
