@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evidencia.llm.parts import ByteLevel, Pieces, cut, gathered, run_of, runs, slices
+from evidencia.llm.parts import PartIds, Pieces, cut, gathered, run_of, runs, slices
 from evidencia.llm.tokenizing import file_digest, loaded
 from evidencia.session import ship_package, table
 from evidencia.sources.store import written
@@ -38,7 +38,7 @@ from evidencia.sources.store import written
 PAIR_BITS = 32  # a pair is its first id above its second
 WIDE = 4_096  # links of a group from which equal pairs in it are added up at once
 ENTRIES = 2_000_000  # (document, pair) entries sorted at a time
-REMEMBERED = 300_000  # parts kept in memory
+REMEMBERED = 400_000  # parts kept in memory
 
 
 def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -66,58 +66,61 @@ def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return ends_a, ends_b
 
 
-class Part:
-    """Ids of both tokenizers and tokens of either in each group, as 32-bit numbers; `spelled` if both spell the part."""
-
-    __slots__ = ("a", "b", "in_a", "in_b", "spelled")
-
-    def __init__(self, a: bytes = b"", b: bytes = b"", in_a: bytes = b"", in_b: bytes = b"", spelled: bool = False):
-        self.a, self.b, self.in_a, self.in_b, self.spelled = a, b, in_a, in_b, spelled
-
-
 class Aligner:
+    """What is known of parts: ids of both tokenizers, tokens of either in each group, and whether both spell the part. Parts are
+    numbered; the numbers of one kind stand one part after the other in one array."""
+
     def __init__(self, blobs: tuple[bytes, bytes]):
-        self.first, self.second = ByteLevel(blobs[0], plain=True), Pieces(blobs[1])
+        self.words, self.second = PartIds(blobs[0], plain=True, remembered=REMEMBERED // 4), Pieces(blobs[1])
+        self.first = self.words.encoder
         self.apart = self.first.apart and self.second.apart
-        self.known: dict[str, Part] = {}
-
-    def _keep(self, parts: list[str], a: np.ndarray, many_a: np.ndarray, b: np.ndarray, many_b: np.ndarray) -> None:
-        """Parts that follow each other, their ids and how many ids each has."""
-        ends = aligned(np.cumsum(self.first.lengths[a]).tolist(), np.cumsum(self.second.lengths[b]).tolist())
-        ends_a, ends_b = (np.array(e, np.int64) for e in ends)
-        stop_a, stop_b = np.cumsum(many_a), np.cumsum(many_b)
-        groups = np.searchsorted(ends_a, stop_a, side="right") * 4
-        flat = [x.astype(np.uint32).tobytes() for x in (a, b, np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0))]
-        stops = [(stop_a * 4).tolist(), (stop_b * 4).tolist(), groups.tolist(), groups.tolist()]
-        begins = [[0, *s[:-1]] for s in stops]
-        for k, part in enumerate(parts):
-            self.known[part] = Part(*(f[x[k]:y[k]] for f, x, y in zip(flat, begins, stops)), True)
-
-    def learn(self, parts: list[str]) -> list[Part]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        single = []
-        for places, together in runs(parts, [k for k, p in enumerate(parts) if p not in known]):
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.a = self.b = self.in_a = self.in_b = self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int64)
+        self.spelled = np.zeros(0, bool)
+
+    def _second(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(the parts in the order in which they were encoded, their ids, how many each has, which are spelled)."""
+        order, flat, many, single = [], [], [], []
+        for places, together in runs(parts, range(len(parts))):
             some = [parts[k] for k in places]
-            text = "".join(some)
-            a = run_of(self.first, some, text) if together and self.apart else None
-            b = run_of(self.second, some, text) if a else None
-            if b:
-                self._keep(some, *a, *b)
+            found = run_of(self.second, some, "".join(some)) if together and self.apart else None
+            if found:
+                order += some
+                flat.append(found[0]), many.append(found[1])
             else:
                 single += some
+        fits = [True] * len(order)
         for part in single:
-            if not part:
-                known[part] = Part(spelled=True)
-                continue
-            a = self.first.encode([part])[0]
-            b = self.second.after(part) if self.apart else self.second.encode([part])[0]
-            if self.first.fits(a, part.encode()) and self.second.fits(b, part.encode()):
-                self._keep([part], a, np.array([len(a)]), b, np.array([len(b)]))
-            else:
-                known[part] = Part()
-        return [known[p] for p in parts]
+            ids = self.second.after(part) if part and self.apart else self.second.encode([part])[0]
+            fits.append(self.second.fits(ids, part.encode()))
+            flat.append(ids), many.append(np.array([len(ids)]))
+        none = [np.zeros(0, np.int64)]
+        return order + single, np.concatenate(flat + none).astype(np.int64), np.concatenate(many + none), np.array(fits, bool)
+
+    def learn(self, parts: list[str]) -> np.ndarray:
+        """The number of each part."""
+        if len(self.numbers) > REMEMBERED:
+            self._forget()
+        fresh = [p for p in parts if p not in self.numbers]
+        if fresh:
+            fresh, b, many_b, fits = self._second(fresh)
+            texts = pa.array(fresh, pa.large_string())
+            flat, sizes, codes, counts = self.words.ids(texts)
+            a, many_a = gathered(flat, sizes, codes).astype(np.int64), stretched(sizes[codes], counts)
+            fits &= stretched(self.first.lengths[a], many_a) == pc.binary_length(texts).to_numpy(zero_copy_only=False)
+            a, b = a[np.repeat(fits, many_a)], b[np.repeat(fits, many_b)]
+            many_a, many_b = np.where(fits, many_a, 0), np.where(fits, many_b, 0)
+            ends = aligned(np.cumsum(self.first.lengths[a]).tolist(), np.cumsum(self.second.lengths[b]).tolist())
+            ends_a, ends_b = (np.array(e, np.int64) for e in ends)
+            groups = np.diff(np.searchsorted(ends_a, np.cumsum(many_a), side="right"), prepend=0)
+            self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh))))
+            for name, new in (("a", a), ("b", b), ("in_a", np.diff(ends_a, prepend=0)), ("in_b", np.diff(ends_b, prepend=0)), ("n_a", many_a),
+                              ("n_b", many_b), ("n_groups", groups), ("spelled", fits)):
+                setattr(self, name, np.concatenate([getattr(self, name), new]))
+        return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
 
 
 def stretched(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -134,21 +137,21 @@ class Linked:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
         codes, counts, names = cut(spaced, aligner.apart, aligner.second.glued)
-        self.parts = aligner.learn(names.to_pylist())
-        fails = ~np.array([p.spelled for p in self.parts], bool)
+        known = aligner.learn(names.to_pylist())
+        fails = ~aligner.spelled[known]
         failed = stretched(fails[codes].astype(np.int64), counts) > 0
         self.codes = codes[~np.repeat(failed, counts)].astype(np.int64)
         self.counts = np.where(failed, 0, counts)
-        self.a, self.b, self.in_a, self.in_b = (np.frombuffer(b"".join([getattr(p, f) for p in self.parts]), np.uint32).astype(np.int64)
-                                                for f in ("a", "b", "in_a", "in_b"))
-        self.n_a, self.n_b, self.n_groups = (np.fromiter((len(getattr(p, f)) for p in self.parts), np.int64, len(self.parts)) // 4
-                                             for f in ("a", "b", "in_a"))
+        self.n_parts = len(known)
+        self.n_a, self.n_b, self.n_groups = (n[known] for n in (aligner.n_a, aligner.n_b, aligner.n_groups))
+        self.a, self.b = gathered(aligner.a, aligner.n_a, known), gathered(aligner.b, aligner.n_b, known)
+        self.in_a, self.in_b = (gathered(n, aligner.n_groups, known) for n in (aligner.in_a, aligner.in_b))
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pairs, times, links per distinct part): all links of each distinct part, equal ones of a wide group added up."""
         times = self.in_a * self.in_b
         start_a, start_b = np.cumsum(self.in_a) - self.in_a, np.cumsum(self.in_b) - self.in_b
-        part = np.repeat(np.arange(len(self.parts)), self.n_groups)
+        part = np.repeat(np.arange(self.n_parts), self.n_groups)
         narrow = np.flatnonzero(times <= WIDE)
         group = np.repeat(narrow, times[narrow])
         inside = np.arange(len(group)) - np.repeat(np.cumsum(times[narrow]) - times[narrow], times[narrow])
@@ -164,7 +167,7 @@ class Linked:
         if len(pairs) > 1:
             order = np.argsort(owner, kind="stable")
             pair, weight, owner = pair[order], weight[order], owner[order]
-        return pair, weight, np.bincount(owner, minlength=len(self.parts))
+        return pair, weight, np.bincount(owner, minlength=self.n_parts)
 
     def documents_of_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """(pairs, in how many of the texts each is linked)."""
@@ -174,9 +177,9 @@ class Linked:
         total = np.zeros(len(names), np.int64)
         # Each distinct part of a text once, then each distinct pair of those, for some texts at a time.
         doc = np.repeat(np.arange(len(self.counts)), self.counts)
-        own = np.sort(doc * max(1, len(self.parts)) + self.codes)
+        own = np.sort(doc * max(1, self.n_parts) + self.codes)
         own = own[np.diff(own, prepend=-1) != 0]
-        doc, code = own // max(1, len(self.parts)), own % max(1, len(self.parts))
+        doc, code = own // max(1, self.n_parts), own % max(1, self.n_parts)
         ends = np.concatenate([[0], np.cumsum(many[code])])
         at = 0
         while at < len(code):
@@ -197,23 +200,16 @@ class Linked:
         """A number of each distinct part, added up over each text."""
         return stretched(values[self.codes], self.counts)
 
-    def groups(self) -> list[str]:
+    def groups(self) -> pa.Array:
         """Groups of each text as `a1,a2|b1;a3|b2`."""
-        name_a, name_b, in_a, in_b = map(str, []), None, self.in_a.tolist(), self.in_b.tolist()
-        name_a, name_b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        words, x, y, g = [], 0, 0, 0
-        for n in self.n_groups.tolist():
-            some = []
-            for k in range(g, g + n):
-                some.append(",".join(name_a[x:x + in_a[k]]) + "|" + ",".join(name_b[y:y + in_b[k]]))
-                x, y = x + in_a[k], y + in_b[k]
-            g += n
-            words.append(";".join(some))
-        ends = np.cumsum(self.counts)
-        out = []
-        for begin, end in zip((ends - self.counts).tolist(), ends.tolist()):
-            out.append(";".join([words[c] for c in self.codes[begin:end].tolist()]))
-        return out
+        def joined(values: pa.Array, lengths: np.ndarray, sign: str) -> pa.Array:
+            offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64())
+            return pc.binary_join(pa.LargeListArray.from_arrays(offsets, values), pa.scalar(sign, values.type))
+
+        ids_a, ids_b = (joined(pa.array(ids).cast(pa.large_string()), n, ",") for ids, n in ((self.a, self.in_a), (self.b, self.in_b)))
+        both = pc.binary_join_element_wise(ids_a, ids_b, pa.scalar("|", pa.large_string()))
+        words = joined(both, self.n_groups, ";")
+        return joined(words.take(pa.array(self.codes)), self.counts, ";")
 
 
 def shared_files(spark: SparkSession, first_path: str, second_path: str):
@@ -277,7 +273,7 @@ def links(docs: DataFrame, first_path: str, second_path: str) -> DataFrame:
             "count_sum": stretched(times * count[at], many) if len(names) else np.zeros(len(many), np.int64),
         }
         return pa.table({"doc_id": batch.column("doc_id"), **{k: pa.array(linked.per_text(v), pa.int64()) for k, v in sums.items()},
-                         "groups": pa.array(linked.groups(), pa.string())})
+                         "groups": linked.groups().cast(pa.string())})
 
     return texts.groupBy("slice").cogroup(facts.groupBy("of")).applyInArrow(
         run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups string")

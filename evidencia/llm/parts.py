@@ -176,8 +176,8 @@ class PartIds:
 
     LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-/:-@\[-`{-~"
 
-    def __init__(self, blob: bytes, plain: bool = False):
-        self.encoder = ByteLevel(blob, plain)
+    def __init__(self, blob: bytes, plain: bool = False, remembered: int = REMEMBERED):
+        self.encoder, self.remembered = ByteLevel(blob, plain), remembered
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # what was known before; what is met again moves on
 
@@ -201,7 +201,7 @@ class PartIds:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """texts -> (ids of the distinct words, how many each has, codes of words in order, words per text)."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {}, self.known
         codes, counts, parts = cut(texts, self.encoder.apart)
         signed = pc.match_substring_regex(parts, f"\\A ?[{self.LETTERS}]+[{self.SIGNS}]+\\z") if self.encoder.apart else pa.array(
