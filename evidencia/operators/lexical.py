@@ -1,6 +1,6 @@
 """BM25 search for a whole table of queries at once.
 
-A corpus is tokenised once into an index: per document its length and its distinct words with counts. Term statistics
+A corpus is tokenised once into an index: the words of each document. Term statistics
 are one aggregation over it. The weights of the query words, whose number is checked, travel with the task, and every document
 is scored where it lies, query by query, as long as the largest score that its words can add up to still reaches the
 task's k-th best; filters are applied before. Only the best k rows per query leave a task.
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from evidencia.functions.numbers import round_half_up
-from evidencia.functions.tokens import search_tokens, word_counts
+from evidencia.functions.tokens import search_tokens
 from evidencia.operators.dense import best_of, row_groups
 from evidencia.operators.ranking import top_k
 from evidencia.session import ship_package
@@ -47,12 +47,11 @@ class Corpus:
 
 
 def tokenised(corpus: Corpus, tokens: Callable[[Column], Column] = search_tokens) -> DataFrame:
-    """{doc, within, length, words: array<{term, tf}>, may, tags}, written once for all passes over it."""
+    """{doc, within, words, may, tags}, written once for all passes over it; words with repeats."""
     keys = [corpus.doc_id, *corpus.within]
     may = F.coalesce(corpus.must, F.lit(False)) if corpus.must is not None else F.lit(True)
     tags = F.col(corpus.tags).cast("array<string>") if corpus.tags else F.lit(None).cast("array<string>")
-    split = corpus.df.select(*keys, may.alias("may"), tags.alias("tags"), F.explode(F.array(tokens(F.col(corpus.text)))).alias("_t"))
-    return written(split.select(*keys, "may", "tags", F.size("_t").alias("length"), word_counts(F.col("_t")).alias("words")), "index")
+    return written(corpus.df.select(*keys, may.alias("may"), tags.alias("tags"), tokens(F.col(corpus.text)).alias("words")), "index")
 
 
 def query_terms(queries: DataFrame, query_id: str, query: str) -> DataFrame:
@@ -67,22 +66,19 @@ def expansion_terms(queries: DataFrame, query_id: str, column: str, expansions:
 
 
 def term_statistics(index: DataFrame, wanted: DataFrame, within: tuple[str, ...]) -> DataFrame:
-    """(corpus, term) with idf, mean document length and `bound`, the most that a document can get for the term. One
-    aggregation; `wanted` has at most TERMS_PER_BLOCK terms."""
-    total = F.array(F.struct(F.lit(TOTAL).alias("term"), F.lit(0).alias("tf")))
-    listed = index.select(*within, "length", F.inline(F.concat("words", total))).withColumn("term", F.coalesce("term", F.lit(TOTAL)))
+    """(corpus, term) with idf, mean document length and `bound`, the most that a document can get for the term, however often
+    it has it. One aggregation; `wanted` has at most TERMS_PER_BLOCK terms."""
+    listed = index.select(*within, F.size("words").alias("length"), F.explode(F.concat(F.array_distinct("words"), F.array(F.lit(TOTAL)))).alias("term"))
     some = wanted.unionByName(wanted.sparkSession.range(1).select(F.lit(TOTAL).alias("term")))
     stats = listed.join(F.broadcast(some), "term", "left_semi").groupBy(*within, "term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("length").alias("all_length"), F.max("tf").alias("most"), F.min("length").alias("shortest"))
+        F.count(F.lit(1)).alias("df"), F.sum("length").alias("all_length"))
     # One shuffled row per corpus and term: the totals are the row of the pseudo-term, whatever the corpus.
     packed = stats.groupBy(*within).agg(
         F.max(F.when(F.col("term") == TOTAL, F.struct(F.col("df").alias("n"), (F.col("all_length") / F.col("df")).alias("mean")))).alias("_all"),
-        F.collect_list(F.when(F.col("term") != TOTAL, F.struct("term", "df", "most", "shortest"))).alias("_terms"))
+        F.collect_list(F.when(F.col("term") != TOTAL, F.struct("term", "df"))).alias("_terms"))
     rows = packed.select(*within, F.col("_all.n").alias("n"), F.col("_all.mean").alias("mean_length"), F.inline("_terms"))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    most = F.col("most").cast("double")
-    bound = idf * most * (K1 + 1) / (most + K1 * (1 - B + B * F.col("shortest") / F.col("mean_length")))
-    return rows.select(*within, "term", idf.alias("idf"), "mean_length", bound.alias("bound"))
+    return rows.select(*within, "term", idf.alias("idf"), "mean_length", (idf * (K1 + 1)).alias("bound"))
 
 
 @dataclass
@@ -188,18 +184,16 @@ class _Scorer:
         vocabulary, idf, mean, queries = self.corpora[key]
         ids = rows[doc_id].combine_chunks()
         words = rows["words"].combine_chunks()
-        flat = words.flatten()
-        code = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(rows.num_rows), pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False))
-        known = np.flatnonzero(code >= 0)
-        known = known[np.argsort(code[known], kind="stable")]
-        code, doc = code[known], doc[known]
+        found = pc.fill_null(pc.index_in(words.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+        known = found >= 0
+        # One entry per term and document, in the order of terms.
+        entry, tf = np.unique(found[known].astype(np.int64) * rows.num_rows + np.repeat(np.arange(rows.num_rows), length)[known], return_counts=True)
+        code, doc = entry // rows.num_rows, entry % rows.num_rows
         if self.flat:
             impact = idf[code]
         else:
-            tf = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(np.float64)
-            length = rows["length"].to_numpy()[doc]
-            impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+            impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
         cuts = np.searchsorted(code, np.arange(len(vocabulary) + 1))
         names = ids.to_numpy(zero_copy_only=False)
         tags = rows["tags"].combine_chunks()
@@ -250,7 +244,7 @@ def scored_topk(found: Matches, k: int, flat: bool = False) -> DataFrame:
     wishes = set().union(*found.asked.values()) if found.all_asked else None
     if wishes is not None:  # every query asks for tags: other documents need not leave the scan
         rows = rows.filter(F.arrays_overlap("tags", F.lit(sorted(wishes)).cast("array<string>") if wishes else F.array().cast("array<string>")))
-    rows = rows.select(corpus.doc_id, *corpus.within, "length", "words", "tags")
+    rows = rows.select(corpus.doc_id, *corpus.within, "words", "tags")
     schema = T.StructType([T.StructField(found.query_id, found.key_type), index.schema[corpus.doc_id],
                            *[index.schema[c] for c in corpus.within], T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
@@ -285,7 +279,7 @@ def term_coverage(found: Matches, hits: DataFrame, per_query: int) -> DataFrame:
     total = weights.groupBy(query_id).agg(F.sum("idf").alias("all_idf"))
     pairs = hits.select(query_id, doc_id).distinct()
     side = F.broadcast(pairs) if found.n_queries * per_query <= BROADCAST_ROWS else pairs
-    words = found.index.select(doc_id, "words").join(side, doc_id).select(query_id, doc_id, F.inline("words"))
+    words = found.index.select(doc_id, "words").join(side, doc_id).select(query_id, doc_id, F.explode(F.array_distinct("words")).alias("term"))
     covered = words.join(weights, [query_id, "term"]).groupBy(query_id, doc_id).agg(F.sum("idf").alias("idf"))
     return covered.join(total, query_id).select(
         query_id, doc_id, round_half_up(F.col("idf") / F.col("all_idf"), 6).alias("coverage"))
