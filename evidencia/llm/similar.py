@@ -22,12 +22,12 @@ copies, are spread over tasks instead of listed in one, so no task holds an unbo
 Documents with equal sets are one class from the start. The members of each list are compared with two of them,
 not with each other: the one whose set has the key nearest to its front, which in a group of near copies is the text
 they were made from, and one more. What that links is contracted to components, and only lists that still touch several
-components are compared further. Their members outside the largest component try members of it, one each round, until a
-round links nothing; what is then still open is compared in full, all members outside the largest component of the list
-with all members of other components. So groups of copies cost a few times as many comparisons as they have members,
-and no link between components is missed. A sketch of each set first rules out pairs that cannot overlap enough, for what is
-compared in full inside the tasks that hold both sides. Comparisons of the others read the texts of both sides again, grouped
-by one side and salted if that side has many partners.
+components are compared further. Where that would be many comparisons for each of their entries, their members outside the
+largest component first try members of it, one each round, until a round links nothing; what is then still open is compared in
+full, all members outside the largest component of the list with all members of other components. So groups of copies cost
+a few times as many comparisons as they have members, and no link between components is missed. A sketch of each set first
+rules out pairs that cannot overlap enough. Comparisons of the others read the texts of both sides again, grouped by one side
+and salted if that side has many partners.
 
 A text without words, null or empty, has an empty set and links with nothing. Repeated rows are in one class. Null
 ids take part and are ignored where the smallest id is sought. An empty table gives an empty result. Sets
@@ -41,7 +41,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from evidencia.llm.components import components
 from evidencia.llm.keyed import join_by_key
@@ -60,7 +60,8 @@ BROADCAST_IDS = 200_000  # documents fetched by broadcast, about 40 bytes each;
 BUCKET_KEYS = 500_000  # list entries per bucket
 SLICE_ROWS = 2_000  # documents whose sets are held at a time
 SALT_PARTNERS = 500  # comparisons of one side per task share
-TURNS = 12  # rounds with pivots at most
+TURNS = 8  # rounds with pivots at most
+ROUND_FROM = 16  # comparisons in full for each entry of an open list, from which a round with pivots comes before
 
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
@@ -336,48 +337,28 @@ def with_pivots(members: DataFrame) -> DataFrame:
         F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
 
 
-def crossing(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs {a, b} with room within a list, between components, whose sketches leave room for enough overlap, for the lists of
-    `still_open`.
+def crossing(members: DataFrame) -> DataFrame:
+    """Pairs {a, b} with room within a list and between components, for the lists of `still_open`.
 
-    One side is outside the largest component of its list; near entries meet all members, others the near members. Both sides
-    are cut into shares, and every cell of two shares is a group of bounded size, which tests sketches and gives only
-    what passes.
+    One side is outside the largest component of its list; near entries meet all members, others the near members. Long lists are cut
+    into shares.
     """
-    def share(turn: int, n: str) -> Column:
-        return F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col(n) / SALT_PARTNERS))
-
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col(n) / SALT_PARTNERS) - 1))
-
-    values = ["node", "n", "rest", "label", "near", "sketch"]
-    drawn = members.join(sketches.select("node", "sketch"), "node")
-    inside = drawn.select("key", share(0, "copies").alias("share"), every("outside").alias("slice"), *values)
-    outside = drawn.filter(F.col("label") != F.col("main")).select(
-        F.col("key").alias("okey"), every("copies").alias("oshare"), share(1, "outside").alias("oslice"), *[F.col(v).alias(f"o_{v}") for v in values])
-    ship_package(members.sparkSession)
-    met = inside.groupBy("key", "share", "slice").cogroup(outside.groupBy("okey", "oshare", "oslice")).applyInArrow(
-        met_sketches, "a bigint, b bigint")
-    return met.distinct()
-
-
-def met_sketches(left: pa.Table, right: pa.Table) -> pa.Table:
-    """The pairs of a share that may link: right entries one after the other against all of the left."""
-    def numbers(rows: pa.Table, prefix: str):
-        return (*(rows.column(prefix + c).to_numpy() for c in ("node", "n", "rest", "label", "near")),
-                np.frombuffer(b"".join(rows.column(f"{prefix}sketch").to_pylist()), np.uint8).reshape(-1, GROUPS).astype(np.int16))
-
-    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    if left.num_rows and right.num_rows:
-        node, n, rest, label, near, drawn = numbers(left, "")
-        for other, m, left_over, its, close, sketch in zip(*numbers(right, "o_")):
-            may = (label != its) & (near | close) & (np.minimum(rest, left_over) * 7 >= (n + m) * 3)
-            some = np.flatnonzero(may)
-            total = n[some] + m
-            shared = (total - np.abs(drawn[some] - sketch).sum(1)) // 2
-            some = some[100 * shared >= 75 * (total - shared)]
-            found_a.append(np.maximum(node[some], other)), found_b.append(np.minimum(node[some], other))
-    return pa.table({"a": np.concatenate(found_a), "b": np.concatenate(found_b)})
+    shares = F.ceil(F.col("copies") / SALT_PARTNERS)
+    inside = members.withColumn("share", F.pmod(F.xxhash64("node"), shares))
+    outside = members.filter(F.col("label") != F.col("main")).select(
+        "key", F.explode(F.sequence(F.lit(0).cast("bigint"), shares - 1)).alias("share"), F.col("node").alias("other"),
+        F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("label").alias("other_label"), F.col("near").alias("other_near"))
+    apart = (F.col("label") != F.col("other_label")) & room("n", "rest", "other_n", "other_rest")
+    met_near = inside.join(outside.filter("other_near"), ["key", "share"]).filter(apart)
+    met_far = inside.filter("near").join(outside.filter("not other_near"), ["key", "share"]).filter(apart)
+    return met_near.unionByName(met_far).select(
+        F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
+
+
+def worth_a_round(members: DataFrame) -> bool:
+    """Would comparing the open lists in full cost many comparisons for each entry? Either way no link is lost."""
+    entries, pairs = members.agg(F.count(F.lit(1)), F.coalesce(F.sum("outside"), F.lit(0))).first()
+    return pairs > ROUND_FROM * entries
 
 
 def contracted(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -427,13 +408,14 @@ def grouped(docs: DataFrame) -> DataFrame:
     # Members outside the largest component of a list try one of its members after the other, as long as that links more.
     members = still_open(lists, labels, 0)
     for turn in range(1, TURNS):
+        if not worth_a_round(members):
+            break
         more = links_of(with_pivots(members), "pivot-links")
         if not more.take(1):
             break
         labels = contracted(labels, more)
         members = still_open(members, labels, turn)
-    near = written(crossing(members, sketches), "crossing-pairs")
-    more = written(compared(near, fetched(rows, near, classes)), "crossing-links")
+    more = links_of(crossing(members), "crossing-links")
     if more.take(1):
         labels = contracted(labels, more)
     labelled = written(classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
