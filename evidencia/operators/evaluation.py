@@ -20,15 +20,16 @@ REGRESSION_MARGIN = 0.05
 MIN_OVERLAP = 0.15
 
 
-def candidate_counts(occurrences: DataFrame) -> DataFrame:
+def candidate_counts(occurrences: DataFrame, conditions: int | None = None) -> DataFrame:
     """{kind, drug, condition, n} of informative drugs and (drug, condition) pairs inside their bands.
 
-    occurrences {trial, drug, conditions array}; the first three conditions of a trial count.
+    occurrences {trial, drug, conditions array}; of each trial all conditions count, or the first `conditions` of them.
     """
+    counted = F.col("conditions") if conditions is None else F.slice("conditions", 1, conditions)
     rows = occurrences.filter((F.length("drug") >= MIN_NAME) & ~F.lower("drug").isin(GENERIC_NAMES))
     single = rows.groupBy("drug").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(*SINGLE_BAND))
     pair = (
-        rows.select("drug", F.explode(F.slice("conditions", 1, 3)).alias("condition"))
+        rows.select("drug", F.explode(counted).alias("condition"))
         .groupBy("drug", "condition").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(*PAIR_BAND))
     )
     return single.select(F.lit("single").alias("kind"), "drug", F.lit(None).cast("string").alias("condition"), "n").unionByName(

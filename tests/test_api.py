@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidencia import api
-from evidencia.operators import graph, search
+from evidencia.operators import evaluation, graph, search
 
 
 def test_search_trials_with_phase(spark):
@@ -72,3 +72,21 @@ def test_catalysts(spark):
                                    "query string, raw string, drug string, source string")
     rows = api.catalysts(events, F.lit("2026-08-24").cast("date")).collect()
     assert {(r["year"], r["period"], r["events"]) for r in rows} == {(2026, "", "A@s1"), (2026, "Q4", "C@s3")}
+
+
+def test_every_condition_of_a_trial_counts(spark):
+    rows = [(f"T{k}", "drugname", ["a", "b", "c", "d"]) for k in range(3)]
+    trials = spark.createDataFrame(rows, "trial string, drug string, conditions array<string>")
+    pairs = lambda **o: {r["condition"] for r in evaluation.candidate_counts(trials, **o).collect() if r["kind"] == "pair"}
+    assert pairs() == {"a", "b", "c", "d"} and pairs(conditions=3) == {"a", "b", "c"}
+
+
+def test_statistics_bind_their_values(spark):
+    tables = {"interventions": spark.createDataFrame([(1, "Salve 5%"), (2, "Salve 5%"), (3, "Salve 50"), (4, "A_B"), (5, "AxB"), (6, "it's")], "nct_id int, name string")}
+    found = lambda name: {r["intervention"]: r["studies"] for r in api.trial_stats(tables, "intervention_studies", name=name).collect()}
+    assert found("5%") == {"Salve 5%": 2} and found("a_b") == {"A_B": 1} and found("'s") == {"it's": 1} and len(found("")) == 5
+    assert found("' or 1=1") == {}
+    with pytest.raises(ValueError, match="no statement"):
+        api.trial_stats(tables, "drop table")
+    with pytest.raises(ValueError, match="no parameter"):
+        api.trial_stats(tables, "intervention_studies", phase="x")
