@@ -102,7 +102,7 @@ def claim_sources(claims: DataFrame, claim_id: str, claim: str, sources: DataFra
         claim_id, F.size("_t").cast("double").alias("scale"), F.explode("_t").alias("term")).select(
         claim_id, "term", F.lit(1.0).alias("idf"), F.lit(1.0).alias("mean_length"), F.lit(1.0).alias("bound"), "scale")
     corpus = lexical.Corpus(sources, source_id, text)
-    blocks = lexical.dealt(words, claim_id, lambda some: lexical.bounded(some, lexical.TERMS_PER_BLOCK))
+    blocks = lexical.dealt(words, claim_id, lexical.bounded, lexical.TERMS_PER_BLOCK)
     found = lexical.matches_of(lexical.tokenised(corpus, claim_tokens), blocks, corpus, claim_id, claims.schema[claim_id].dataType, {})
     best = lexical.scored_topk(found, 1, flat=True).withColumnRenamed("score", "overlap")
     return top_k(best, [claim_id], [F.desc("overlap"), F.asc(source_id)], 1, "_rank").drop("_rank").filter(

@@ -101,8 +101,10 @@ class Matches:
         return reduce(DataFrame.unionByName, [spark.createDataFrame(b) for b in self.blocks])
 
 
-def bounded(df: DataFrame, rows: int) -> pa.Table | None:
+def bounded(df: DataFrame, rows: int | None) -> pa.Table | None:
     """`df` on the driver, or None if it has more than `rows` rows; no more are fetched."""
+    if rows is None:
+        return df.toArrow()
     table = df.limit(rows + 1).toArrow()
     return table if table.num_rows <= rows else None
 
@@ -116,11 +118,11 @@ def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id",
     extra = expansion_terms(queries, query_id, corpus.within[0], expansions) if expansions else None
     kept = queries.select(query_id, query, *([F.col(asked).cast("array<string>").alias(asked)] if asked else []))
 
-    def weighted(some: DataFrame) -> pa.Table | None:
+    def weighted(some: DataFrame, most: int | None) -> pa.Table | None:
         terms = query_terms(some, query_id, query)
         every = terms if extra is None else terms.select("term").unionByName(
             extra.join(some.select(query_id), query_id, "left_semi").select("term"))
-        fetched = bounded(every.select("term").distinct(), block)
+        fetched = bounded(every.select("term").distinct(), most)
         if fetched is None:
             return None
         stats = term_statistics(index, spark.createDataFrame(fetched), corpus.within)
@@ -129,9 +131,9 @@ def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id",
         if extra is not None:
             added = extra.join(some.select(query_id), query_id, "left_semi").join(stats, [*corpus.within, "term"])
             weights = weights.unionByName(added.select(weights.columns)).dropDuplicates([*corpus.within, *terms.columns])
-        return bounded(weights, block)
+        return bounded(weights, most)
 
-    blocks = dealt(kept, query_id, weighted)
+    blocks = dealt(kept, query_id, weighted, block)
     wishes = {}
     if asked:
         for row in kept.filter(F.col(asked).isNotNull()).select(query_id, asked).toLocalIterator():
@@ -139,14 +141,25 @@ def match_terms(corpus: Corpus, queries: DataFrame, query_id: str = "query_id",
     return matches_of(index, blocks, corpus, query_id, queries.schema[query_id].dataType, wishes)
 
 
-def dealt(queries: DataFrame, query_id: str, weighted: Callable[[DataFrame], pa.Table | None]) -> list[pa.Table]:
-    """The weights of all queries, of as few blocks of them as make no block too large to travel (None)."""
-    n_blocks, blocks = 1, [weighted(queries)]
-    while any(b is None for b in blocks):
+def dealt(queries: DataFrame, query_id: str, weighted: Callable[[DataFrame, int | None], pa.Table | None], block: int) -> list[pa.Table]:
+    """The weights of all queries, in as few blocks of queries as make none larger than `block` rows. `weighted(some, rows)` gives
+    None for more than `rows`. A query with more words than a block is a block of its own size."""
+    whole = weighted(queries, block)
+    if whole is not None:
+        return [whole]
+    n, n_blocks = queries.select(query_id).distinct().count(), 1
+    while True:
         n_blocks *= 8
+        most = block if n_blocks < n else None
         share = F.pmod(F.xxhash64(query_id), F.lit(n_blocks))
-        blocks = [weighted(queries.filter(share == k)) for k in range(n_blocks)]
-    return blocks
+        blocks = []
+        for k in range(n_blocks):
+            found = weighted(queries.filter(share == k), most)
+            if found is None:
+                break
+            blocks.append(found)
+        else:
+            return blocks
 
 
 def matches_of(index: DataFrame, blocks: list[pa.Table], corpus: Corpus, query_id: str, kind: T.DataType, wishes: dict) -> Matches:
