@@ -30,7 +30,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from evidencia.llm.parts import PartIds, Pieces, cut, gathered, run_of, runs, slices
+from evidencia.llm import parts
+from evidencia.llm.parts import PartIds, Pieces, cut, gathered, run_of, runs
 from evidencia.llm.tokenizing import file_digest, loaded
 from evidencia.session import ship_package, table
 from evidencia.sources.store import written
@@ -38,7 +39,8 @@ from evidencia.sources.store import written
 PAIR_BITS = 32  # a pair is its first id above its second
 WIDE = 4_096  # links of a group from which equal pairs in it are added up at once
 ENTRIES = 2_000_000  # (document, pair) entries sorted at a time
-REMEMBERED = 400_000  # parts kept in memory
+REMEMBERED = 300_000  # parts kept in memory
+SLICE_CHARS = 4_000_000  # texts linked at a time; their links are held several times over
 
 
 def aligned(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -78,7 +80,7 @@ class Aligner:
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.a = self.b = self.in_a = self.in_b = self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int64)
+        self.a = self.b = self.in_a = self.in_b = self.n_a = self.n_b = self.n_groups = np.zeros(0, np.int32)
         self.spelled = np.zeros(0, bool)
 
     def _second(self, parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -119,10 +121,15 @@ class Aligner:
             self.numbers.update(zip(fresh, range(len(self.numbers), len(self.numbers) + len(fresh))))
             for name, new in (("a", a), ("b", b), ("in_a", np.diff(ends_a, prepend=0)), ("in_b", np.diff(ends_b, prepend=0)), ("n_a", many_a),
                               ("n_b", many_b), ("n_groups", groups), ("spelled", fits)):
-                setattr(self, name, np.concatenate([getattr(self, name), new]))
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old, new.astype(old.dtype)]))
         return np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    return parts.slices(batches, column, SLICE_CHARS)
+
+
 def stretched(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of `values`."""
     total = np.concatenate([[0], np.cumsum(values)])
@@ -143,9 +150,9 @@ class Linked:
         self.codes = codes[~np.repeat(failed, counts)].astype(np.int64)
         self.counts = np.where(failed, 0, counts)
         self.n_parts = len(known)
-        self.n_a, self.n_b, self.n_groups = (n[known] for n in (aligner.n_a, aligner.n_b, aligner.n_groups))
-        self.a, self.b = gathered(aligner.a, aligner.n_a, known), gathered(aligner.b, aligner.n_b, known)
-        self.in_a, self.in_b = (gathered(n, aligner.n_groups, known) for n in (aligner.in_a, aligner.in_b))
+        self.n_a, self.n_b, self.n_groups = (n[known].astype(np.int64) for n in (aligner.n_a, aligner.n_b, aligner.n_groups))
+        self.a, self.b, self.in_a, self.in_b = (gathered(getattr(aligner, name), getattr(aligner, many), known).astype(np.int64) for name, many in (
+            ("a", "n_a"), ("b", "n_b"), ("in_a", "n_groups"), ("in_b", "n_groups")))
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pairs, times, links per distinct part): all links of each distinct part, equal ones of a wide group added up."""
