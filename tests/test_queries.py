@@ -28,11 +28,9 @@ def test_top_k_is_cut_before_the_shuffle(spark, small):
 
 
 def test_search_plans(spark, small):
-    """The corpus is tokenised once, and what is read again is the index."""
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
-    hits = entry_point.queries()["hybrid_rrf"](spark, small)
-    started = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before)
-    assert "documents.parquet" not in plan(hits) and started <= 8  # index, words, statistics, query vectors; adaptive stages count as jobs
+    """The corpus is tokenised once: the search itself reads the index."""
+    text = plan(entry_point.queries()["hybrid_rrf"](spark, small))
+    assert "documents.parquet" not in text and "regexp_extract_all" not in text
 
 
 def test_contract(spark):
