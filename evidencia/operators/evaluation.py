@@ -74,11 +74,13 @@ def recall(golden: DataFrame, hits: DataFrame, query_id: str, item: str) -> Data
 
 
 def retrieval_summary(per_query: DataFrame) -> DataFrame:
+    """Without a single query the recalls are null, and the hit rate, zero of zero, is NaN."""
+    some = F.count(F.lit(1)) > 0
     return per_query.agg(
         F.count(F.lit(1)).alias("queries"),
-        round_half_up(F.sum(F.floor(F.col("recall") * 1e6 + 0.5)) / F.count(F.lit(1)) / 1e6, 4).alias("mean_recall"),
+        F.when(some, round_half_up(F.sum(F.floor(F.col("recall") * 1e6 + 0.5)) / F.count(F.lit(1)) / 1e6, 4)).alias("mean_recall"),
         round_half_up(F.median("recall"), 4).alias("median_recall"),
-        round_half_up(F.count_if("hit") / F.count(F.lit(1)), 4).alias("hit_rate"),
+        F.when(some, round_half_up(F.count_if("hit") / F.count(F.lit(1)), 4)).otherwise(F.lit(float("nan"))).alias("hit_rate"),
         F.count_if(F.col("recall") == 0).alias("zero_recall_queries"),
     )
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidencia.operators import dense, lexical, ordered, signals
+from evidencia.operators import dense, evaluation, lexical, ordered, signals
 from evidencia.sizing import join_small
 
 
@@ -162,3 +162,12 @@ def test_odds_ratio_traps(spark):
     low = math.exp(math.log(ror) - 1.96 * math.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
     assert got["X"]["a"] == 3 and got["X"]["ror"] == round(ror, 2) and got["X"]["ci95_low"] == round(low, 2) and got["X"]["signal"]
     assert got["Y"]["ror"] == 0.0 and not got["Y"]["signal"] and got["NONE"]["a"] == 0
+
+
+def test_evaluation_without_queries(spark):
+    gold = spark.createDataFrame([], "query_id long, doc_id long")
+    hits = spark.createDataFrame([(1, 2)], "query_id long, doc_id long")
+    summary = evaluation.retrieval_summary(evaluation.recall(gold, hits, "query_id", "doc_id"))
+    [row] = summary.collect()
+    assert (row["queries"], row["mean_recall"], row["median_recall"], row["zero_recall_queries"]) == (0, None, None, 0)
+    assert math.isnan(row["hit_rate"])
