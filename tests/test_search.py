@@ -171,3 +171,5 @@ def test_evaluation_without_queries(spark):
     [row] = summary.collect()
     assert (row["queries"], row["mean_recall"], row["median_recall"], row["zero_recall_queries"]) == (0, None, None, 0)
     assert math.isnan(row["hit_rate"])
+    got = {r["metric"]: r["passed"] for r in evaluation.gate(evaluation.metric_rows(summary), evaluation.metric_rows(summary)).collect()}
+    assert got == {"mean_recall": None, "hit_rate": True}  # as the SQL has it: NaN equals NaN
