@@ -8,7 +8,8 @@ from evidencia.functions.dates import period_rank, with_period
 from evidencia.functions.segments import with_windows
 from evidencia.functions.tokens import WORD_PATTERN, matches
 from evidencia.operators.ranking import top_k
-from evidencia.sizing import join_small
+from evidencia.sizing import join_small, parts_for
+from evidencia.sources.store import written
 
 MAX_EVENTS = 30
 # Arms of a trial that are no product.
@@ -21,6 +22,7 @@ DATE_PHRASE = (
     r"|(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?"
     r"|dec(?:ember)?)\.? (?:[0-9]{1,2},? )?[0-9]{4})\b")
 ENTRY_WORDS = 5  # words of the longest dictionary entry searched
+CHARS_PER_TASK = 1_500_000  # characters of windows taken apart by one task: a word makes up to ENTRY_WORDS rows
 
 
 def located(rows: DataFrame, keys: list[str], text: Column, pattern: str) -> DataFrame:
@@ -42,28 +44,33 @@ def text_events(docs: DataFrame, doc: str, text: str, dictionary: DataFrame, ent
     mention are left out. Entries are found as runs of up to `ENTRY_WORDS` lower-cased words. Dates and mentions meet in
     one pass over each window in the order of their places.
     """
-    spans = with_windows(docs.select(doc, text), text, keywords, window).select(doc, text, F.explode("spans").alias("_s")).select(
-        doc, F.col("_s.start").alias("_from"), F.substr(text, F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("_span"))
+    spans = written(with_windows(docs.select(doc, text), text, keywords, window).select(doc, text, F.explode("spans").alias("_s")).select(
+        doc, F.col("_s.start").alias("_from"), F.substr(text, F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")).alias("_span")), "spans")
     keys = [doc, "_from"]
+    # Every step below keeps to the windows of a task, so their characters decide how much it holds.
+    spans = spans.repartition(parts_for(spans, F.length("_span"), CHARS_PER_TASK), *keys)
     dates = located(spans, keys, F.col("_span"), DATE_PHRASE).select(
         *keys, F.lit(True).alias("_date"), "at", (F.col("at") + F.length("hit")).alias("end"), F.col("hit").alias("name"))
     words = located(spans, keys, F.lower("_span"), WORD_PATTERN)
+    known = dictionary.select(F.col(entry).alias("name")).distinct().withColumn("_words", matches(F.col("name"), WORD_PATTERN)).select(
+        "name", F.array_join("_words", " ").alias("surface"), F.get("_words", 0).alias("_first"))
     ahead = Window.partitionBy(*keys).orderBy("at")
     next_words = words.select(*keys, "at", *[F.struct(F.lead("hit", n).over(ahead).alias("word"), F.lead("at", n).over(ahead).alias("at")).alias(f"_{n}")
                                              for n in range(ENTRY_WORDS)])
     runs = [F.struct(F.concat_ws(" ", *[f"_{k}.word" for k in range(n + 1)]).alias("surface"), (F.col(f"_{n}.at") + F.length(f"_{n}.word")).alias("end"))
             for n in range(ENTRY_WORDS)]
-    surfaces = next_words.select(*keys, "at", F.inline(F.array(*runs))).filter("end is not null")  # null behind the last word
-    known = dictionary.select(F.col(entry).alias("name")).distinct().withColumn(
-        "surface", F.array_join(matches(F.col("name"), WORD_PATTERN), " "))
-    mentions = join_small(surfaces, known, ["surface"], "inner", F.col(doc)).select(*keys, F.lit(False).alias("_date"), "at", "end", "name")
+    # Runs are made only of words that begin an entry.
+    begun = join_small(next_words.withColumn("_first", F.col("_0.word")), known.select("_first").filter("_first is not null").distinct(),
+                       ["_first"], "left_semi", F.col(doc))
+    surfaces = begun.select(*keys, "at", F.inline(F.array(*runs))).filter("end is not null")  # null behind the last word
+    mentions = join_small(surfaces, known.drop("_first"), ["surface"], "inner", F.col(doc)).select(*keys, F.lit(False).alias("_date"), "at", "end", "name")
 
     both = dates.unionByName(mentions)
     mention = ~F.col("_date")
     front = Window.partitionBy(*keys).orderBy(F.when(mention, F.col("end")).otherwise(F.col("at")), "_date").rowsBetween(
         Window.unboundedPreceding, 0)
-    behind = Window.partitionBy(*keys).orderBy(F.when(mention, F.col("at")).otherwise(F.col("end")), F.desc("_date")).rowsBetween(
-        0, Window.unboundedFollowing)
+    behind = Window.partitionBy(*keys).orderBy(F.desc(F.when(mention, F.col("at")).otherwise(F.col("end"))), "_date").rowsBetween(
+        Window.unboundedPreceding, 0)  # from the end: Spark adds up a frame that opens in front once, one that closes behind for every row
     placed = both.select(
         "*", F.max(F.when(mention, F.struct("end", "at", "name"))).over(front).alias("_front"),
         F.min(F.when(mention, F.struct("at", "end", "name"))).over(behind).alias("_behind")).filter("_date")

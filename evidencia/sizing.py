@@ -50,3 +50,9 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def parts_for(df: DataFrame, weight: Column, per_task: int) -> int:
+    """How many tasks hold `df` with about `per_task` of the summed `weight` each, and no fewer than there are cores."""
+    total = df.agg(F.coalesce(F.sum(weight.cast("bigint")), F.lit(0).cast("bigint"))).first()[0]
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // per_task))
