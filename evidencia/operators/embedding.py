@@ -8,50 +8,103 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from evidencia.functions.binding import let
-from evidencia.functions.tokens import search_tokens, word_counts
+from evidencia.functions.tokens import search_tokens
 from evidencia.session import ship_package
+from evidencia.sources.store import written
+
+SLICE_ROWS = 512  # rows taken at a time from a batch: what a worker holds does not grow with the batch
+KNOWN_WORDS = 200_000  # words whose place a worker remembers
 
 _LOADED: dict[str, object] = {}  # models of this worker
 
 
-def slot_of(term: Column, dim: int) -> Column:
+def slot_of(term: str, dim: int) -> int:
     """The place of a term in a vector, from the first 32 bits of its MD5, so that any system can repeat it."""
-    return F.pmod(F.conv(F.substring(F.md5(term), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+    return int.from_bytes(hashlib.md5(term.encode()).digest()[:4], "big") % dim
+
+
+def slots_known(dim: int) -> Callable[[str], int]:
+    """`slot_of` with a memory of at most KNOWN_WORDS words."""
+    known: dict[str, int] = {}
+
+    def slot(w: str) -> int:
+        if w not in known:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            known[w] = slot_of(w, dim)
+        return known[w]
 
+    return slot
 
-def dense(entries: Column, dim: int) -> Column:
-    """Sorted array<{slot, value}> -> array of `dim` doubles, in one pass: each entry brings the zeros before it."""
-    def gap(entry, i):
-        before = F.coalesce(F.get(entries, i - 1)["slot"], F.lit(-1))
-        return F.concat(F.array_repeat(F.lit(0.0), entry["slot"] - before - 1), F.array(entry["value"]))
 
-    last = F.coalesce(F.get(entries, F.size(entries) - 1)["slot"], F.lit(-1))
-    return F.concat(F.flatten(F.transform(entries, gap)), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - last))
+def _slot_counter(dim: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the list `_words` by `_counts`, {slot, tf} in the order of slots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = slots_known(dim)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                words = rows.column("_words")
+                named = words.flatten().dictionary_encode()
+                slots = np.array([known(w) for w in named.dictionary.to_pylist()], np.int64)
+                length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(rows.num_rows), length)
+                tf = np.bincount(row * dim + slots[named.indices.to_numpy()], minlength=rows.num_rows * dim)
+                cells = np.flatnonzero(tf)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(cells // dim, minlength=rows.num_rows))])
+                kind = schema.field("_counts").type
+                entries = pa.StructArray.from_arrays([pa.array(cells % dim, pa.int32()), pa.array(tf[cells], pa.int32())], fields=list(kind.value_type))
+                counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries, type=kind)
+                kept = [rows.column(f.name) for f in schema if f.name != "_counts"]
+                yield pa.RecordBatch.from_arrays([*kept, counts], schema=schema)
+
+    return run
+
+
+def _weigher(dim: int, idf: list[float], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces `_counts` by `embedding`, `dim` weighted numbers of unit length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                counts, out = rows.column("_counts"), np.zeros((rows.num_rows, dim))
+                entries = counts.flatten()
+                row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(counts).to_numpy(zero_copy_only=False))
+                out[row, entries.field("term").to_numpy()] = entries.field("tf").to_numpy()
+                out *= np.array(idf)
+                length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+                out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+                kind = schema.field("embedding").type
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(rows.num_rows + 1) * dim, pa.int32()), pa.array(out.ravel()), type=kind)
+                kept = [rows.column(f.name) for f in schema if f.name != "embedding"]
+                yield pa.RecordBatch.from_arrays([*kept, vectors], schema=schema)
+
+    return run
 
 
 def hashed_vectors(docs: DataFrame, text: str, dim: int) -> DataFrame:
     """Adds `embedding`: hashed term counts, weighted by idf = ln((N + 1) / (df + 1)) of their slots, scaled to unit length.
 
-    Terms are counted inside the row; only one number per slot comes from an aggregation over the corpus.
+    Terms are counted inside the row, once, and the counts are written; only one number per slot comes from an aggregation over the corpus.
     """
-    slots = F.transform(search_tokens(F.col(text)), lambda w: slot_of(w, dim))
-    counted = docs.withColumn("_counts", F.explode(F.array(word_counts(slots))))
+    ship_package(docs.sparkSession)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_counts", T.ArrayType(T.StructType([
+        T.StructField("term", T.IntegerType()), T.StructField("tf", T.IntegerType())])))])
+    counted = written(docs.withColumn("_words", search_tokens(F.col(text))).mapInArrow(_slot_counter(dim, to_arrow_schema(schema)), schema), "counts")
     every = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda s: F.struct(s.alias("slot"), F.lit(0).alias("tf")))
     seen = counted.select(F.lit(1).alias("_doc"), F.inline(F.transform("_counts", lambda c: F.struct(c["term"].alias("slot"), c["tf"].alias("tf")))))
-    n = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
     slot_rows = docs.sparkSession.range(1).select(F.inline(every)).select("slot")
     idf = slot_rows.join(seen.groupBy("slot").agg(F.count(F.lit(1)).alias("df")), "slot", "left").select(
         "slot", F.log((n + 1) / (F.coalesce("df", F.lit(0)) + 1)).alias("idf"))
-    weights = idf.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "idf"))), lambda x: x["idf"]).alias("_idf"))  # one row of `dim` numbers
-    weighted = counted.crossJoin(F.broadcast(weights)).withColumn("_w", F.explode(F.array(F.transform(
-        "_counts", lambda c: F.struct(c["term"].alias("slot"), (c["tf"] * F.get("_idf", c["term"])).alias("value"))))))
-    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda total, x: total + x["value"] * x["value"]))
-    unit = weighted.withColumn("_u", let(norm, lambda length: F.transform("_w", lambda x: F.struct(
-        x["slot"].alias("slot"), F.when(length > 0, x["value"] / length).otherwise(0.0).alias("value")))))
-    return unit.withColumn("embedding", dense(F.col("_u"), dim)).drop("_counts", "_idf", "_w", "_u")
+    weights = [r["idf"] for r in idf.orderBy("slot").collect()]  # `dim` numbers
+    out = T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return counted.mapInArrow(_weigher(dim, weights, to_arrow_schema(out)), out)
 
 
 def model_vectors(docs: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
@@ -67,7 +120,10 @@ def model_vectors(docs: DataFrame, text: str, load: Callable[[], Callable[[list[
             embedding._LOADED[name] = load()
         model = embedding._LOADED[name]
         for batch in batches:
-            yield pd.Series(model(batch.fillna("").tolist()))
+            out = []
+            for start in range(0, len(batch), SLICE_ROWS):
+                out += [np.asarray(v, np.float32) for v in model(batch.iloc[start:start + SLICE_ROWS].fillna("").tolist())]
+            yield pd.Series(out, dtype=object)
     return docs.withColumn("embedding", embed(F.col(text)))
 
 
@@ -76,12 +132,7 @@ MODEL_DIM = 64
 
 def word_model() -> Callable[[list[str]], list[list[float]]]:
     """A small model without weights: words hashed to slots, square roots of their counts, unit length."""
-    word, known = re.compile(r"[a-z0-9]+"), {}
-
-    def slot(w: str) -> int:
-        if w not in known:
-            known[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % MODEL_DIM
-        return known[w]
+    word, slot = re.compile(r"[a-z0-9]+"), slots_known(MODEL_DIM)
 
     def model(texts: list[str]) -> list[list[float]]:
         out = np.zeros((len(texts), MODEL_DIM))

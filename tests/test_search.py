@@ -1,5 +1,6 @@
 """Search and statistics against brute force on small inputs."""
 
+import collections
 import datetime as dt
 import math
 import random
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from evidencia.operators import dense, evaluation, lexical, ordered, signals
+from evidencia.operators import dense, embedding, evaluation, lexical, ordered, signals
 from evidencia.sizing import join_small
 
 
@@ -173,3 +174,19 @@ def test_evaluation_without_queries(spark):
     assert math.isnan(row["hit_rate"])
     got = {r["metric"]: r["passed"] for r in evaluation.gate(evaluation.metric_rows(summary), evaluation.metric_rows(summary)).collect()}
     assert got == {"mean_recall": None, "hit_rate": True}  # as the SQL has it: NaN equals NaN
+
+
+def test_hashed_vectors_against_plain_python(spark):
+    """Words are hashed and weighted once for each row, not again for every place of the vector."""
+    texts = ["Red pill, red dot", "", None, "blue", " ".join(f"w{k}" for k in range(900))] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = embedding.hashed_vectors(docs, "text", 32)
+    got = {r["doc_id"]: r["embedding"] for r in found.collect()}
+    tf = [collections.Counter(embedding.slot_of(w.strip(","), 32) for w in (t or "").lower().split()) for t in texts]
+    df = collections.Counter(s for c in tf for s in c)
+    for d, counts in enumerate(tf):
+        want = [counts[s] * math.log((len(texts) + 1) / (df[s] + 1)) for s in range(32)]
+        length = math.sqrt(sum(x * x for x in want)) or 1.0
+        assert np.allclose(got[d], [x / length for x in want])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "array_repeat" not in plan
