@@ -190,3 +190,16 @@ def test_hashed_vectors_against_plain_python(spark):
         assert np.allclose(got[d], [x / length for x in want])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "md5" not in plan and "array_repeat" not in plan
+
+
+def test_models_hold_little(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "KNOWN_WORDS", 10)
+    slot = embedding.slots_known(64)
+    assert [slot(f"w{k}") for k in range(100)] == [embedding.slot_of(f"w{k}", 64) for k in range(100)]
+    assert len(slot.__closure__[[c for c in slot.__code__.co_freevars].index("known")].cell_contents) <= 10
+
+    def counting_model():
+        return lambda texts: [[float(len(texts))]] * len(texts)
+    docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    most = embedding.model_vectors(docs, "text", counting_model).agg(F.max(F.col("embedding")[0]), F.count("embedding")).first()
+    assert most[0] <= embedding.SLICE_ROWS and most[1] == 3000
