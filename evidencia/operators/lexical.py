@@ -30,6 +30,7 @@ K1 = 1.2
 B = 0.75
 TOTAL = ""  # pseudo-term of every document: its statistics are the number and the total length of documents
 TERMS_PER_BLOCK = 200_000  # weights of query words, about 50 bytes each, that travel with a task; more are dealt in blocks of queries
+WORDS_PER_SLICE = 500_000  # words of documents scored at a time, so that a worker's arrays do not grow with the texts of a batch
 MARGIN = 1e-5  # scores are rounded to six digits; a bound must miss the k-th score by more
 
 
@@ -249,6 +250,17 @@ class _Scorer:
         return pa.Table.from_pydict(out, schema=schema)
 
 
+def sliced(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose lists in `column` hold at most `most` entries, or one row that holds more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def scored_topk(found: Matches, k: int, flat: bool = False) -> DataFrame:
     """{query, doc, within, score}: at most k rows per query, corpus value and task. With `flat` a term counts its idf, however
     often it occurs."""
@@ -271,8 +283,8 @@ def scored_topk(found: Matches, k: int, flat: bool = False) -> DataFrame:
             weights, wishes = shared.value
             scorer = _Scorer(weights, query_id, within, k, wishes, flat)
             for batch in batches:
-                if batch.num_rows:
-                    scorer.add(pa.Table.from_batches([batch]), doc_id)
+                for rows in sliced(batch, "words", WORDS_PER_SLICE):
+                    scorer.add(pa.Table.from_batches([rows]), doc_id)
             yield from scorer.table(arrow, doc_id).to_batches()
 
         return rows.mapInArrow(run, schema)

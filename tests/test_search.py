@@ -203,3 +203,10 @@ def test_models_hold_little(spark, monkeypatch):
     docs = spark.range(3000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
     most = embedding.model_vectors(docs, "text", counting_model).agg(F.max(F.col("embedding")[0]), F.count("embedding")).first()
     assert most[0] <= embedding.SLICE_ROWS and most[1] == 3000
+
+
+def test_documents_are_scored_in_slices_of_bounded_words():
+    words = [["a"] * n for n in (3, 0, 4, 20, 1, 1)] + [None]
+    batch = pa.record_batch({"doc_id": list(range(7)), "words": pa.array(words, pa.list_(pa.string()))})
+    assert [s.column("doc_id").to_pylist() for s in lexical.sliced(batch, "words", 7)] == [[0, 1, 2], [3], [4, 5, 6]]
+    assert list(lexical.sliced(batch.slice(0, 0), "words", 7)) == []
