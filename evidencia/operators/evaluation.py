@@ -8,6 +8,8 @@ from evidencia.functions.numbers import round_half_up
 from evidencia.functions.tokens import claim_tokens
 from evidencia.operators import lexical
 from evidencia.operators.ranking import top_k
+from evidencia.sizing import ROWS_PER_TASK, parts_for
+from evidencia.sources.store import written
 
 # Intervention labels that name no product.
 GENERIC_NAMES = ["placebo", "saline", "questionnaire", "observation", "standard of care"]
@@ -42,8 +44,11 @@ def golden_set(occurrences: DataFrame, target: int = TARGET_QUERIES, seed: str =
     Order is by a seeded hash; a drug is used once. Counts are taken first, so lists are gathered
     only for the chosen queries and hold at most 15 ids.
     """
-    edges = occurrences.select("trial", "drug", F.explode("conditions").alias("condition")).distinct()
-    candidates = candidate_counts(occurrences)
+    rows = written(occurrences.select("trial", "drug", "conditions"), "occurrences")
+    # All counts below are by drug, or by drug and more: they stay in the tasks to which its rows are dealt.
+    dealt = rows.repartition(parts_for(rows, F.lit(1), ROWS_PER_TASK), "drug")
+    edges = dealt.select("trial", "drug", F.explode("conditions").alias("condition")).distinct()
+    candidates = candidate_counts(dealt)
     in_band = F.col("expected_n").between(*EXPECTED_BAND)
     draw = F.md5(F.concat_ws("|", F.lit(seed), "drug", F.coalesce("condition", F.lit(""))))
     pair_sizes = edges.groupBy("drug", "condition").agg(F.count(F.lit(1)).alias("expected_n")).filter(in_band)
@@ -57,7 +62,8 @@ def golden_set(occurrences: DataFrame, target: int = TARGET_QUERIES, seed: str =
     text = F.when(F.col("condition").isNull(), F.concat(F.lit("Which trials study "), "drug", F.lit("?"))).otherwise(
         F.concat(F.lit("Trials of "), "drug", F.lit(" for "), "condition"))
     found = (
-        F.broadcast(chosen.withColumnRenamed("condition", "asked")).join(edges, "drug")
+        rows.select("trial", "drug", F.explode("conditions").alias("condition")).join(
+            F.broadcast(chosen.withColumnRenamed("condition", "asked")), "drug")
         .filter(F.col("asked").isNull() | (F.col("asked") == F.col("condition")))
         .select("drug", F.col("asked").alias("condition"), "draw", "trial").distinct()
     )

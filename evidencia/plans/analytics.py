@@ -8,7 +8,7 @@ from evidencia.functions.tokens import CLAIM_STOP_WORDS, WORD_PATTERN, sql_list
 from evidencia.operators import evaluation, landscape, signals, statistics, timeline
 from evidencia.plans.registry import Tables, query
 from evidencia.plans.scalars import PERIODS, period_renderings
-from evidencia.sizing import spread
+from evidencia.sizing import ROWS_PER_TASK, parts_for, spread
 
 
 def reports(t: Tables) -> DataFrame:
@@ -102,8 +102,9 @@ def trial_drugs(t: Tables) -> DataFrame:
     drug = t.part.select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("-", "p_name", F.col("p_partkey").cast("string")).alias("drug"))
     segment = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.array("c_mktsegment").alias("conditions"))
     trial = t.orders.select("o_orderkey", "o_custkey").join(segment, "o_custkey")
-    return t.lineitem.select("l_orderkey", "l_partkey").join(drug, "l_partkey").join(
-        trial, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("trial"), "drug", "conditions")
+    tasks = parts_for(t.lineitem, F.lit(1), ROWS_PER_TASK)
+    lines = t.lineitem.select("l_orderkey", "l_partkey").repartition(tasks, "l_partkey").join(drug, "l_partkey").repartition(tasks, "l_orderkey")
+    return lines.join(trial, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("trial"), "drug", "conditions")
 
 
 CANDIDATES = f"""{TRIALS},

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
 SALTS = 32
+ROWS_PER_TASK = 500_000  # short rows that one task sorts and counts
 
 
 def measure(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[int, int]:

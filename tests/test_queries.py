@@ -39,3 +39,10 @@ def test_contract(spark):
     assert set(entry_point.QUERIES) - set(entry_point.ORACLES) == {"chunk_recursive", "sql_functions"}
     df = entry_point.entry(spark)
     assert df.count() > 0
+
+
+def test_events_read_windows_that_were_dealt(spark, small):
+    """Text and timeline are two steps: the windows of the texts are written and spread before they are taken apart."""
+    frame = entry_point.queries()["catalyst_events"](spark, small)
+    text = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in text and "lineitem" not in text and "unboundedfollowing" not in text

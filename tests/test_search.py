@@ -4,6 +4,7 @@ import collections
 import datetime as dt
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -210,3 +211,16 @@ def test_documents_are_scored_in_slices_of_bounded_words():
     batch = pa.record_batch({"doc_id": list(range(7)), "words": pa.array(words, pa.list_(pa.string()))})
     assert [s.column("doc_id").to_pylist() for s in lexical.sliced(batch, "words", 7)] == [[0, 1, 2], [3], [4, 5, 6]]
     assert list(lexical.sliced(batch.slice(0, 0), "words", 7)) == []
+
+
+def test_golden_set_is_dealt_by_its_rows(spark, monkeypatch):
+    rows = [(t, f"drug{t // 3}", ["a", "b"][:t % 3]) for t in range(60)] + [(900 + t, "placebo", ["a"]) for t in range(5)]
+    occurrences = spark.createDataFrame(rows, "trial long, drug string, conditions array<string>")
+    want = sorted(evaluation.golden_set(occurrences).collect())
+    assert {(r["drug"], tuple(r["expected"])) for r in want} == {(f"drug{k}", (3 * k + 1, 3 * k + 2)) for k in range(20)}
+    monkeypatch.setattr(evaluation, "ROWS_PER_TASK", 5)
+    found = evaluation.golden_set(occurrences)
+    assert sorted(found.collect()) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert set(re.findall(r"RepartitionByExpression \[drug#\d+\], (\d+)", plan)) == {"13"}  # 65 rows
+    assert "ExternalRDD" not in plan and "LogicalRDD" not in plan  # the rows are made once
