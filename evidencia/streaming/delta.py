@@ -65,23 +65,25 @@ class Watch(StatefulProcessor):
             self.watched.updateValue((row.type,), (int(row.since), -(1 << 62)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        entries = [(name[0], *value) for name, value in self.watched.iterator()] if self.watched.exists() else []
+        entries = [(name[0], *value) for name, value in self.watched.iterator()]
         if not entries:
             for _ in rows:  # an entity that nobody watches
                 pass
             return
         found = {name: [0, 0, None, None] for name, _, _ in entries}
         for some in rows:
-            day, last = some["last"] // DAY_US, some["last"]
+            n, first, last, letters = (some[c].to_numpy() for c in ("n", "first", "last", "letter"))
+            letters = letters.astype(bool)
+            day = last // DAY_US
             for name, since, _ in entries:
                 # Updates count from the day after the check, letters from the moment after it, for companies.
-                change = ~some["letter"] & (day > since // DAY_US)
-                letter = some["letter"] & (last > since) if name == "company" else ~some["letter"] & some["letter"]
-                one = found[name]
-                one[0] += int(some["n"][change].sum())
-                one[1] += int(some["n"][letter].sum())
-                if (change | letter).any():
-                    one[2] = min(x for x in (one[2], int(some["first"][change | letter].min())) if x is not None)
+                change = ~letters & (day > since // DAY_US)
+                letter = letters & (last > since) & (name == "company")
+                one, news = found[name], change | letter
+                one[0] += int(n[change].sum())
+                one[1] += int(n[letter].sum())
+                if news.any():
+                    one[2] = min(x for x in (one[2], int(first[news].min())) if x is not None)
                 if change.any():
                     one[3] = max(x for x in (one[3], int(last[change].max())) if x is not None)
         out = []
@@ -91,8 +93,9 @@ class Watch(StatefulProcessor):
                 out.append((key[0], name, changes, letters, last, first <= high))
                 self.watched.updateValue((name,), (since, max(high, last if last is not None else first)))
         if out:
-            yield pd.DataFrame(out, columns=["entity", "type", "changes", "letters", "latest", "late"]).astype(
-                {"latest": "Int64", "late": bool})
+            entity, name, changes, letters, last, late = zip(*out)
+            yield pd.DataFrame({"entity": entity, "type": name, "changes": changes, "letters": letters,
+                                "latest": pd.array(last, dtype="Int64"), "late": late})
 
     def close(self) -> None:
         pass

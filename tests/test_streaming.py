@@ -1,6 +1,7 @@
 import datetime as dt
 import time
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evidencia.sources.store import KeyedTable
@@ -158,3 +159,27 @@ def test_activity_sessions(spark, tmp_path):
     spark.createDataFrame([(2, at(5000))], schema).coalesce(1).write.mode("append").parquet(src)
     rows = drain(stream(), tmp_path, "s").filter("job = 1").orderBy("start").select(F.col("events")).collect()
     assert [r["events"] for r in rows] == [2, 1, 1]
+
+
+def test_an_entity_costs_one_read_of_its_state():
+    class State:
+        def __init__(self, entries):
+            self.entries, self.calls = entries, []
+
+        def iterator(self):
+            self.calls.append("read")
+            return iter(self.entries.items())
+
+        def updateValue(self, key, value):
+            self.calls.append("write")
+            self.entries[key] = value
+
+    rows = [pd.DataFrame({"entity": 7, "letter": [False, True], "n": [3, 2], "first": [0, delta.DAY_US], "last": [5, 2 * delta.DAY_US]}),
+            pd.DataFrame({"entity": 7, "letter": [False], "n": [4], "first": [delta.DAY_US], "last": [delta.DAY_US + 1]})]
+    watch = delta.Watch()
+    watch.watched = State({("company",): (9, -(1 << 62)), ("drug",): (-delta.DAY_US, -(1 << 62))})
+    [out] = watch.handleInputRows((7,), iter(rows), None)
+    assert out.values.tolist() == [[7, "company", 4, 2, delta.DAY_US + 1, False], [7, "drug", 7, 0, delta.DAY_US + 1, False]]
+    assert watch.watched.calls == ["read", "write", "write"]
+    watch.watched = State({})
+    assert list(watch.handleInputRows((8,), iter(rows), None)) == [] and watch.watched.calls == ["read"]
