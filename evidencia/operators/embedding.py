@@ -1,4 +1,4 @@
-"""Vectors for texts: hashed terms by default, any model through a pandas UDF."""
+"""Vectors for texts: hashed terms by default, any model through Arrow."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -108,23 +107,29 @@ def hashed_vectors(docs: DataFrame, text: str, dim: int) -> DataFrame:
 
 
 def model_vectors(docs: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> DataFrame:
-    """Adds `embedding` from a model; `load`, a function of a module, runs once per worker and batches go through Arrow."""
+    """Adds `embedding` from a model; `load`, a function of a module, runs once per worker and rows go through Arrow, so many at a time.
+
+    Not a UDF: Spark repeats one for each filter that it infers from its column, and each repetition has workers of its own.
+    """
     ship_package(docs.sparkSession)
     name = f"{load.__module__}.{load.__qualname__}"
+    out = T.StructType([*docs.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = to_arrow_schema(out)
 
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from evidencia.operators import embedding
 
         if name not in embedding._LOADED:
             embedding._LOADED[name] = load()
         model = embedding._LOADED[name]
         for batch in batches:
-            out = []
-            for start in range(0, len(batch), SLICE_ROWS):
-                out += [np.asarray(v, np.float32) for v in model(batch.iloc[start:start + SLICE_ROWS].fillna("").tolist())]
-            yield pd.Series(out, dtype=object)
-    return docs.withColumn("embedding", embed(F.col(text)))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(start, SLICE_ROWS)
+                texts = pc.fill_null(rows.column(schema.get_field_index(text)), "").to_pylist()
+                vectors = pa.array([np.asarray(v, np.float32) for v in model(texts)], schema.field("embedding").type)
+                yield pa.RecordBatch.from_arrays([*rows.columns, vectors], schema=schema)
+
+    return docs.mapInArrow(embed, out)
 
 
 MODEL_DIM = 64

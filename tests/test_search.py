@@ -206,6 +206,15 @@ def test_models_hold_little(spark, monkeypatch):
     assert most[0] <= embedding.SLICE_ROWS and most[1] == 3000
 
 
+def test_models_run_once(spark):
+    """A filter on the places of the vectors, which Spark infers, does not run the model again."""
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    cells = embedding.model_vectors(docs, "text", embedding.word_model).select("doc_id", F.posexplode("embedding"))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") == 1
+    assert {r["doc_id"] for r in cells.collect()} == {1, 2}
+
+
 def test_documents_are_scored_in_slices_of_bounded_words():
     words = [["a"] * n for n in (3, 0, 4, 20, 1, 1)] + [None]
     batch = pa.record_batch({"doc_id": list(range(7)), "words": pa.array(words, pa.list_(pa.string()))})
