@@ -10,8 +10,9 @@ are aligned in one long run, known ones kept in the worker. A text that cannot b
 
 How many documents hold a pair of ids is counted in two steps. Texts are dealt in slices of bounded size; each slice counts
 its pairs, one row per slice and pair, which are added up and compared with the other pairs of their first id (at most as many as the
-second vocabulary has ids). Each slice then gets back the facts of its own pairs and adds them up over its links. So
-nothing that grows with the corpus is broadcast, and a pair in all documents makes one row per slice.
+second vocabulary has ids). Each slice then gets back the facts of its own pairs and adds them up over its links, which it
+finds again in what the first step left, the slice's parts in numbers: no text is encoded twice. So nothing that grows with the
+corpus is broadcast, and a pair in all documents makes one row per slice.
 
 Null and empty texts, and those whose tokens do not spell the text (the second file has other signs for some), have no tokens. Null
 and repeated ids and repeated rows are documents of their own. Columns of other names are not looked at. Ties of the
@@ -138,21 +139,41 @@ def stretched(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Linked:
-    """Texts as parts, and the links of each distinct part."""
+    """Texts as parts, and the links of each distinct part: the parts of each text, and of each distinct part its ids of both
+    tokenizers and its tokens of either in each group."""
 
-    def __init__(self, texts: pa.Array, aligner: Aligner):
+    ARRAYS = ("counts", "codes", "n_a", "n_b", "n_groups", "a", "b", "in_a", "in_b")
+
+    def __init__(self, *arrays: np.ndarray):
+        self.counts, self.codes, self.n_a, self.n_b, self.n_groups, self.a, self.b, self.in_a, self.in_b = (x.astype(np.int64) for x in arrays)
+        self.n_parts = len(self.n_a)
+
+    @classmethod
+    def of(cls, texts: pa.Array, aligner: Aligner) -> Linked:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         spaced = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar("", pa.large_string()), texts, pa.scalar(" ", pa.large_string())))
         codes, counts, names = cut(spaced, aligner.apart, aligner.second.glued)
         known = aligner.learn(names.to_pylist())
         fails = ~aligner.spelled[known]
         failed = stretched(fails[codes].astype(np.int64), counts) > 0
-        self.codes = codes[~np.repeat(failed, counts)].astype(np.int64)
-        self.counts = np.where(failed, 0, counts)
-        self.n_parts = len(known)
-        self.n_a, self.n_b, self.n_groups = (n[known].astype(np.int64) for n in (aligner.n_a, aligner.n_b, aligner.n_groups))
-        self.a, self.b, self.in_a, self.in_b = (gathered(getattr(aligner, name), getattr(aligner, many), known).astype(np.int64) for name, many in (
-            ("a", "n_a"), ("b", "n_b"), ("in_a", "n_groups"), ("in_b", "n_groups")))
+        own = [n[known] for n in (aligner.n_a, aligner.n_b, aligner.n_groups)]
+        flat = [gathered(getattr(aligner, name), getattr(aligner, many), known) for name, many in (
+            ("a", "n_a"), ("b", "n_b"), ("in_a", "n_groups"), ("in_b", "n_groups"))]
+        return cls(np.where(failed, 0, counts), codes[~np.repeat(failed, counts)], *own, *flat)
+
+    def packed(self) -> bytes:
+        """The arrays as narrow as their numbers allow, compressed."""
+        narrow = (x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (getattr(self, name) for name in self.ARRAYS))
+        batch = pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays(pa.array([0, len(x)], pa.int64()), pa.array(x)) for x in narrow], self.ARRAYS)
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(batch)
+        return out.getvalue().to_pybytes()
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> Linked:
+        batch = pa.ipc.open_stream(blob).read_next_batch()
+        return cls(*(batch.column(name).flatten().to_numpy(zero_copy_only=False) for name in cls.ARRAYS))
 
     def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(pairs, times, links per distinct part): all links of each distinct part, equal ones of a wide group added up."""
@@ -226,22 +247,27 @@ def shared_files(spark: SparkSession, first_path: str, second_path: str):
 
 
 def sliced(docs: DataFrame, version: str, files) -> DataFrame:
-    """docs {doc_id, text} -> rows of both kinds: {slice, doc_id, text} and {slice, pair, docs} (pair not null)."""
+    """docs {doc_id, text} -> rows of both kinds: {slice, doc_id, place, packed}, a slice's arrays in equal shares on its rows
+    (so that no row is much longer than a text), and {slice, pair, docs} (pair not null)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = loaded(Aligner, version, files.value), TaskContext.get().partitionId() << 32
         for batch in slices(batches, 1):
-            names, total = Linked(batch.column(1), aligner).documents_of_pairs()
+            linked = Linked.of(batch.column(1), aligner)
+            names, total = linked.documents_of_pairs()
             n, k = batch.num_rows, len(names)
+            blob = linked.packed()
+            ends = [len(blob) * i // n for i in range(n + 1)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(n + k, number, np.int64)),
                 pa.concat_arrays([batch.column(0), pa.nulls(k, batch.column(0).type)]),
-                pa.concat_arrays([batch.column(1), pa.nulls(k, batch.column(1).type)]),
+                pa.concat_arrays([pa.array(np.arange(n), pa.int32()), pa.nulls(k, pa.int32())]),
+                pa.concat_arrays([pa.array([blob[x:y] for x, y in zip(ends, ends[1:])], pa.binary()), pa.nulls(k, pa.binary())]),
                 pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(names, pa.int64())]),
-                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(total, pa.int64())])], ["slice", "doc_id", "text", "pair", "docs"])
+                pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(total, pa.int64())])], ["slice", "doc_id", "place", "packed", "pair", "docs"])
             number += 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"slice bigint, doc_id {kind}, text string, pair bigint, docs bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, f"slice bigint, doc_id {kind}, place int, packed binary, pair bigint, docs bigint")
 
 
 def counted(pairs: DataFrame) -> DataFrame:
@@ -263,15 +289,14 @@ def links(docs: DataFrame, first_path: str, second_path: str) -> DataFrame:
     both = written(both, "slices")
     pairs = both.filter("pair is not null").select("slice", "pair", "docs")
     facts = pairs.select("slice", "pair").join(counted(pairs), "pair").select(F.col("slice").alias("of"), "pair", "count", "best")
-    texts = both.filter("pair is null").select("slice", "doc_id", "text")
+    texts = both.filter("pair is null").select("slice", "doc_id", "place", "packed")
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
-        aligner = loaded(Aligner, version, files.value)
         names = known.column("pair").to_numpy()
         order = np.argsort(names)
         names, count, best = names[order], known.column("count").to_numpy()[order], known.column("best").to_numpy()[order]
-        batch = own.combine_chunks()
-        linked = Linked(batch.column("text").combine_chunks() if batch.num_rows else pa.array([], pa.string()), aligner)
+        places = pa.array(np.argsort(own.column("place").to_numpy()))
+        linked = Linked.unpacked(b"".join(own.column("packed").take(places).to_pylist()))
         pair, times, many = linked.links()
         at = np.searchsorted(names, pair)
         sums = {
@@ -279,7 +304,7 @@ def links(docs: DataFrame, first_path: str, second_path: str) -> DataFrame:
             "n_best": stretched(times * best[at], many) if len(names) else np.zeros(len(many), np.int64),
             "count_sum": stretched(times * count[at], many) if len(names) else np.zeros(len(many), np.int64),
         }
-        return pa.table({"doc_id": batch.column("doc_id"), **{k: pa.array(linked.per_text(v), pa.int64()) for k, v in sums.items()},
+        return pa.table({"doc_id": own.column("doc_id").take(places), **{k: pa.array(linked.per_text(v), pa.int64()) for k, v in sums.items()},
                          "groups": linked.groups().cast(pa.string())})
 
     return texts.groupBy("slice").cogroup(facts.groupBy("of")).applyInArrow(

@@ -17,6 +17,7 @@ from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
 from evidencia.llm import alignment, parts, periodic, token_files
+from evidencia.llm.tokenizing import file_digest
 from evidencia.sources.store import scratch_path
 
 BYTE_FILE, PIECE_FILE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -198,6 +199,21 @@ def test_alignment_of_awkward_rows(spark, awkward, empty):
     assert alignment.links(empty, BYTE_FILE, PIECE_FILE).count() == 0
 
 
+def test_texts_are_aligned_once(spark, documents):
+    """The step behind the pair counts gets the parts of a slice in numbers, not its texts."""
+    read = alignment.links(documents, BYTE_FILE, PIECE_FILE)._jdf.queryExecution().analyzed().toString()
+    assert "packed#" in read and "text#" not in read
+
+
+def test_what_a_slice_leaves():
+    aligner = alignment.Aligner(tuple(file_digest(f)[0] for f in (BYTE_FILE, PIECE_FILE)))
+    for texts in (STRANGE, [None], ["", "a b"], ["x" * 70_000]):
+        linked = alignment.Linked.of(pa.array(texts, pa.string()), aligner)
+        again = alignment.Linked.unpacked(linked.packed())
+        assert again.n_parts == linked.n_parts
+        assert all(np.array_equal(getattr(again, name), getattr(linked, name)) for name in alignment.Linked.ARRAYS)
+
+
 # Token files
 
 @settings(max_examples=100, deadline=None)
